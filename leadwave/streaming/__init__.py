@@ -1,0 +1 @@
+"""Empty on purpose: recordings are bounded files, and all runs are processed in one batch job."""
