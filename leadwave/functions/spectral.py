@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import sys
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# The UDF travels with its helpers, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Doubles held at once by one transform, so that memory does not follow the batch size.
-CHUNK_VALUES = 4_000_000
+CHUNK_VALUES = 250_000
 
 
 def transform_length(nperseg: int, sfreq: float, max_freq: float) -> int:
@@ -21,35 +26,60 @@ def periodic_hann(n: int) -> np.ndarray:
     return 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(n) / n)
 
 
-def _densities(x, length, step, nfft, sfreq, detrend, average):
-    """One-sided power densities of all full windows: (rows, windows or 1, nfft // 2 + 1)."""
-    windows = np.lib.stride_tricks.sliding_window_view(x, length, axis=1)[:, ::step]
-    if detrend == "constant":
-        windows = windows - windows.mean(axis=-1, keepdims=True)
-    taper = periodic_hann(length)
-    spectrum = np.fft.rfft(windows * taper, n=nfft, axis=-1)
-    density = (spectrum.real**2 + spectrum.imag**2) / (sfreq * np.sum(taper**2))
-    density[..., 1 : (-1 if nfft % 2 == 0 else None)] *= 2.0
-    return density.mean(axis=1, keepdims=True) if average else density
+def _band_bins(bands, sfreq: float, nfft: int) -> list[slice]:
+    """Frequency bins k * sfreq / nfft inside each band, as ranges of k; empty where a band has none."""
+    freqs = np.arange(nfft // 2 + 1) * sfreq / nfft
+    return [slice(*np.searchsorted(freqs, limits, side="left")) for limits in bands]
+
+
+def _density_weights(length: int, sfreq: float, nfft: int, taper: np.ndarray) -> np.ndarray:
+    """Factor from squared magnitude to one-sided density per frequency bin."""
+    sides = np.full(nfft // 2 + 1, 2.0)
+    sides[0] = 1.0
+    if nfft % 2 == 0:
+        sides[-1] = 1.0
+    return sides / (sfreq * np.sum(taper**2))
 
 
-def _summarise(x, sfreq, nperseg, noverlap, nfft, bands, detrend, average):
-    """Densities, or their means per band, of equally long rows; flattened to one array per row."""
-    length = min(nperseg, x.shape[1])
+def _summarise(fetch, n_rows, size, sfreq, nperseg, noverlap, nfft, bands, detrend, average):
+    """Densities, or their means per band, of n_rows rows of equal size; one flat array per row.
+
+    fetch(lo, hi) gives the rows as a matrix. They are transformed in groups of bounded size, in work
+    arrays that are allocated once.
+    """
+    length = min(nperseg, size)
     step = length - noverlap
     if length == 0 or step <= 0:
-        return np.empty((x.shape[0], 0)) if bands is None else np.full((x.shape[0], len(bands)), np.nan)
-    n_windows = (x.shape[1] - noverlap) // step
-    chunk = max(1, CHUNK_VALUES // max(1, n_windows * nfft))
-    freqs = np.arange(nfft // 2 + 1) * sfreq / nfft
+        return np.empty((n_rows, 0)) if bands is None else np.full((n_rows, len(bands)), np.nan)
+    taper = periodic_hann(length)
+    ranges = [slice(0, nfft // 2 + 1)] if bands is None else _band_bins(bands, sfreq, nfft)
+    used = [r for r in ranges if r.stop > r.start]
+    bins = slice(min(r.start for r in used), max(r.stop for r in used)) if used else slice(0, 0)
+    weights = _density_weights(length, sfreq, nfft, taper)[bins]
+    n_windows = (size - noverlap) // step
+    group = min(n_rows, max(1, CHUNK_VALUES // (n_windows * nfft)))
+    tapered = np.empty((group, n_windows, length))
+    spectrum = np.empty((group, n_windows, nfft // 2 + 1), dtype=np.complex128)
     parts = []
-    for lo in range(0, x.shape[0], chunk):
-        density = _densities(x[lo : lo + chunk], length, step, nfft, sfreq, detrend, average)
+    for lo in range(0, n_rows, group):
+        x = fetch(lo, min(lo + group, n_rows))
+        windows = np.lib.stride_tricks.sliding_window_view(x, length, axis=1)[:, ::step]
+        work, waves = tapered[: len(x)], spectrum[: len(x)]
+        np.subtract(windows, windows.mean(axis=-1, keepdims=True) if detrend == "constant" else 0.0, out=work)
+        work *= taper
+        np.fft.rfft(work, n=nfft, axis=-1, out=waves)
+        density = waves.real[..., bins] ** 2 + waves.imag[..., bins] ** 2
+        if average:
+            density = density.mean(axis=1, keepdims=True)
+        density *= weights
         if bands is not None:
-            masks = [(freqs >= fmin) & (freqs < fmax) for fmin, fmax in bands]
-            density = np.stack([density[..., m].mean(axis=-1) if m.any() else
-                                np.full(density.shape[:-1], np.nan) for m in masks], axis=-1)
-        parts.append(density.reshape(density.shape[0], -1))
+            missing = np.full(density.shape[:-1], np.nan)
+            means = [
+                density[..., r.start - bins.start : r.stop - bins.start].mean(axis=-1) if r.stop > r.start else missing
+                for r in ranges
+            ]
+            density = np.stack(means, axis=-1)
+        parts.append(density.reshape(len(x), -1))
     return np.concatenate(parts)
 
 
@@ -57,47 +87,73 @@ def _undefined(bands, sfreq, nperseg, noverlap, nfft, n_samples):
     """Bands that have no value at all (no frequency inside, or no window): NULL, unlike a NaN signal."""
     if min(nperseg, n_samples) <= noverlap:
         return np.ones(len(bands), dtype=bool)
-    freqs = np.arange(nfft // 2 + 1) * sfreq / nfft
-    return np.array([not ((freqs >= fmin) & (freqs < fmax)).any() for fmin, fmax in bands])
+    return np.array([r.stop <= r.start for r in _band_bins(bands, sfreq, nfft)])
+
 
+def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values, offsets and sizes of a list column."""
+    offsets = column.offsets.to_numpy()
+    values = column.values.to_numpy(zero_copy_only=False)
+    return values, offsets, np.diff(offsets)
 
-def spectral_udf(bands=None, max_freq: float | None = None, detrend: str | None = "constant", average: bool = False):
+
+def _stacked(lists, rows, size) -> np.ndarray:
+    values, offsets, _ = lists
+    return np.stack([values[offsets[r] : offsets[r] + size] for r in rows]).astype(np.float64, copy=False)
+
+
+def spectral_udf(
+    bands=None, max_freq: float | None = None, detrend: str | None = "constant", average: bool = False, paired: bool = False
+):
     """UDF (samples, sfreq, nperseg, noverlap) -> ARRAY<DOUBLE>.
 
     Without bands: densities of every window, one after the other. With bands: one mean per band and
     window. `average` first averages the windows of the row. A row shorter than nperseg is one
-    window of its own length; windows need more than noverlap samples.
+    window of its own length; windows need more than noverlap samples. A paired UDF takes a second
+    array after the first, of equal size, and subtracts it.
     """
     if detrend not in ("constant", None):
         raise ValueError("detrend must be 'constant' or None")
     limits = None if bands is None else [tuple(map(float, b)) for b in bands]
 
-    @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def spectral(samples: pa.Array, sfreq: pa.Array, nperseg: pa.Array, noverlap: pa.Array) -> pa.Array:
-        sizes = pc.list_value_length(samples).to_numpy(zero_copy_only=False)
-        offsets = samples.offsets.to_numpy()
-        values = samples.values.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    def spectra(samples, other, sfreq, nperseg, noverlap):
+        lists = _lists(samples)
+        others = None if other is None else _lists(other)
         rates, lengths, overlaps = (a.to_numpy(zero_copy_only=False) for a in (sfreq, nperseg, noverlap))
-        settings = np.stack([sizes, rates, lengths, overlaps], axis=1).astype(np.float64)
+        settings = np.stack([lists[2], rates, lengths, overlaps], axis=1).astype(np.float64)
         kinds, member = np.unique(settings, axis=0, return_inverse=True)
-        pieces: list = [None] * len(sizes)
-        masks: list = [None] * len(sizes)
+        pieces: list = [None] * len(settings)
+        masks: list = [None] * len(settings)
         for kind, (size, rate, length, overlap) in enumerate(kinds):
             rows = np.flatnonzero(member.reshape(-1) == kind)
             size, length, overlap = int(size), int(length), int(overlap)
             nfft = min(length, size) if max_freq is None else transform_length(length, rate, max_freq)
-            x = np.stack([values[offsets[r] : offsets[r] + size] for r in rows])
-            result = _summarise(x, rate, length, overlap, nfft, limits, detrend, average)
-            mask = None
-            if limits is not None:
-                empty = _undefined(limits, rate, length, overlap, nfft, size)
-                mask = np.tile(empty, result.shape[1] // len(limits))
-            for r, row in zip(rows, result):
-                pieces[r] = row
-                masks[r] = np.zeros(len(row), dtype=bool) if mask is None else mask
-        counts = np.array([len(p) for p in pieces], dtype=np.int32)
-        bounds = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
-        flat = pa.array(np.concatenate(pieces), mask=np.concatenate(masks)) if len(pieces) else pa.array([], pa.float64())
+            mask = None if limits is None else _undefined(limits, rate, length, overlap, nfft, size)
+
+            def fetch(lo, hi, rows=rows, size=size):
+                x = _stacked(lists, rows[lo:hi], size)
+                return x if others is None else x - _stacked(others, rows[lo:hi], size)
+
+            result = _summarise(fetch, len(rows), size, rate, length, overlap, nfft, limits, detrend, average)
+            empty = np.zeros(result.shape[1], bool) if mask is None else np.tile(mask, result.shape[1] // len(mask))
+            for r, piece in zip(rows, result):
+                pieces[r], masks[r] = piece, empty
+        if not pieces:
+            return pa.array([], pa.list_(pa.float64()))
+        bounds = np.concatenate([[0], np.cumsum([len(p) for p in pieces])]).astype(np.int32)
+        flat = pa.array(np.concatenate(pieces), mask=np.concatenate(masks))
         return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat)
 
+    if paired:
+
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def spectral_pair(samples: pa.Array, other: pa.Array, sfreq: pa.Array, nperseg: pa.Array, noverlap: pa.Array) -> pa.Array:
+            return spectra(samples, other, sfreq, nperseg, noverlap)
+
+        return spectral_pair
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def spectral(samples: pa.Array, sfreq: pa.Array, nperseg: pa.Array, noverlap: pa.Array) -> pa.Array:
+        return spectra(samples, None, sfreq, nperseg, noverlap)
+
     return spectral

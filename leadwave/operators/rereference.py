@@ -39,12 +39,12 @@ def montage(pairs: DataFrame, channel_map: DataFrame) -> DataFrame:
     return roles.join(channel_map, ["run_id", "electrode_id"])
 
 
-def bipolar_subtract(signals: DataFrame, channel_map: DataFrame, pairs: DataFrame, layout: DataFrame | None = None) -> DataFrame:
-    """Anode minus cathode per pair, block by block; a pair ends where its shorter channel ends.
+def pair_blocks(signals: DataFrame, channel_map: DataFrame, pairs: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+    """Blocks of both contacts of each pair, side by side as samples (anode) and cathode_samples.
 
     The signal is shuffled once, to (run, group of contacts, block), and channels outside every pair
-    are left out before it. `layout` (run_id, block_len, halo, plus columns to carry) cuts the blocks
-    anew in that same shuffle.
+    are left out before it. Both arrays end where the shorter one ends. `layout` (run_id, block_len,
+    halo, plus columns to carry) cuts the blocks anew in that same shuffle.
     """
     members = montage(pairs, channel_map)
     carried: list[str] = []
@@ -59,16 +59,22 @@ def bipolar_subtract(signals: DataFrame, channel_map: DataFrame, pairs: DataFram
     together = Window.partitionBy(*group, "block_idx").orderBy("contact_num", "electrode_id")
     following = placed.select(
         *group, *member, "block_idx", "start_sample", "samples",
-        F.lead(F.struct("electrode_id", "samples")).over(together).alias("next"),
-    ).where(F.col("pair_idx").isNotNull() & (F.col("next.electrode_id") == F.col("cathode_id")))
-    shared = F.least(F.size("samples"), F.size("next.samples"))
+        F.lead("electrode_id").over(together).alias("next_id"),
+        F.lead("samples").over(together).alias("next_samples"),
+    ).where(F.col("pair_idx").isNotNull() & (F.col("next_id") == F.col("cathode_id")))
+    shared = F.least(F.size("samples"), F.size("next_samples"))
 
     def head(array):
         return F.when(F.size(array) == shared, F.col(array)).otherwise(F.slice(array, 1, shared))
 
-    difference = F.zip_with(
-        head("samples"), head("next.samples"), lambda a, c: a.cast("double") - c.cast("double")
-    )
-    return following.where(shared > 0).select(
-        "run_id", "series_name", "pair_idx", "location", *carried, "block_idx", "start_sample", difference.alias("samples")
+    return following.select(
+        "run_id", "series_name", "pair_idx", "location", *carried, "block_idx", "start_sample",
+        head("samples").alias("samples"), head("next_samples").alias("cathode_samples"),
     )
+
+
+def bipolar_subtract(signals: DataFrame, channel_map: DataFrame, pairs: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+    """Anode minus cathode per pair, block by block; a pair ends where its shorter channel ends."""
+    blocks = pair_blocks(signals, channel_map, pairs, layout)
+    difference = F.zip_with("samples", "cathode_samples", lambda a, c: a.cast("double") - c.cast("double"))
+    return blocks.withColumn("samples", difference).drop("cathode_samples")

@@ -70,6 +70,13 @@ def time_bins(blocks: DataFrame, recordings: DataFrame, bin_sec: float = 60.0) -
     return recut(joined, keys + ["sfreq"], F.col("block_len")).withColumnRenamed("block_idx", "bin_idx")
 
 
+def _spectral(laid: DataFrame, **options) -> Column:
+    """The spectral step on blocks of one signal, or on blocks that still hold both contacts of a pair."""
+    paired = "cathode_samples" in laid.columns
+    arrays = ("samples", "cathode_samples") if paired else ("samples",)
+    return spectral_udf(paired=paired, **options)(*arrays, "sfreq", "nperseg", "noverlap")
+
+
 def _whole_windows(laid: DataFrame) -> DataFrame:
     """Rows that hold at least one window. A recording shorter than a window is one window of its length."""
     size = F.size("samples").cast("bigint")
@@ -143,11 +150,11 @@ def spectrogram(laid: DataFrame, detrend: str | None = "constant") -> DataFrame:
     """Density per hopping window and frequency, from blocks in hop_layout."""
     step = F.col("nperseg") - F.col("noverlap")
     window_len = F.least(F.col("nperseg"), F.size("samples").cast("bigint"))
-    density = spectral_udf(detrend=detrend)
+    density = _spectral(laid, detrend=detrend)
     keys = [*SIGNAL_KEYS, "sfreq", "step", "window_len", "start_sample"]
     spectra = _whole_windows(laid).select(
         *SIGNAL_KEYS, "sfreq", step.alias("step"), window_len.alias("window_len"), "start_sample",
-        density("samples", "sfreq", "nperseg", "noverlap").alias("_psd"),
+        density.alias("_psd"),
     )
     bins = F.call_function("div", F.col("window_len"), F.lit(2)) + 1
     rows = _frequency_rows(spectra, keys, bins, F.col("window_len"), None)
@@ -164,13 +171,13 @@ def spectrogram(laid: DataFrame, detrend: str | None = "constant") -> DataFrame:
 
 def welch_average(laid: DataFrame, max_freq: float | None = 200.0, detrend: str | None = "constant") -> DataFrame:
     """Mean density of the segments of each time bin, from blocks in welch_layout."""
-    density = spectral_udf(max_freq=max_freq, detrend=detrend, average=True)
+    density = _spectral(laid, max_freq=max_freq, detrend=detrend, average=True)
     keys = [*SIGNAL_KEYS, "sfreq", "nperseg", "bin_idx", "time_sec"]
     spectra = laid.select(
         *SIGNAL_KEYS, "sfreq", "nperseg",
         F.col("block_idx").alias("bin_idx"),
         bin_center(F.col("start_sample"), F.size("samples"), F.col("sfreq")).alias("time_sec"),
-        density("samples", "sfreq", "nperseg", "noverlap").alias("_psd"),
+        density.alias("_psd"),
     )
     return _frequency_rows(spectra, keys, F.size("_psd"), F.col("nperseg"), max_freq).drop("nperseg", "sfreq", "_w")
 
@@ -220,14 +227,14 @@ def bandpower_bins(
     if partial not in ("shrink", "drop"):
         raise ValueError("partial must be 'shrink' or 'drop'")
     rows = laid if partial == "shrink" else laid.where(F.size("samples") >= F.col("nperseg"))
-    power = spectral_udf(list(bands.values()), max_freq=max_freq, detrend=detrend, average=True)
+    power = _spectral(laid, bands=list(bands.values()), max_freq=max_freq, detrend=detrend, average=True)
     summed = rows.select(
         "run_id",
         F.col("block_idx").alias("bin_idx"),
         bin_center(F.col("start_sample"), F.size("samples"), F.col("sfreq")).alias("time_sec"),
         "pair_idx",
         "location",
-        power("samples", "sfreq", "nperseg", "noverlap").alias("_power"),
+        power.alias("_power"),
     )
     return _band_rows(summed, ["run_id", "bin_idx", "time_sec", "pair_idx", "location"], list(bands)).drop("_w")
 
@@ -236,13 +243,13 @@ def bandpower_windows(laid: DataFrame, bands: dict = BANDS, detrend: str | None
     """Band power of every hopping window, from blocks in hop_layout."""
     step = F.col("nperseg") - F.col("noverlap")
     window_len = F.least(F.col("nperseg"), F.size("samples").cast("bigint"))
-    power = spectral_udf(list(bands.values()), detrend=detrend)
+    power = _spectral(laid, bands=list(bands.values()), detrend=detrend)
     keys = ["run_id", "sfreq", "step", "window_len", "first_window", "pair_idx", "location"]
     summed = _whole_windows(laid).select(
         "run_id", "sfreq", step.alias("step"), window_len.alias("window_len"),
         F.call_function("div", F.col("start_sample"), step).alias("first_window"),
         "pair_idx", "location",
-        power("samples", "sfreq", "nperseg", "noverlap").alias("_power"),
+        power.alias("_power"),
     )
     window = F.col("first_window") + F.col("_w")
     return _band_rows(summed, keys, list(bands)).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadwave.operators.rereference import bipolar_subtract
+from leadwave.operators.rereference import pair_blocks
 from leadwave.operators.spectrum import bandpower_bins, bandpower_windows, hop_layout, relayout, welch_layout
 from leadwave.schema import BANDS
 from leadwave.session import broadcast_if_small
@@ -48,8 +48,9 @@ def bipolar_bandpower(
     max_freq: float | None = 200.0, detrend: str | None = "constant", partial: str = "shrink",
 ) -> DataFrame:
     """Raw channels to band power with a single shuffle of the signal: cutting to bins and bringing
-    neighbouring contacts together happen in one exchange."""
-    laid = bipolar_subtract(signals, channel_map, pairs, layout)
+    neighbouring contacts together happen in one exchange, and the difference is taken in the spectral
+    step, which reads both arrays."""
+    laid = pair_blocks(signals, channel_map, pairs, layout)
     if method == "welch":
         return bandpower_bins(laid, bands, max_freq, detrend, partial)
     return bandpower_windows(laid, bands, detrend)
