@@ -336,7 +336,9 @@ def first_n_channels(s, d):
 @query("channels_by_index", O.sql(
     "SELECT run_id, pair_idx, location, sample_idx, round(value, 9) + 0.0 AS value FROM bip WHERE pair_idx IN (0, 10, 50, 100, 150)", *O.bipolar_steps("all")))
 def channels_by_index(s, d):
-    return B.sample_rows(C.channels_by_index(all_bipolar(s, d))).select("run_id", "pair_idx", "location", "sample_idx", R("value").alias("value"))
+    chosen = C.channels_by_index(P.bipolar_pairs(X.electrodes(s, d)))
+    bipolar = bipolar_subtract(X.signals(s, d), X.channel_map(s, d), chosen)
+    return B.sample_rows(bipolar).select("run_id", "pair_idx", "location", "sample_idx", R("value").alias("value"))
 
 
 @query("channels_by_name", O.sql(
@@ -810,5 +812,5 @@ def bipolar_qc(s, d):
     "SELECT f.*, s.band, s.mean, s.std, s.min, s.max FROM (SELECT run_id, " + FLAGS.format(tol="1e-8") + " FROM tail GROUP BY run_id) f "
     f"JOIN (SELECT run_id, band, {BAND_STATS} FROM tail GROUP BY ALL) s ON s.run_id = f.run_id", *ALL_POWER, TAIL))
 def bandpower_qc(s, d):
-    checks = RP.bandpower_qc(all_power(s, d))
+    checks = RP.bandpower_qc(D.scan_band_power(s, _stored(s, d, "qc")))
     return checks["tail_flags"].join(_rounded_stats(checks["tail_stats"]), "run_id")

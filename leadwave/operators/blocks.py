@@ -5,16 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leadwave.functions.frames import turn_frames
 from leadwave.session import broadcast_if_small
 
 RUN_SERIES = ("run_id", "series_name")
 
 
-def _floor_div(a: Column, b: Column) -> Column:
-    """Integer division of non-negative numbers, exact for any BIGINT."""
-    return F.call_function("div", a, b)
-
-
 def blocks_from_frames(frames: DataFrame, block_len: int) -> DataFrame:
     """Turn time-major rows (run_id, series_name, sample_idx, frame ARRAY) into channel blocks.
 
@@ -25,35 +21,28 @@ def blocks_from_frames(frames: DataFrame, block_len: int) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("sample_idx", "frame"))).alias("rows")
     )
     timed = gathered.select(
-        *RUN_SERIES, "block_idx", F.col("rows.sample_idx")[0].alias("start_sample"), F.col("rows.frame").alias("frames")
-    )
-    channels = F.sequence(F.lit(0), F.size(F.col("frames")[0]) - 1)
-    turned = F.transform(channels, lambda c: F.transform("frames", lambda frame: F.get(frame, c)))
-    return timed.select(*RUN_SERIES, "block_idx", "start_sample", F.posexplode(turned).alias("channel_pos", "samples")).select(
-        *RUN_SERIES, "channel_pos", "block_idx", "start_sample", "samples"
+        *RUN_SERIES,
+        "block_idx",
+        F.col("rows.sample_idx")[0].alias("start_sample"),
+        F.col("rows.frame").cast("array<array<float>>").alias("frames"),
     )
+    channels = timed.select(
+        *RUN_SERIES, "block_idx", "start_sample", F.posexplode_outer(turn_frames()("frames")).alias("channel_pos", "samples")
+    ).where(F.col("channel_pos").isNotNull())
+    return channels.select(*RUN_SERIES, "channel_pos", "block_idx", "start_sample", "samples")
 
 
 def blocks_from_samples(samples: DataFrame, block_len: int) -> DataFrame:
     """Turn long rows (run_id, series_name, channel_pos, sample_idx, value) into channel blocks."""
     block = F.call_function("div", F.col("sample_idx"), F.lit(block_len)).alias("block_idx")
-    gathered = samples.groupBy(*RUN_SERIES, "channel_pos", block).agg(
-        F.sort_array(F.collect_list(F.struct("sample_idx", F.col("value").cast("float")))).alias("rows")
-    )
+    row = F.struct("sample_idx", F.col("value").cast("float").alias("value"))
+    gathered = samples.groupBy(*RUN_SERIES, "channel_pos", block).agg(F.sort_array(F.collect_list(row)).alias("rows"))
     return gathered.select(
-        *RUN_SERIES,
-        "channel_pos",
-        "block_idx",
-        F.col("rows")[0]["sample_idx"].alias("start_sample"),
-        F.transform("rows", lambda row: row[row_value(gathered)]).alias("samples"),
+        *RUN_SERIES, "channel_pos", "block_idx",
+        F.col("rows.sample_idx")[0].alias("start_sample"), F.col("rows.value").alias("samples"),
     )
 
 
-def row_value(gathered: DataFrame) -> str:
-    """Name of the value field that struct() gave the gathered pairs."""
-    return gathered.schema["rows"].dataType.elementType.fields[1].name
-
-
 def sample_rows(blocks: DataFrame) -> DataFrame:
     """One row per sample: every column but the array, plus sample_idx and value DOUBLE."""
     carried = [c for c in blocks.columns if c not in ("samples", "start_sample", "block_idx")]
@@ -112,8 +101,8 @@ def recut(
         .withColumns({"_length": length, "_halo": halo})
     )
     start = F.col("start_sample")
-    first = _floor_div(F.greatest(start - F.col("_halo"), zero), F.col("_length"))
-    last = _floor_div(start + F.col("_size") - 1, F.col("_length"))
+    first = F.call_function("div", F.greatest(start - F.col("_halo"), zero), F.col("_length"))
+    last = F.call_function("div", start + F.col("_size") - 1, F.col("_length"))
     pieces = pieces.withColumn("block_idx", F.explode(F.sequence(first, last)))
     bin_start = F.col("block_idx") * F.col("_length")
     pieces = pieces.withColumns(

@@ -84,27 +84,30 @@ def processing_params(
     return layout.join(counts, "run_id").select("run_id", record.alias("params"))
 
 
-def duplicate_keys(table: DataFrame, keys: list[str]) -> DataFrame:
-    """Runs in which a key that must be unique is not."""
-    return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).select("run_id").distinct()
-
-
 def validate_runs(recordings: DataFrame, electrodes: DataFrame, channel_map: DataFrame, pairs: DataFrame, layout: DataFrame) -> DataFrame:
-    """Status of each run before the signal is touched; works on metadata only."""
-    repeated = duplicate_keys(electrodes, ["run_id", "electrode_id"]).unionByName(
-        duplicate_keys(channel_map, ["run_id", "electrode_id"])
-    ).unionByName(duplicate_keys(channel_map, ["run_id", "channel_pos"])).distinct().withColumn("repeated", F.lit(True))
-    paired = pairs.select("run_id").distinct().withColumn("paired", F.lit(True))
-    windows = layout.select("run_id", "noverlap")
-    checked = (
-        recordings.select("run_id", "n_samples")
-        .join(repeated, "run_id", "left")
-        .join(paired, "run_id", "left")
-        .join(windows, "run_id", "left")
+    """Status of each run before the signal is touched; works on metadata only.
+
+    The keys that must be unique within a run are counted together, in one grouping.
+    """
+    def keys(table, kind, column):
+        return table.select("run_id", F.lit(kind).alias("kind"), F.col(column).cast("bigint").alias("key"))
+
+    listed = (
+        keys(electrodes, "electrode", "electrode_id")
+        .unionAll(keys(channel_map, "mapped electrode", "electrode_id"))
+        .unionAll(keys(channel_map, "channel", "channel_pos"))
+        .unionAll(keys(pairs, "pair", "pair_idx"))
+    )
+    counted = listed.groupBy("run_id", "kind", "key").agg(F.count(F.lit(1)).alias("n"))
+    found = counted.groupBy("run_id").agg(
+        F.bool_or(F.col("n") > 1).alias("repeated"), F.bool_or(F.col("kind") == "pair").alias("paired")
+    )
+    checked = recordings.select("run_id", "n_samples").join(found, "run_id", "left").join(
+        layout.select("run_id", "noverlap"), "run_id", "left"
     )
     reason = (
         F.when(F.col("repeated"), "electrode or channel listed twice")
-        .when(F.col("paired").isNull(), "no bipolar pairs")
+        .when(~F.coalesce("paired", F.lit(False)), "no bipolar pairs")
         .when(F.col("noverlap").isNull(), "overlap not below segment length")
         .when(F.col("n_samples") <= F.col("noverlap"), "recording too short")
     )

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadwave.operators.blocks import recut
-from leadwave.session import broadcast_if_small
+from leadwave.session import broadcast_if_small, materialise
 
 # Contacts of a shaft that are put together in one group of rows; it bounds the group, not the pairs.
 CONTACTS_PER_GROUP = 32
@@ -51,7 +51,7 @@ def pair_blocks(signals: DataFrame, channel_map: DataFrame, pairs: DataFrame, la
     if layout is not None:
         members = members.join(layout, "run_id")
         carried = [c for c in layout.columns if c not in ("run_id", "block_len", "halo")]
-    placed = signals.join(broadcast_if_small(members), ["run_id", "channel_pos"])
+    placed = signals.join(broadcast_if_small(materialise(members)), ["run_id", "channel_pos"])
     group = ["run_id", "series_name", "shaft", "bucket"]
     member = ["electrode_id", "contact_num", "pair_idx", "location", "cathode_id", *carried]
     if layout is not None:

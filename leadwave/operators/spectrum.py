@@ -135,9 +135,10 @@ def _transform_points(nperseg: Column, sfreq: Column, max_freq: float | None) ->
 
 def _frequency_rows(spectra: DataFrame, keys: list[str], per_window: Column, nperseg: Column, max_freq: float | None):
     points = _transform_points(nperseg, F.col("sfreq"), max_freq)
+    # The outer form, because the inner one adds a filter on the array that runs the UDF a second time.
     return spectra.select(
-        *keys, points.alias("_points"), per_window.cast("bigint").alias("_bins"), F.posexplode("_psd").alias("_pos", "psd")
-    ).select(
+        *keys, points.alias("_points"), per_window.cast("bigint").alias("_bins"), F.posexplode_outer("_psd").alias("_pos", "psd")
+    ).where(F.col("_pos").isNotNull()).select(
         *keys,
         F.call_function("div", F.col("_pos"), F.col("_bins")).alias("_w"),
         (F.col("_pos") % F.col("_bins")).alias("freq_idx"),
@@ -208,7 +209,9 @@ def band_mean(densities: DataFrame, keys: list[str], bands: dict = BANDS) -> Dat
 def _band_rows(summed: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     labels = F.array(*[F.lit(n) for n in names])
     width = F.lit(len(names))
-    return summed.select(*keys, F.posexplode("_power").alias("_pos", "power")).select(
+    # The outer form, because the inner one adds a filter on the array that runs the UDF a second time.
+    rows = summed.select(*keys, F.posexplode_outer("_power").alias("_pos", "power")).where(F.col("_pos").isNotNull())
+    return rows.select(
         *keys,
         F.call_function("div", F.col("_pos"), width).alias("_w"),
         F.element_at(labels, (F.col("_pos") % width + 1).cast("int")).alias("band"),

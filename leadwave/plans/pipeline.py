@@ -82,8 +82,7 @@ def process(
     layout = spectral_layout(recordings, chosen)
     status = validate_runs(recordings, electrodes, channel_map, pairs, layout)
     sound = status.where(F.col("status") == "succeeded").select("run_id")
-    pairs, layout = (table.join(sound, "run_id", "left_semi") for table in (pairs, layout))
-
+    layout = layout.join(sound, "run_id", "left_semi")
     power = bipolar_bandpower(
         signals, channel_map, pairs, layout, chosen["method"], bands,
         chosen["max_freq"], chosen["detrend"], chosen["partial"],
@@ -91,7 +90,7 @@ def process(
     described = drop_unparseable(parse_electrode_label(electrodes)) if chosen["parsed_columns"] else electrodes
     return {
         "band_power": power,
-        "electrodes": bipolar_table(described, pairs, chosen["pair_table"]),
+        "electrodes": bipolar_table(described, pairs.join(sound, "run_id", "left_semi"), chosen["pair_table"]),
         "bands": S.bands_frame(signals.sparkSession, bands),
         "sessions": session_metadata(recordings.join(sound, "run_id", "left_semi")),
         "layout": layout,

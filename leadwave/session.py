@@ -30,6 +30,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/leadwave-{uuid.uuid4().hex}/{name}"
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """Checkpoint a metadata table in the shared folder, so that it is computed once and survives lost executors."""
+    spark = df.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
     """Mark a metadata table for broadcast when its row count is within the bound.
 
