@@ -23,7 +23,8 @@ def transform_length(nperseg: int, sfreq: float, max_freq: float) -> int:
 
 
 def periodic_hann(n: int) -> np.ndarray:
-    return 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(n) / n)
+    """Periodic Hann window; a single sample keeps its weight."""
+    return np.ones(1) if n == 1 else 0.5 - 0.5 * np.cos(2.0 * np.pi * np.arange(n) / n)
 
 
 def _band_bins(bands, sfreq: float, nfft: int) -> list[slice]:
