@@ -49,9 +49,8 @@ def difference(left: pd.DataFrame, right: pd.DataFrame) -> str | None:
         if not same.all():
             at = (~same).idxmax()
             return f"{name}: {(~same).sum()} differ, first {a.loc[at].to_dict()} / {b.loc[at].to_dict()}"
-        kinds = {frame[name].dtype.kind for frame in (a, b)}
-        nullable = a[name].isna().any() or "O" in kinds
-        if len(kinds) > 1 and not nullable:
+        types = {str(frame[name].dtype) for frame in (a, b) if frame[name].dtype.kind in "iufb"}
+        if len(types) > 1 and not a[name].isna().any():
             return f"{name}: type {a[name].dtype} / {b[name].dtype}"
     return None
 

@@ -80,18 +80,10 @@ def slice_samples(blocks: DataFrame, start: Column | int, end: Column | int, blo
     return kept.withColumns({"samples": cut, "start_sample": first + skip})
 
 
-def recut(
-    blocks: DataFrame,
-    keys: list[str],
-    length: Column | int,
-    halo: Column | int = 0,
-    place_by: list[str] | None = None,
-) -> DataFrame:
-    """Cut blocks to bins [b * length, (b + 1) * length + halo) per key; the bin becomes block_idx.
-
-    A sample inside a halo is sent to both bins, so no bin needs its neighbour later. `place_by`
-    names fewer columns to shuffle on (plus the bin), for a later step that groups by those: the
-    assembly below then needs no shuffle of its own.
+def cut_pieces(blocks: DataFrame, keys: list[str], length: Column | int, halo: Column | int = 0) -> DataFrame:
+    """Cut blocks at the edges of bins [b * length, (b + 1) * length + halo); the bin becomes block_idx.
+
+    A sample inside a halo goes to both bins, so no bin needs its neighbour later.
     """
     length, halo = (F.lit(v).cast("bigint") if isinstance(v, int) else v.cast("bigint") for v in (length, halo))
     zero = F.lit(0).cast("bigint")
@@ -114,24 +106,25 @@ def recut(
     piece = F.when((F.col("_skip") == 0) & (F.col("_stop") == F.col("_size")), F.col("samples")).otherwise(
         F.slice("samples", (F.col("_skip") + 1).cast("int"), (F.col("_stop") - F.col("_skip")).cast("int"))
     )
-    placed = pieces.select(*keys, "block_idx", (start + F.col("_skip")).alias("start_sample"), piece.alias("samples"))
-    if place_by is not None:
-        placed = placed.repartition(*place_by, "block_idx")
+    return pieces.select(*keys, "block_idx", (start + F.col("_skip")).alias("start_sample"), piece.alias("samples"))
+
+
+def assemble(pieces: DataFrame, keys: list[str]) -> DataFrame:
+    """Join the pieces of each bin in order; no shuffle when they are placed by some of the keys and the bin."""
     parts = F.sort_array(F.collect_list(F.struct("start_sample", "samples")))
+    whole = F.when(F.size("parts") == 1, F.col("parts")[0]["samples"]).otherwise(F.flatten(F.col("parts.samples")))
     return (
-        placed.groupBy(*keys, "block_idx")
+        pieces.groupBy(*keys, "block_idx")
         .agg(parts.alias("parts"))
-        .select(
-            *keys,
-            "block_idx",
-            F.col("parts")[0]["start_sample"].alias("start_sample"),
-            F.when(F.size("parts") == 1, F.col("parts")[0]["samples"])
-            .otherwise(F.flatten(F.col("parts.samples")))
-            .alias("samples"),
-        )
+        .select(*keys, "block_idx", F.col("parts")[0]["start_sample"].alias("start_sample"), whole.alias("samples"))
     )
 
 
+def recut(blocks: DataFrame, keys: list[str], length: Column | int, halo: Column | int = 0) -> DataFrame:
+    """Blocks of another length per key, each followed by halo samples of the next."""
+    return assemble(cut_pieces(blocks, keys, length, halo), keys)
+
+
 def measure_recordings(signals: DataFrame) -> DataFrame:
     """n_samples and n_channels per run, taken from the blocks at ingest.
 

@@ -108,6 +108,7 @@ def validate_runs(recordings: DataFrame, electrodes: DataFrame, channel_map: Dat
     reason = (
         F.when(F.col("repeated"), "electrode or channel listed twice")
         .when(~F.coalesce("paired", F.lit(False)), "no bipolar pairs")
+        .when(F.col("n_samples").isNull(), "unknown length")
         .when(F.col("noverlap").isNull(), "overlap not below segment length")
         .when(F.col("n_samples") <= F.col("noverlap"), "recording too short")
     )

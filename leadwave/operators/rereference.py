@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadwave.operators.blocks import recut
+from leadwave.operators.blocks import assemble, cut_pieces
 from leadwave.session import broadcast_if_small, materialise
 
 # Contacts of a shaft that are put together in one group of rows; it bounds the group, not the pairs.
 CONTACTS_PER_GROUP = 32
 
+# Where channels come together, with the block: some contacts of one shaft.
+GROUP = ["run_id", "series_name", "shaft", "bucket"]
+
 
 def montage(pairs: DataFrame, channel_map: DataFrame) -> DataFrame:
     """Which channels take part in the pairs, and where they are put together.
@@ -39,26 +42,57 @@ def montage(pairs: DataFrame, channel_map: DataFrame) -> DataFrame:
     return roles.join(channel_map, ["run_id", "electrode_id"])
 
 
-def pair_blocks(signals: DataFrame, channel_map: DataFrame, pairs: DataFrame, layout: DataFrame | None = None) -> DataFrame:
+def _place(signals: DataFrame, members: DataFrame, layout: DataFrame | None, keys: list[str], aligned: bool) -> DataFrame:
+    """Signal rows with their roles, cut to the layout and shuffled to where their group comes together.
+
+    Few members are broadcast, and channels outside every pair drop out before the shuffle. Many members
+    meet the signal after it: they are spread over the bins of their run and shuffled to (run, bin) like
+    the signal itself. With spark.sql.requireAllClusterKeysForCoPartition=false Spark then joins without
+    another shuffle; the default gives the same rows with one more.
+    """
+    small = broadcast_if_small(members)
+    if layout is None or aligned:
+        return signals.join(small, ["run_id", "channel_pos"])
+    if small is not members:
+        pieces = cut_pieces(signals.join(small, ["run_id", "channel_pos"]), keys, F.col("block_len"), F.col("halo"))
+        return assemble(pieces.repartition(*GROUP, "block_idx"), keys)
+    sized = broadcast_if_small(materialise(layout.select("run_id", "block_len", "halo")))
+    columns = ["run_id", "series_name", "channel_pos"]
+    pieces = cut_pieces(signals.join(sized, "run_id"), columns, F.col("block_len"), F.col("halo"))
+    last = F.call_function("div", F.col("n_samples") - 1, F.col("block_len"))
+    spread = members.withColumn("block_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    met = pieces.repartition("run_id", "block_idx").join(
+        spread.repartition("run_id", "block_idx"), ["run_id", "channel_pos", "block_idx"]
+    )
+    return assemble(met, keys)
+
+
+def pair_blocks(
+    signals: DataFrame, channel_map: DataFrame, pairs: DataFrame, layout: DataFrame | None = None, aligned: bool = False
+) -> DataFrame:
     """Blocks of both contacts of each pair, side by side as samples (anode) and cathode_samples.
 
-    The signal is shuffled once, to (run, group of contacts, block), and channels outside every pair
-    are left out before it. Both arrays end where the shorter one ends. `layout` (run_id, block_len,
-    halo, plus columns to carry) cuts the blocks anew in that same shuffle.
+    The signal is shuffled once, to groups of contacts of one shaft and block. Both arrays end where the
+    shorter one ends. `layout` (run_id, n_samples, block_len, halo, plus columns to carry) cuts the blocks
+    anew in that same shuffle, or with `aligned` only checks that they are cut that way already.
     """
     members = montage(pairs, channel_map)
     carried: list[str] = []
     if layout is not None:
         members = members.join(layout, "run_id")
-        carried = [c for c in layout.columns if c not in ("run_id", "block_len", "halo")]
-    placed = signals.join(broadcast_if_small(materialise(members)), ["run_id", "channel_pos"])
-    group = ["run_id", "series_name", "shaft", "bucket"]
+        carried = [c for c in layout.columns if c not in ("run_id", "n_samples", "block_len", "halo")]
     member = ["electrode_id", "contact_num", "pair_idx", "location", "cathode_id", *carried]
-    if layout is not None:
-        placed = recut(placed, group + member, F.col("block_len"), F.col("halo"), place_by=group)
-    together = Window.partitionBy(*group, "block_idx").orderBy("contact_num", "electrode_id")
+    placed = _place(signals, materialise(members), layout, GROUP + member, aligned)
+    if layout is not None and aligned:
+        fits = (F.col("start_sample") == F.col("block_idx") * F.col("block_len")) & (
+            (F.size("samples") <= F.col("block_len")) & (F.col("halo") == 0)
+        )
+        placed = placed.withColumn(
+            "samples", F.when(fits, F.col("samples")).otherwise(F.raise_error(F.lit("blocks are not cut to the bins")))
+        )
+    together = Window.partitionBy(*GROUP, "block_idx").orderBy("contact_num", "electrode_id")
     following = placed.select(
-        *group, *member, "block_idx", "start_sample", "samples",
+        *GROUP, *member, "block_idx", "start_sample", "samples",
         F.lead("electrode_id").over(together).alias("next_id"),
         F.lead("samples").over(together).alias("next_samples"),
     ).where(F.col("pair_idx").isNotNull() & (F.col("next_id") == F.col("cathode_id")))

@@ -47,6 +47,7 @@ def hop_layout(
 def _layout(recordings: DataFrame, nperseg: Column, noverlap: Column, block_len: Column, halo: Column | None = None):
     return recordings.select(
         "run_id",
+        "n_samples",
         "sfreq",
         nperseg.alias("nperseg"),
         noverlap.alias("noverlap"),
@@ -57,7 +58,7 @@ def _layout(recordings: DataFrame, nperseg: Column, noverlap: Column, block_len:
 
 def relayout(blocks: DataFrame, layout: DataFrame) -> DataFrame:
     """Cut pair blocks to the layout of their run."""
-    carried = [c for c in layout.columns if c not in ("run_id", "block_len", "halo")]
+    carried = [c for c in layout.columns if c not in ("run_id", "n_samples", "block_len", "halo")]
     joined = blocks.join(broadcast_if_small(layout), "run_id")
     return recut(joined, SIGNAL_KEYS + carried, F.col("block_len"), F.col("halo"))
 

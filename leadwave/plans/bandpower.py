@@ -45,12 +45,12 @@ def bandpower_stft(
 
 def bipolar_bandpower(
     signals: DataFrame, channel_map: DataFrame, pairs: DataFrame, layout: DataFrame, method: str, bands: dict = BANDS,
-    max_freq: float | None = 200.0, detrend: str | None = "constant", partial: str = "shrink",
+    max_freq: float | None = 200.0, detrend: str | None = "constant", partial: str = "shrink", aligned: bool = False,
 ) -> DataFrame:
     """Raw channels to band power with a single shuffle of the signal: cutting to bins and bringing
     neighbouring contacts together happen in one exchange, and the difference is taken in the spectral
-    step, which reads both arrays."""
-    laid = pair_blocks(signals, channel_map, pairs, layout)
+    step, which reads both arrays. `aligned` says that stored blocks are the bins already."""
+    laid = pair_blocks(signals, channel_map, pairs, layout, aligned)
     if method == "welch":
         return bandpower_bins(laid, bands, max_freq, detrend, partial)
     return bandpower_windows(laid, bands, detrend)

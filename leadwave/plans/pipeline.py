@@ -35,7 +35,7 @@ PRESETS = {
 DEFAULTS = {
     "method": "welch", "nperseg": None, "overlap": 0.5, "window_sec": None, "overlap_sec": None, "bin_sec": 60.0,
     "max_freq": None, "detrend": "constant", "partial": "shrink", "pair_table": "averaged", "parsed_columns": False,
-    "exclude": None, "compat_rate": False,
+    "exclude": None, "compat_rate": False, "aligned": False,
 }
 
 
@@ -85,7 +85,7 @@ def process(
     layout = layout.join(sound, "run_id", "left_semi")
     power = bipolar_bandpower(
         signals, channel_map, pairs, layout, chosen["method"], bands,
-        chosen["max_freq"], chosen["detrend"], chosen["partial"],
+        chosen["max_freq"], chosen["detrend"], chosen["partial"], chosen["aligned"],
     )
     described = drop_unparseable(parse_electrode_label(electrodes)) if chosen["parsed_columns"] else electrodes
     return {

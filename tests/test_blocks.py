@@ -76,7 +76,7 @@ def test_subtraction_with_another_layout_is_the_same(spark):
     labels = ["A1", "A2", "A3"]
     channels = [np.arange(50.0) * k for k in (1, 3, 7)]
     electrodes = H.electrodes(spark, {"r": labels})
-    layout = spark.createDataFrame([("r", 8, 0)], "run_id string, block_len bigint, halo bigint")
+    layout = spark.createDataFrame([("r", 50, 8, 0)], "run_id string, n_samples bigint, block_len bigint, halo bigint")
     got = bipolar_subtract(H.blocks(spark, {"r": channels}, 11), H.channel_map(electrodes), P.bipolar_pairs(electrodes), layout)
     assert got.count() == 2 * 7
     assert {(p, t): v for (_, p, t), v in long(got, "pair_idx").items()} == brute_pairs(channels, labels)

@@ -152,6 +152,50 @@ def test_bucketed_signals_are_not_shuffled(spark):
         spark.sql("DROP TABLE bucketed_signals")
 
 
+def powers(frame):
+    return {(r.bin_idx, r.pair_idx, r.band): r.power for r in frame.collect()}
+
+
+@pytest.mark.parametrize("preset, chosen, co_partition", [
+    ("chunked", {"nperseg": 100, "bin_sec": 0.5}, "true"), ("whole_file", {"nperseg": 100}, "false"),
+])
+def test_many_members_meet_the_signal_in_its_shuffle(spark, monkeypatch, preset, chosen, co_partition):
+    from leadwave.operators import rereference
+
+    root = scratch_path(spark, "members")
+    signals, *metadata = inputs(spark, ("a", "b"))
+    D.write_signals(signals, root)
+    stored = D.read_table(spark, root, "signals")
+    expected = powers(PL.process(stored, *metadata, preset, **chosen)["band_power"])
+    monkeypatch.setattr(rereference, "broadcast_if_small", lambda df: F.broadcast(df) if "channel_pos" not in df.columns else df)
+    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", co_partition)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        frame = PL.process(stored, *metadata, preset, **chosen)["band_power"]
+        text, got = plan(frame), powers(frame)
+    finally:
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == expected
+    if co_partition == "false":
+        assert text.count("Exchange hashpartitioning") == 2 and text.count("REPARTITION_BY_COL") == 2
+
+
+def test_aligned_bucketed_blocks_reach_band_power_without_shuffle(spark):
+    signals, *metadata = inputs(spark)
+    D.save_signals_bucketed(signals, "bucketed_bins", 4)
+    try:
+        stored = spark.table("bucketed_bins")
+        chosen = {"nperseg": 50, "bin_sec": 150 / FS}
+        frame = PL.process(stored, *metadata, "chunked", aligned=True, **chosen)["band_power"]
+        assert "Exchange hashpartitioning" not in plan(frame)
+        assert powers(frame) == powers(PL.process(stored, *metadata, "chunked", **chosen)["band_power"])
+        with pytest.raises(Exception, match="not cut to the bins"):
+            PL.process(stored, *metadata, "chunked", aligned=True, nperseg=50, bin_sec=0.25)["band_power"].collect()
+    finally:
+        spark.sql("DROP TABLE bucketed_bins")
+
+
 def test_slices_are_pushed_to_the_scan(spark):
     spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     root = scratch_path(spark, "pushed")
