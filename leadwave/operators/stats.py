@@ -71,8 +71,8 @@ def raw_vs_bipolar_ratio(raw: DataFrame, bipolar: DataFrame) -> DataFrame:
         sides.append(
             trace_layout(blocks, channel).groupBy("run_id").agg(
                 F.max("std").alias(f"{name}_std"),
-                (F.max("high") - F.min("low")).alias(f"{name}_range"),
-                F.min("trace_low").alias(f"{name}_low"),
+                (F.max("high") - _min(F.col("low"))).alias(f"{name}_range"),
+                _min(F.col("trace_low")).alias(f"{name}_low"),
                 F.max("trace_high").alias(f"{name}_high"),
             )
         )
@@ -106,14 +106,14 @@ def window_std(blocks: DataFrame, recordings: DataFrame, window_sec: float = 60.
 
 
 def exact_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Exact median per key without bringing all values of a key together.
+    """Exact median per key without bringing all values of a key together; NaN if any value is.
 
     An approximate bracket around the middle comes first; values outside it only matter by their
     number, so they collapse to one row below and one above before the exact step.
     """
-    bracket = F.percentile_approx(value, F.array(F.lit(0.499), F.lit(0.501)), F.lit(10_000))
-    bounds = values.groupBy(*keys).agg(bracket.alias("bracket"))
     v = F.col(value)
+    bracket = F.percentile_approx(value, F.array(F.lit(0.499), F.lit(0.501)), F.lit(10_000))
+    bounds = values.groupBy(*keys).agg(bracket.alias("bracket"), F.bool_or(F.isnan(v)).alias("spoiled"))
     clipped = (
         F.when(v < F.col("bracket")[0], F.lit(float("-inf")))
         .when(v > F.col("bracket")[1], F.lit(float("inf")))
@@ -122,20 +122,25 @@ def exact_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
     counted = (
         values.select(*keys, value)
         .join(bounds, keys)
-        .groupBy(*keys, clipped.alias("v"))
+        .groupBy(*keys, "spoiled", clipped.alias("v"))
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    return counted.groupBy(*keys).agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("median"))
+    median = F.percentile("v", F.lit(0.5), F.col("n"))
+    return counted.groupBy(*keys).agg(F.when(F.bool_or("spoiled"), F.lit(NAN)).otherwise(median).alias("median"))
 
 
 def dropout_detect(
     blocks: DataFrame, recordings: DataFrame, window_sec: float = 60.0, ratio: float = 0.1, keys=("run_id", "pair_idx", "location")
 ) -> DataFrame:
-    """Windows whose std is below ratio times the median window std of their channel."""
+    """Windows whose std is below ratio times the median window std of their channel.
+
+    A channel with a NaN window has no median to compare with, so none of its windows is listed.
+    """
     stds = window_std(blocks, recordings, window_sec, keys)
     medians = exact_median(stds, list(keys), "std")
     half = F.lit(window_sec / 120.0)
-    return stds.join(medians, list(keys)).where(F.col("std") < F.col("median") * F.lit(ratio)).select(
+    below = ~F.isnan("median") & (F.col("std") < F.col("median") * F.lit(ratio))
+    return stds.join(medians, list(keys)).where(below).select(
         *keys, "window_idx", "time_min", "std", "median",
         (F.col("time_min") - half).alias("span_start_min"), (F.col("time_min") + half).alias("span_end_min"),
     )

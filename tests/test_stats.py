@@ -44,6 +44,17 @@ def test_dropouts_and_flat_segments(spark):
     assert len(flat) == 10 and [r.zero_channels for r in flat] == [0, 0, 1] + [0] * 7
 
 
+def test_a_nan_window_leaves_a_channel_without_dropouts(spark):
+    x = np.random.default_rng(0).standard_normal(500)
+    x[100:200] = 0.0
+    x[320] = np.nan
+    blocks, rec = H.pair_blocks(spark, x, 130), H.recordings(spark, r=(100.0, 500))
+    assert Q.dropout_detect(blocks, rec, 1.0).count() == 0
+    frame = spark.createDataFrame([("k", 1.0), ("k", float("nan")), ("l", 2.0)], "key string, v double")
+    got = {r.key: r.median for r in Q.exact_median(frame, ["key"], "v").collect()}
+    assert np.isnan(got["k"]) and got["l"] == 2.0
+
+
 def test_minimum_keeps_nan_like_the_mean(spark):
     rows = Q.signal_stats(H.pair_blocks(spark, [1.0, float("nan"), -2.0], 2), ["run_id"]).collect()[0]
     assert all(np.isnan(v) for v in (rows.min, rows.max, rows.mean, rows.std, rows.range))
