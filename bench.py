@@ -24,7 +24,7 @@ from leadwave.sources.tables import read_table, write_signals
 
 HEADLINE = [
     "bipolar_pairs", "bipolar_table_averaged", "bipolar_subtract", "bandpower_welch", "bandpower_stft", "spectrogram",
-    "pipeline_welch", "pipeline_stft", "pipeline_stft_in_brain", "window_std", "dropout_detect", "band_stats", "bandpower_qc",
+    "process_welch", "process_stft", "process_stft_in_brain", "window_std", "dropout_detect", "band_stats", "bandpower_qc",
     "pending_runs", "signal_stats",
 ]
 

@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from checks import fixtures as X
 from checks import oracle as O
@@ -23,7 +22,7 @@ from leadwave.operators.rereference import bipolar_subtract
 from leadwave.plans import bandpower as BP
 from leadwave.plans import pipeline as PL
 from leadwave.plans import reports as RP
-from leadwave.schema import BANDS, bands_frame
+from leadwave.schema import bands_frame
 from leadwave.session import scratch_path
 from leadwave.sources import catalog as K
 from leadwave.sources import tables as D
@@ -607,7 +606,7 @@ def dropout_detect(s, d):
 @query("segment_flatness", O.sql(
     "SELECT run_id, window_idx AS segment_idx, round(window_idx * any_value(len) / any_value(sfreq) / 60, 9) AS start_min, round((window_idx + 1) * any_value(len) / any_value(sfreq) / 60, 9) AS end_min, "
     "round(avg(std), 9) + 0.0 AS mean_std, count(*) FILTER (std < 1e-10) AS zero_channels, count(*) AS n_channels FROM windows GROUP BY run_id, window_idx",
-    *[step if step != ("bip",) else step for step in DROP_STEPS],
+    *DROP_STEPS,
     ("chan", "SELECT run_id, channel_pos AS pair_idx, CAST(channel_pos AS VARCHAR) AS location, sample_idx, value FROM sig_drop"),
     _std_windows(SEGMENT_SEC, "chan")))
 def segment_flatness(s, d):
@@ -766,20 +765,20 @@ def preview_limit(s, d):
     return K.preview(K.discover_runs(X.run_files(s, d)))
 
 
-# --- pipelines ------------------------------------------------------------------------------------------
+# --- whole processing ------------------------------------------------------------------------------------------
 
 
 def _process(s, d, preset, **overrides):
     return PL.process(X.signals(s, d), X.recordings(s, d), X.electrodes(s, d), X.channel_map(s, d), preset, **overrides)
 
 
-@query("pipeline_welch", O.sql(O.ROUNDED_POWER, *ALL_POWER))
-def pipeline_welch(s, d):
+@query("process_welch", O.sql(O.ROUNDED_POWER, *ALL_POWER))
+def process_welch(s, d):
     return rounded_power(_process(s, d, "chunked", **WELCH_ALL)["band_power"])
 
 
-@query("pipeline_stft", O.sql(O.ROUNDED_POWER, *O.hop_power("all", "40", "30")))
-def pipeline_stft(s, d):
+@query("process_stft", O.sql(O.ROUNDED_POWER, *O.hop_power("all", "40", "30")))
+def process_stft(s, d):
     return rounded_power(_process(s, d, "whole_file", nperseg=40, overlap=0.75)["band_power"])
 
 
@@ -787,9 +786,9 @@ IN_BRAIN = ("elec_in", "SELECT run_id, electrode_id, location FROM elec_emb WHER
     f"coalesce(lower({c}) LIKE '%out of brain%', FALSE)" for c in ("location", "FS_label", "JP_label_original")) + ") UNION ALL SELECT run_id, electrode_id, location FROM elec_ev")
 
 
-@query("pipeline_stft_in_brain", O.sql(
+@query("process_stft_in_brain", O.sql(
     O.ROUNDED_POWER, *O.hop_power("all", "floor(0.1 * sfreq)", "floor(0.05 * sfreq)", elec="elec_in", extra=["elec_emb", "elec_ev", IN_BRAIN])))
-def pipeline_stft_in_brain(s, d):
+def process_stft_in_brain(s, d):
     return rounded_power(_process(s, d, "in_brain", window_sec=0.1, overlap_sec=0.05)["band_power"])
 
 
