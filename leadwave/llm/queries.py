@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadwave.llm import decontam, mixing, ngram_join, sharding, toxicity
+from leadwave.llm import decontam, fingerprints, mixing, ngram_join, sharding, token_counts, toxicity
 from leadwave.llm.common import held_out
 
 SHARDS = 24
 CYCLE = (5, 2, 1)
 RATIO, EPOCHS = (3, 2), 2
+TOKENIZER = "word_bpe_49k.json"
+TOKEN_LIMIT = 2048
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -49,10 +52,25 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    counted = token_counts.count_tokens(docs, public_tokenizers.path(TOKENIZER))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = fingerprints.neighbour_fingerprints(_read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_sharding": op3_sharding,
     "op4_toxicity": op4_toxicity,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
     "op7_ngram_join": op7_ngram_join,
+    "op9_token_counts": op9_token_counts,
+    "op10_fingerprints": op10_fingerprints,
 }
