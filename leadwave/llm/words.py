@@ -75,13 +75,13 @@ def word_spans(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.nd
     return edges[::2], edges[1::2]
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """One hash for each word, worked out segment by segment so that long texts need no long arrays of powers."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of many spans with rising starts, segment by segment so that long texts need no long arrays of powers."""
     out, i = np.empty(len(starts), dtype=U), 0
     while i < len(starts):
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + _SEGMENT, side="right")))
+        j = int(np.searchsorted(starts, starts[i] + _SEGMENT, side="left"))
         first = starts[i]
-        out[i:j] = span_hash(prefix_hash(data[first : ends[j - 1]]), starts[i:j] - first, ends[i:j] - first)
+        out[i:j] = span_hash(prefix_hash(data[first : ends[i:j].max()]), starts[i:j] - first, ends[i:j] - first)
         i = j
     return out
 
@@ -94,7 +94,7 @@ class Words:
         data = np.frombuffer(b" ".join(texts), dtype=np.uint8)
         self.data = LOWER[data] if lower else data
         self.starts, self.ends = word_spans(self.data, is_word)
-        self.hashes = word_hashes(self.data, self.starts, self.ends)
+        self.hashes = span_hashes(self.data, self.starts, self.ends)
         self.first = np.concatenate(([0], np.searchsorted(self.starts, np.cumsum(sizes) - 1))).astype(np.int64)
 
     def grams(self, k: int) -> tuple[np.ndarray, np.ndarray]:
