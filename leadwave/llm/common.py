@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -15,10 +16,17 @@ CHUNK_BYTES = 1 << 20
 
 
 def stash(df: DataFrame, name: str) -> DataFrame:
-    """Write a slim table once to the folder all executors share and read it back: computed once, without lineage."""
-    path = scratch_path(df.sparkSession, name)
+    """Write a table once to the folder all executors share and read it back: computed once, without lineage.
+
+    What was shuffled for it is garbage then; the driver's collector is called so that Spark removes those files now and
+    not when the driver happens to run short of memory.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -16,7 +16,8 @@ from leadwave.llm.words import NOT_SPACE, U, Words, mix64, text_hash
 
 SHINGLE = 5
 LIKENESS = Fraction(4, 5)
-GROUPS = 32
+# Points have FINE coordinates; boxes of the tree, and points while they are compared inside it, have these summed to GROUPS.
+FINE, GROUPS = 128, 32
 # Shingles counted as frequent only change which of a set's shingles are looked at first; links do not depend on them.
 FREQUENT_MAX = 200_000
 _FLUSH = 4 << 20
@@ -65,7 +66,7 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
 def shingle_points(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKENESS) -> DataFrame:
     """(doc_id, row, n, set_key, counts, first): for each row its set's size, digest, group counts and leading shingles.
 
-    Shingles are hashed into GROUPS groups; `counts` has the number in each. `first` holds the n - ceil(likeness * n) + 1 leading
+    Shingles are hashed into FINE groups; `counts` has the number in each. `first` holds the n - ceil(likeness * n) + 1 leading
     shingles in one global order (frequent ones last, then by hash); two sets that are alike share one of them.
     """
     frequent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
@@ -79,7 +80,7 @@ def shingle_points(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKEN
                 n = len(shingles)
                 sizes.append(n)
                 keys.append(int(mix64(mix64(shingles + U(7)).sum(dtype=U, keepdims=True) + U(n)).view(np.int64)[0]) if n else None)
-                counts.append(np.bincount((shingles >> U(59)).astype(np.int64), minlength=GROUPS).astype(np.int32))
+                counts.append(np.bincount((shingles >> U(64 - FINE.bit_length() + 1)).astype(np.int64), minlength=FINE).astype(np.int32))
                 late = np.zeros(n, bool) if not len(often) else often[np.minimum(np.searchsorted(often, shingles), len(often) - 1)] == shingles
                 leading.append(np.concatenate((shingles[~late], shingles[late]))[: n + (-up * n) // down + 1 if n else 0].view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -147,11 +148,17 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = L
     shared = stash(leading.groupBy("shingle").agg(F.min("set_key").alias("head"), F.max("set_key").alias("last")).where("head != last").select("shingle", "head"), "shared")
     members = stash(leading.join(shared, "shingle").select("shingle", "head", "set_key").distinct(), "members")
 
-    box = nodes.select("set_key", F.struct(F.col("n").alias("least"), F.col("n").alias("most"), "counts").alias("box"))
-    of_a, of_b = (box.select(F.col("set_key").alias(x), F.col("box").alias(f"box_{x}")) for x in "ab")
+    point = nodes.select("set_key", F.struct(F.col("n").alias("least"), F.col("n").alias("most"), "counts").alias("box"))
+    coarse = F.array(*(sum((F.col("counts")[g] for g in range(i, i + FINE // GROUPS)), F.lit(0)) for i in range(0, FINE, FINE // GROUPS)))
+    box = nodes.select("set_key", F.struct(F.col("n").alias("least"), F.col("n").alias("most"), coarse.alias("counts")).alias("box"))
+
+    def close(pairs: DataFrame) -> DataFrame:
+        """The pairs whose points may link by all their coordinates."""
+        of_a, of_b = (point.select(F.col("set_key").alias(x), F.col("box").alias(f"box_{x}")) for x in "ab")
+        return pairs.join(of_a, "a").join(of_b, "b").where(_may_link("box_a", "box_b", likeness)).select("a", "b")
+
     stars = members.where("head != set_key").select(F.col("head").alias("a"), F.col("set_key").alias("b")).distinct()
-    stars = stars.join(of_a, "a").join(of_b, "b").where(_may_link("box_a", "box_b", likeness)).select("a", "b")
-    links = stash(_verified(stash(stars, "stars"), nodes, docs, k, likeness), "links")
+    links = stash(_verified(stash(close(stars), "stars"), nodes, docs, k, likeness), "links")
 
     placed = members.join(components(links).withColumnRenamed("node", "set_key"), "set_key", "left").select("shingle", "set_key", F.coalesce("root", "set_key").alias("root"))
     mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).where("low != high and held > 2").select("shingle")
@@ -165,7 +172,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = L
     inner = placed.join(box, "set_key")
     a, b = (inner.select("shingle", F.col("root").alias(f"root_{x}"), F.col("set_key").alias(x), F.col("box").alias(f"box_{x}")) for x in "ab")
     found = opened.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).where(_may_link("box_a", "box_b", likeness))
-    more = _verified(stash(found.select("a", "b").distinct(), "found"), nodes, docs, k, likeness)
+    more = _verified(stash(close(found.select("a", "b").distinct()), "found"), nodes, docs, k, likeness)
 
     roots = stash(components(links.union(more)), "roots")
     named = nodes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
