@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadwave.functions.frames import turn_frames
-from leadwave.session import broadcast_if_small
+from leadwave.session import join_metadata
 
 RUN_SERIES = ("run_id", "series_name")
 
@@ -143,10 +143,8 @@ def channel_arrays(signals: DataFrame, names: DataFrame, ch_type: str = "seeg")
 
     The blocks stay separate rows: a whole recording of one channel has no size bound.
     """
-    named = signals.join(
-        broadcast_if_small(names.select("run_id", "channel_pos", F.col("location").alias("channel_name"))),
-        ["run_id", "channel_pos"],
-    )
+    labels = names.select("run_id", "channel_pos", F.col("location").alias("channel_name"))
+    named = join_metadata(signals, labels, ["run_id", "channel_pos"])
     return named.select(
         *RUN_SERIES, "channel_pos", "channel_name", F.lit(ch_type).alias("ch_type"), "block_idx", "start_sample", "samples"
     )

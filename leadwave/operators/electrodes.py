@@ -62,7 +62,8 @@ def channel_electrode_join(channel_map: DataFrame, electrodes: DataFrame) -> Dat
 
 def excluded_channels(electrodes: DataFrame, channel_map: DataFrame, n: int = 20) -> DataFrame:
     """The first n channels per run labelled exactly 'Out of Brain', in channel order."""
-    marked = electrodes.where(F.col("JP_label_original") == "Out of Brain")
+    label = F.col("JP_label_original") if "JP_label_original" in electrodes.columns else F.lit(None).cast("string")
+    marked = electrodes.where(label == "Out of Brain")
     mapped = channel_electrode_join(channel_map, marked)
     order = Window.partitionBy("run_id").orderBy("channel_pos")
     return (

@@ -84,8 +84,10 @@ def processing_params(
     return layout.join(counts, "run_id").select("run_id", record.alias("params"))
 
 
-def validate_runs(recordings: DataFrame, electrodes: DataFrame, channel_map: DataFrame, pairs: DataFrame, layout: DataFrame) -> DataFrame:
-    """Status of each run before the signal is touched; works on metadata only.
+def validate_runs(
+    recordings: DataFrame, electrodes: DataFrame, channel_map: DataFrame, pairs: DataFrame, layout: DataFrame, signals: DataFrame | None = None
+) -> DataFrame:
+    """Status of each run before the signal is touched; works on metadata only, and on the names of runs and series in `signals`.
 
     The keys that must be unique within a run are counted together, in one grouping.
     """
@@ -102,14 +104,22 @@ def validate_runs(recordings: DataFrame, electrodes: DataFrame, channel_map: Dat
     found = counted.groupBy("run_id").agg(
         F.bool_or(F.col("n") > 1).alias("repeated"), F.bool_or(F.col("kind") == "pair").alias("paired")
     )
-    checked = recordings.select("run_id", "n_samples").join(found, "run_id", "left").join(
-        layout.select("run_id", "noverlap"), "run_id", "left"
-    )
+    lengths = recordings.groupBy("run_id").agg(F.max("n_samples").alias("n_samples"), F.count(F.lit(1)).alias("listed"))
+    cuts = layout.groupBy("run_id").agg(F.max("nperseg").alias("nperseg"), F.max("noverlap").alias("noverlap"))
+    checked = lengths.join(found, "run_id", "left").join(cuts, "run_id", "left")
+    if signals is not None:
+        series = signals.select("run_id", "series_name").distinct().groupBy("run_id").agg(F.count(F.lit(1)).alias("series"))
+        checked = checked.join(series, "run_id", "full")
+    else:
+        checked = checked.withColumn("series", F.lit(1))
     reason = (
-        F.when(F.col("repeated"), "electrode or channel listed twice")
+        F.when(F.col("listed").isNull(), "no recordings row")
+        .when(F.col("listed") > 1, "recording listed twice")
+        .when(F.col("series") > 1, "more than one series")
+        .when(F.col("repeated"), "electrode or channel listed twice")
         .when(~F.coalesce("paired", F.lit(False)), "no bipolar pairs")
         .when(F.col("n_samples").isNull(), "unknown length")
-        .when(F.col("noverlap").isNull(), "overlap not below segment length")
+        .when(F.col("noverlap") >= F.col("nperseg"), "overlap not below segment length")
         .when(F.col("n_samples") <= F.col("noverlap"), "recording too short")
     )
     return checked.select(

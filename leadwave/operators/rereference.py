@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadwave.operators.blocks import assemble, cut_pieces
-from leadwave.session import broadcast_if_small, materialise
+from leadwave.session import is_small, join_metadata, join_spread, materialise
 
 # Contacts of a shaft that are put together in one group of rows; it bounds the group, not the pairs.
 CONTACTS_PER_GROUP = 32
@@ -50,15 +50,16 @@ def _place(signals: DataFrame, members: DataFrame, layout: DataFrame | None, key
     the signal itself. With spark.sql.requireAllClusterKeysForCoPartition=false Spark then joins without
     another shuffle; the default gives the same rows with one more.
     """
-    small = broadcast_if_small(members)
+    small = is_small(members)
     if layout is None or aligned:
-        return signals.join(small, ["run_id", "channel_pos"])
-    if small is not members:
-        pieces = cut_pieces(signals.join(small, ["run_id", "channel_pos"]), keys, F.col("block_len"), F.col("halo"))
+        on = ["run_id", "channel_pos"]
+        return signals.join(F.broadcast(members), on) if small else join_spread(signals, members, on)
+    if small:
+        pieces = cut_pieces(signals.join(F.broadcast(members), ["run_id", "channel_pos"]), keys, F.col("block_len"), F.col("halo"))
         return assemble(pieces.repartition(*GROUP, "block_idx"), keys)
-    sized = broadcast_if_small(materialise(layout.select("run_id", "block_len", "halo")))
+    sized = materialise(layout.select("run_id", "block_len", "halo"))
     columns = ["run_id", "series_name", "channel_pos"]
-    pieces = cut_pieces(signals.join(sized, "run_id"), columns, F.col("block_len"), F.col("halo"))
+    pieces = cut_pieces(join_metadata(signals, sized, ["run_id"]), columns, F.col("block_len"), F.col("halo"))
     last = F.call_function("div", F.col("n_samples") - 1, F.col("block_len"))
     spread = members.withColumn("block_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     met = pieces.repartition("run_id", "block_idx").join(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadwave.functions.timeaxis import whole_samples
 from leadwave.operators.blocks import slice_samples
-from leadwave.session import broadcast_if_small
+from leadwave.session import join_metadata
 
 # Pairs looked at when a recording is checked by eye.
 CHECKED_PAIRS = [0, 10, 50, 100, 150]
@@ -29,8 +29,8 @@ def segment_bounds(recordings: DataFrame, duration_min: float = 5.0, segment: st
 
 
 def segment_select(blocks: DataFrame, recordings: DataFrame, duration_min: float = 5.0, segment: str = "middle") -> DataFrame:
-    bounds = broadcast_if_small(segment_bounds(recordings, duration_min, segment))
-    return slice_samples(blocks.join(bounds, "run_id"), F.col("seg_start"), F.col("seg_end")).drop("seg_start", "seg_end")
+    bounds = segment_bounds(recordings, duration_min, segment)
+    return slice_samples(join_metadata(blocks, bounds, ["run_id"]), F.col("seg_start"), F.col("seg_end")).drop("seg_start", "seg_end")
 
 
 def first_n_channels(blocks: DataFrame, n: int, channel: str = "channel_pos") -> DataFrame:
@@ -56,11 +56,11 @@ def shaft_select(raw: DataFrame, bipolar: DataFrame, channels: DataFrame, pairs:
     chosen = channels.where(F.col("shaft") == shaft).select("run_id", "channel_pos", "location")
     paired = pairs.where(F.col("shaft") == shaft).select("run_id", "pair_idx")
     layout = ("block_idx", "start_sample", "samples")
-    left = raw.join(broadcast_if_small(chosen), ["run_id", "channel_pos"]).select(
+    left = join_metadata(raw, chosen, ["run_id", "channel_pos"]).select(
         F.lit("raw").alias("kind"), "run_id", F.col("channel_pos").alias("trace_idx"), "location",
         *layout[:2], F.col("samples").cast("array<double>").alias("samples"),
     )
-    right = bipolar.join(broadcast_if_small(paired), ["run_id", "pair_idx"]).select(
+    right = join_metadata(bipolar, paired, ["run_id", "pair_idx"]).select(
         F.lit("bipolar").alias("kind"), "run_id", F.col("pair_idx").alias("trace_idx"), "location", *layout
     )
     return left.unionByName(right)

@@ -9,7 +9,7 @@ from leadwave.functions.spectral import spectral_udf
 from leadwave.functions.timeaxis import bin_center, hop_center, whole_samples
 from leadwave.operators.blocks import recut
 from leadwave.schema import BANDS
-from leadwave.session import broadcast_if_small
+from leadwave.session import broadcast_if_small, join_metadata
 
 # Samples a re-cut block of hopping windows aims at; bounds the row, not the result.
 HOP_BLOCK_SAMPLES = 60_000
@@ -39,7 +39,7 @@ def hop_layout(
     """
     size = F.lit(nperseg).cast("bigint") if window_sec is None else whole_samples(window_sec, F.col("sfreq"))
     shared = (size * F.lit(overlap)).cast("bigint") if overlap_sec is None else whole_samples(overlap_sec, F.col("sfreq"))
-    step = size - shared
+    step = F.greatest(size - shared, F.lit(1).cast("bigint"))
     steps = F.greatest(F.lit(1).cast("bigint"), F.call_function("div", F.lit(HOP_BLOCK_SAMPLES).cast("bigint"), step))
     return _layout(recordings, size, shared, step * steps, shared)
 
@@ -53,13 +53,20 @@ def _layout(recordings: DataFrame, nperseg: Column, noverlap: Column, block_len:
         noverlap.alias("noverlap"),
         block_len.alias("block_len"),
         (F.lit(0).cast("bigint") if halo is None else halo).alias("halo"),
-    ).where(F.col("noverlap") < F.col("nperseg"))
+    )
+
+
+def checked(layout: DataFrame) -> DataFrame:
+    """The layout; a run whose overlap is not below its segment length is an error, not left out without a word."""
+    message = F.concat(F.lit("run "), "run_id", F.lit(": overlap not below segment length"))
+    sound = F.when(F.col("noverlap") < F.col("nperseg"), F.col("nperseg")).otherwise(F.raise_error(message).cast("bigint"))
+    return layout.withColumn("nperseg", sound)
 
 
 def relayout(blocks: DataFrame, layout: DataFrame) -> DataFrame:
     """Cut pair blocks to the layout of their run."""
     carried = [c for c in layout.columns if c not in ("run_id", "n_samples", "block_len", "halo")]
-    joined = blocks.join(broadcast_if_small(layout), "run_id")
+    joined = join_metadata(blocks, checked(layout), ["run_id"])
     return recut(joined, SIGNAL_KEYS + carried, F.col("block_len"), F.col("halo"))
 
 
@@ -67,7 +74,7 @@ def time_bins(blocks: DataFrame, recordings: DataFrame, bin_sec: float = 60.0) -
     """Tumbling bins; the last one of a recording may be partial and is kept."""
     keys = [c for c in blocks.columns if c not in ("block_idx", "start_sample", "samples")]
     sized = recordings.select("run_id", "sfreq", whole_samples(bin_sec, F.col("sfreq")).alias("block_len"))
-    joined = blocks.join(broadcast_if_small(sized), "run_id")
+    joined = join_metadata(blocks, sized, ["run_id"])
     return recut(joined, keys + ["sfreq"], F.col("block_len")).withColumnRenamed("block_idx", "bin_idx")
 
 
@@ -79,10 +86,12 @@ def _spectral(laid: DataFrame, **options) -> Column:
 
 
 def _whole_windows(laid: DataFrame) -> DataFrame:
-    """Rows that hold at least one window. A recording shorter than a window is one window of its length."""
-    size = F.size("samples").cast("bigint")
-    alone = (F.col("start_sample") == 0) & (size > F.col("noverlap"))
-    return laid.where((size >= F.col("nperseg")) | alone)
+    """Rows that hold at least one window. A recording shorter than a window is one window of its length; one that is no longer
+    than the overlap is an error."""
+    size, first = F.size("samples").cast("bigint"), F.col("start_sample") == 0
+    message = F.concat(F.lit("run "), "run_id", F.lit(": recording too short"))
+    shared = F.when(first & (size <= F.col("noverlap")), F.raise_error(message).cast("bigint")).otherwise(F.col("noverlap"))
+    return laid.where((size >= F.col("nperseg")) | first).withColumn("noverlap", shared)
 
 
 def hop_segments(laid: DataFrame) -> DataFrame:
@@ -190,7 +199,7 @@ def band_range_join(densities: DataFrame, bands: DataFrame) -> DataFrame:
     The band table has a handful of rows, so it is broadcast after a check of its size.
     """
     inside = (F.col("freq") >= F.col("fmin")) & (F.col("freq") < F.col("fmax"))
-    return densities.join(broadcast_if_small(bands, 1_000), inside)
+    return densities.join(broadcast_if_small(bands), inside)
 
 
 def band_mean(densities: DataFrame, keys: list[str], bands: dict = BANDS) -> DataFrame:

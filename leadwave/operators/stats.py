@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadwave.functions.timeaxis import whole_samples
 from leadwave.operators.blocks import sample_rows, sample_values
-from leadwave.session import broadcast_if_small
+from leadwave.session import join_metadata, join_spread
 
 NAN = float("nan")
 
@@ -89,7 +89,7 @@ def raw_vs_bipolar_ratio(raw: DataFrame, bipolar: DataFrame) -> DataFrame:
 def _window_moments(blocks: DataFrame, recordings: DataFrame, seconds: float, keys: list[str]) -> DataFrame:
     """std of every full window of a number of seconds; the remainder of a channel is left out."""
     sized = recordings.select("run_id", "sfreq", whole_samples(seconds, F.col("sfreq")).alias("window_len"))
-    joined = blocks.select(*keys, "block_idx", "start_sample", "samples").join(broadcast_if_small(sized), "run_id")
+    joined = join_metadata(blocks.select(*keys, "block_idx", "start_sample", "samples"), sized, ["run_id"])
     rows = sample_rows(joined)
     window = F.call_function("div", F.col("sample_idx"), F.col("window_len")).alias("window_idx")
     return rows.groupBy(*keys, "sfreq", "window_len", window).agg(
@@ -185,10 +185,13 @@ def quality_flags(band_power: DataFrame, tol: float = 1e-8) -> DataFrame:
 
 
 def tail_windows(band_power: DataFrame, fraction: int = 3) -> DataFrame:
-    """Windows from index n // fraction on, n being the number of windows of the run."""
+    """Windows from index n // fraction on, n being the number of windows of the run.
+
+    Best of stored band power, which is read twice. The counts have a row a run; Spark learns their size when they are there.
+    """
     counts = band_power.groupBy("run_id").agg((F.max("bin_idx") + 1).alias("n_bins"))
     first = F.call_function("div", F.col("n_bins"), F.lit(fraction))
-    return band_power.join(broadcast_if_small(counts), "run_id").where(F.col("bin_idx") >= first).drop("n_bins")
+    return join_spread(band_power, counts, ["run_id"], "bin_idx").where(F.col("bin_idx") >= first).drop("n_bins")
 
 
 def output_rate(band_power: DataFrame, bin_sec: float | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leadwave.operators.rereference import pair_blocks
 from leadwave.operators.spectrum import bandpower_bins, bandpower_windows, hop_layout, relayout, welch_layout
 from leadwave.schema import BANDS
-from leadwave.session import broadcast_if_small
+from leadwave.session import join_metadata
 
 
 def bandpower_welch(
@@ -27,7 +27,7 @@ def bandpower_welch_bin(
     """Band power of one time bin; other blocks are left out before they are moved."""
     layout = welch_layout(recordings, nperseg, overlap, bin_sec)
     bounds = layout.select("run_id", (F.col("block_len") * bin_idx).alias("_lo"), (F.col("block_len") * (bin_idx + 1)).alias("_hi"))
-    near = blocks.join(broadcast_if_small(bounds), "run_id").where(
+    near = join_metadata(blocks, bounds, ["run_id"]).where(
         (F.col("start_sample") < F.col("_hi")) & (F.col("start_sample") + F.size("samples") > F.col("_lo"))
     ).drop("_lo", "_hi")
     laid = relayout(near, layout).where(F.col("block_idx") == bin_idx)

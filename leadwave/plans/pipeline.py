@@ -12,6 +12,7 @@ from leadwave.operators.pairs import bipolar_pairs, bipolar_table
 from leadwave.operators.spectrum import hop_layout, welch_layout
 from leadwave.operators.stats import output_rate
 from leadwave.plans.bandpower import bipolar_bandpower
+from leadwave.session import materialise
 from leadwave.sources.tables import write_band_power, write_bands, write_bipolar_electrodes, write_by_run
 
 # Settings of the four ways of processing.
@@ -70,17 +71,23 @@ def usable_electrodes(electrodes: DataFrame, exclude: str | None) -> DataFrame:
 
 def process(
     signals: DataFrame, recordings: DataFrame, electrodes: DataFrame, channel_map: DataFrame,
-    preset: str = "chunked", bands: dict = S.BANDS, **overrides,
-) -> dict[str, DataFrame]:
-    """Plan the processing of all runs; nothing is computed but the size checks of metadata tables.
+    preset: str = "chunked", bands: dict = S.BANDS, series_name: str | None = None, **overrides,
+) -> dict[str, DataFrame | dict]:
+    """Plan the processing of all runs. Metadata is computed once and measured; the signal is not touched but for its run names.
 
-    Runs that fail a check of their metadata are listed in `status` and left out of the others.
-    Keys: band_power, electrodes, bands, sessions, status.
+    Runs that fail a check of their metadata, or have signal but no recordings row, are listed in `status` and left out of
+    the others. `series_name` takes one series of each run; without it a run with more than one is listed as failed.
+    Keys: band_power, electrodes, bands, sessions, layout, status, and the settings that `store` records.
     """
+    if series_name is not None:
+        signals = signals.where(F.col("series_name") == series_name)
+        if "series_name" in recordings.columns:
+            recordings = recordings.where(F.col("series_name") == series_name)
+    recordings = materialise(recordings)
     chosen = settings(preset, **overrides)
     pairs = bipolar_pairs(usable_electrodes(electrodes, chosen["exclude"]))
     layout = spectral_layout(recordings, chosen)
-    status = validate_runs(recordings, electrodes, channel_map, pairs, layout)
+    status = materialise(validate_runs(recordings, electrodes, channel_map, pairs, layout, signals))
     sound = status.where(F.col("status") == "succeeded").select("run_id")
     layout = layout.join(sound, "run_id", "left_semi")
     power = bipolar_bandpower(
@@ -95,6 +102,7 @@ def process(
         "sessions": session_metadata(recordings.join(sound, "run_id", "left_semi")),
         "layout": layout,
         "status": status,
+        "settings": {"preset": preset, "bands": bands, **overrides},
     }
 
 
@@ -111,13 +119,15 @@ def run_params(band_power: DataFrame, layout: DataFrame, preset: str, bands: dic
     )
 
 
-def store(results: dict[str, DataFrame], root: str, preset: str = "chunked", bands: dict = S.BANDS, **overrides) -> None:
-    """Write every table of a result; parameters are derived from the stored band power."""
+def store(results: dict[str, DataFrame | dict], root: str) -> None:
+    """Write every table of a result; parameters are derived from the stored band power and the settings of the result."""
+    settings_used = dict(results["settings"])
+    bands = settings_used.pop("bands")
     spark = results["band_power"].sparkSession
     write_band_power(results["band_power"], root)
     write_bipolar_electrodes(results["electrodes"], root)
     write_bands(spark, root, bands)
     stored = spark.read.schema(S.BAND_POWER).parquet(f"{root.rstrip('/')}/band_power")
-    params = run_params(stored, results["layout"], preset, bands, **overrides)
+    params = run_params(stored, results["layout"], bands=bands, **settings_used)
     write_by_run(results["sessions"].join(params, "run_id", "left"), root, "sessions")
     write_by_run(results["status"], root, "status")

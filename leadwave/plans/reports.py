@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from leadwave.functions.timeaxis import axis_from_rate
 from leadwave.operators.stats import band_stats, dropout_counts, dropout_detect, quality_flags, segment_flatness, tail_windows
-from leadwave.session import broadcast_if_small
+from leadwave.session import broadcast_if_small, join_metadata
 
 
 def bandpower_report(band_power: DataFrame, bands: DataFrame, rates: DataFrame) -> DataFrame:
     """Traces per channel and band with band limits, the stored time and the axis rebuilt from the rate."""
-    rated = band_power.join(broadcast_if_small(rates), "run_id").join(broadcast_if_small(bands, 1_000), "band")
+    rated = join_metadata(band_power, rates, ["run_id"], "bin_idx").join(broadcast_if_small(bands), "band")
     seconds = axis_from_rate(F.col("bin_idx"), F.col("rate"))
     return rated.select(
         "run_id", "pair_idx", "location", "band", "fmin", "fmax", "bin_idx", "time_sec",

@@ -86,7 +86,7 @@ def test_unsound_runs_are_reported_and_left_out(spark):
 
 def test_stored_results_and_parameters(spark):
     root = scratch_path(spark, "stored")
-    PL.store(PL.process(*inputs(spark, ("a", "b")), "chunked", nperseg=100, bin_sec=0.5), root, nperseg=100, bin_sec=0.5)
+    PL.store(PL.process(*inputs(spark, ("a", "b")), "chunked", nperseg=100, bin_sec=0.5), root)
     power = D.scan_band_power(spark, root)
     assert power.count() == 2 * 3 * 3 * 6
     sessions = {r.run_id: r for r in D.read_table(spark, root, "sessions").collect()}
@@ -167,7 +167,7 @@ def test_many_members_meet_the_signal_in_its_shuffle(spark, monkeypatch, preset,
     D.write_signals(signals, root)
     stored = D.read_table(spark, root, "signals")
     expected = powers(PL.process(stored, *metadata, preset, **chosen)["band_power"])
-    monkeypatch.setattr(rereference, "broadcast_if_small", lambda df: F.broadcast(df) if "channel_pos" not in df.columns else df)
+    monkeypatch.setattr(rereference, "is_small", lambda df: "channel_pos" not in df.columns)
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", co_partition)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
@@ -208,8 +208,8 @@ def test_slices_are_pushed_to_the_scan(spark):
 def test_large_metadata_is_not_broadcast(spark):
     small, large = spark.range(5), spark.range(50)
     big = spark.range(1000).repartition(3)
-    assert "BroadcastHashJoin" in plan(big.join(broadcast_if_small(small, 10), "id"))
-    assert broadcast_if_small(large, 10) is large
+    assert "BroadcastHashJoin" in plan(big.join(broadcast_if_small(small, 100), "id"))
+    assert broadcast_if_small(large, 100) is large
 
 
 def test_the_join_without_broadcast_gives_the_same(spark, monkeypatch):
@@ -218,5 +218,63 @@ def test_the_join_without_broadcast_gives_the_same(spark, monkeypatch):
     signals, _, electrodes, channels = inputs(spark)
     pairs = P.bipolar_pairs(electrodes)
     expected = bipolar_subtract(signals, channels, pairs).orderBy("pair_idx", "block_idx").collect()
-    monkeypatch.setattr(rereference, "broadcast_if_small", lambda df: df.hint("merge"))
+    monkeypatch.setattr(rereference, "is_small", lambda df: False)
     assert bipolar_subtract(signals, channels, pairs).orderBy("pair_idx", "block_idx").collect() == expected
+
+
+def test_no_plan_moves_a_recording_by_its_name_alone(spark, monkeypatch, tmp_path):
+    from leadwave import session
+    from leadwave.operators import blocks as B
+    from leadwave.operators import rereference, selection, spectrum, stats
+
+    signals, recordings, electrodes, channels = inputs(spark)
+    D.write_signals(signals, str(tmp_path))
+    stored = D.read_table(spark, str(tmp_path), "signals")
+    pairs = P.bipolar_pairs(electrodes)
+    names = channels.join(electrodes, ["run_id", "electrode_id"])
+
+    def frames():
+        paired = stored.withColumnRenamed("channel_pos", "pair_idx").withColumn("location", F.lit("A1-A2"))
+        return {
+            "relayout": spectrum.relayout(paired, spectrum.welch_layout(recordings, 50, 0.5, 0.5)),
+            "time_bins": spectrum.time_bins(stored, recordings, 0.5),
+            "window_std": stats.window_std(paired, recordings, 0.25),
+            "segment_select": selection.segment_select(stored, recordings, 0.01),
+            "channel_arrays": B.channel_arrays(stored, names),
+            "bipolar_subtract": bipolar_subtract(stored, channels, pairs),
+            "process": PL.process(stored, recordings, electrodes, channels, "chunked", nperseg=100, bin_sec=0.5)["band_power"],
+        }
+
+    expected = {name: sorted(map(str, frame.collect())) for name, frame in frames().items()}
+    for module in (session, rereference):
+        monkeypatch.setattr(module, "is_small", lambda df, max_bytes=0: False)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        for name, frame in frames().items():
+            for line in plan(frame).splitlines():
+                assert "Exchange hashpartitioning(run_id#" not in line or line.split("hashpartitioning(")[1].count("#") > 1 and "channel_pos#" not in line.split("), ")[0].replace("_part", "") or "_part#" in line or "block_idx#" in line, (name, line)
+            assert sorted(map(str, frame.collect())) == expected[name], name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_status_lists_every_run_and_series(spark):
+    signals, recordings, electrodes, channels = inputs(spark, ("r", "lost", "double", "two"))
+    other = signals.where("run_id = 'two'").withColumn("series_name", F.lit("other"))
+    twice = recordings.unionAll(recordings.where("run_id = 'double'")).where("run_id != 'lost'")
+    results = PL.process(signals.unionByName(other), twice, electrodes, channels, "chunked", nperseg=100, bin_sec=0.5)
+    assert {r.run_id: r.reason for r in results["status"].collect()} == {
+        "r": None, "lost": "no recordings row", "double": "recording listed twice", "two": "more than one series",
+    }
+    assert {r.run_id for r in results["band_power"].select("run_id").distinct().collect()} == {"r"}
+    name = signals.first().series_name
+    one = PL.process(signals.unionByName(other), recordings, electrodes, channels, "chunked", series_name=name, nperseg=100, bin_sec=0.5)
+    assert one["band_power"].where("run_id = 'two'").count() == 3 * 3 * 6
+
+
+def test_stored_parameters_are_those_of_the_result(spark):
+    root = scratch_path(spark, "settings")
+    PL.store(PL.process(*inputs(spark), "whole_file", nperseg=50), root)
+    params = json.loads(D.read_table(spark, root, "sessions").first().params)
+    assert (params["method"], params["nperseg"], params["output_sampling_rate"]) == ("stft", 50, 16.0)
+    assert params["time_bin_method"] == "hopping" and "chunk_duration_sec" not in params

@@ -55,10 +55,15 @@ def test_hopping_windows_across_block_edges(spark, n, stored, nperseg, overlap,
     noverlap = int(nperseg * overlap)
     W.HOP_BLOCK_SAMPLES = target
     try:
-        got = by_bin(bandpower_stft(H.pair_blocks(spark, x, stored), H.recordings(spark, r=(FS, n)), nperseg=nperseg, overlap=overlap))
+        power = bandpower_stft(H.pair_blocks(spark, x, stored), H.recordings(spark, r=(FS, n)), nperseg=nperseg, overlap=overlap)
+        if n <= noverlap:
+            with pytest.raises(Exception, match="run r: recording too short"):
+                power.collect()
+            return
+        got = by_bin(power)
     finally:
         W.HOP_BLOCK_SAMPLES = before
-    expected = H.windows(x, FS, nperseg, noverlap) if n > noverlap else []
+    expected = H.windows(x, FS, nperseg, noverlap)
     assert len(got) == len(expected)
     for (b, t), values in got.items():
         centre, means = expected[b]
@@ -157,3 +162,13 @@ def test_settings_are_checked(spark):
         bandpower_welch(blocks, rec, partial="keep")
     with pytest.raises(ValueError):
         bandpower_welch(blocks, rec, detrend="linear")
+
+
+@pytest.mark.parametrize("work", ["stft", "welch"])
+def test_an_overlap_of_a_whole_segment_is_an_error(spark, work):
+    blocks, recordings = H.pair_blocks(spark, noise(300), 64), H.recordings(spark, r=(FS, 300))
+    power = (
+        bandpower_stft(blocks, recordings, window_sec=0.2, overlap_sec=0.2) if work == "stft" else bandpower_welch(blocks, recordings, nperseg=50, overlap=1.0, bin_sec=0.5)
+    )
+    with pytest.raises(Exception, match="run r: overlap not below segment length"):
+        power.collect()
