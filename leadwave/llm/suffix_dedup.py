@@ -95,7 +95,8 @@ def _repeats(docs: DataFrame, length: int, size: int, gap: int) -> tuple[DataFra
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(place), row)), pa.array(place.astype(np.int32)), pa.array(gram.view(np.int64))], ["row", "at", "gram"])
 
     parsed = stash(keyed.where(F.length("text") >= length).select("row", "text").mapInArrow(parse, "row bigint, at int, gram bigint"), "triggers")
-    twice = parsed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # Written before they are joined, so that both sides of the join are plain exchanges, whose hot keys Spark can split.
+    twice = stash(parsed.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     repeated = parsed.join(twice, "gram").groupBy("row").agg(F.collect_set("at").alias("triggers")).withColumnRenamed("row", "of")
     texts = stash(keyed.join(repeated, F.col("row") == F.col("of")).select("row", "text", "triggers"), "texts")
 
@@ -112,7 +113,7 @@ def _repeats(docs: DataFrame, length: int, size: int, gap: int) -> tuple[DataFra
     whole = occurrences.join(entries.where("n > 1").select("phrase"), "phrase")
     whole = whole.select("row", (F.col("at") - F.col("far")).alias("start"), (F.col("at") - F.col("near") + length).alias("end"))
 
-    shared = entries.groupBy("core").agg(F.count("*").alias("held")).where("held > 1").select("core")
+    shared = stash(entries.groupBy("core").agg(F.count("*").alias("held")).where("held > 1").select("core"), "cores")
     opened = entries.join(shared, "core").groupBy("one.row").agg(F.collect_list(F.struct("one.at", "one.near", "one.far", "n")).alias("held"))
 
     def windows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +128,7 @@ def _repeats(docs: DataFrame, length: int, size: int, gap: int) -> tuple[DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(start), row)), pa.array(start.astype(np.int32)), pa.array(content), pa.array(times)], ["row", "start", "content", "n"])
 
     windows = stash(texts.select("row", "text").join(opened, "row").mapInArrow(windows_of, "row bigint, start int, content bigint, n bigint"), "windows")
-    equal = windows.groupBy("content").agg(F.sum("n").alias("all")).where("all > 1").select("content")
+    equal = stash(windows.groupBy("content").agg(F.sum("n").alias("all")).where("all > 1").select("content"), "contents")
     single = windows.where("n = 1").join(equal, "content").select("row", "start", (F.col("start") + length).alias("end"))
 
     spans = whole.union(single).groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))

@@ -19,3 +19,11 @@ def labelled(spark):
         return spark.createDataFrame(rows, "doc_id long, quality int, toxic int")
 
     return make
+
+
+@pytest.fixture(autouse=True, scope="module")
+def few_partitions(spark):
+    """These tables are tiny."""
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
