@@ -192,7 +192,7 @@ def _surprise(n_bad: int, n_good: int) -> Column:
 
 
 def _in_own_contexts(train: DataFrame, terms: list[tuple[str, bool]], n_bad: int, n_good: int, least: float) -> dict[tuple[str, bool], tuple[int, int]]:
-    """The terms that stay surprising when a pair of neighbouring words counts once, so that copied passages count once."""
+    """The terms that stay surprising when each word before them, and each word after them, counts once: a copied passage counts once."""
     words, stems = {t: i for i, (t, stem) in enumerate(terms) if not stem}, {t: i for i, (t, stem) in enumerate(terms) if stem}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,12 +202,16 @@ def _in_own_contexts(train: DataFrame, terms: list[tuple[str, bool]], n_bad: int
                 tokens = ["", *(w.strip(_STRIP) for w in text.decode("utf-8", "replace").lower().split()), ""]
                 for before, word, after in zip(tokens, tokens[1:], tokens[2:], strict=False):
                     found = [words.get(word), *(stems.get(word[:n]) for n in _STEM_LENGTHS if len(word) > n)]
-                    rows.update((i, label, f"{before} {after}") for i in found if i is not None)
-            columns = list(zip(*rows, strict=True)) or [()] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string()), strict=True)], ["number", "label", "context"])
+                    rows.update((i, label, before, after) for i in found if i is not None)
+            columns = list(zip(*rows, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.string()), strict=True)], ["number", "label", "before", "after"])
 
-    contexts = train.mapInArrow(run, "number int, label int, context string").distinct().groupBy("number")
-    counts = contexts.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("bad"), F.sum(1 - F.col("label")).alias("good"))
+    contexts = train.mapInArrow(run, "number int, label int, before string, after string").groupBy("number")
+
+    def varied(label: int) -> Column:
+        return F.least(*(F.count_distinct(F.when(F.col("label") == label, F.col(side))) for side in ("before", "after")))
+
+    counts = contexts.agg(varied(1).alias("bad"), varied(0).alias("good"))
     rows = counts.where((F.col("bad") > 9 * F.col("good")) & (_surprise(n_bad, n_good) > least)).collect()
     return {terms[r.number]: (r.bad, r.good) for r in rows}
 
