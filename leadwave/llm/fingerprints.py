@@ -14,7 +14,7 @@ from leadwave.llm.common import texts_of
 from leadwave.llm.words import NOT_SPACE, U, Words, mix64, seeded
 
 SLOTS = 64
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 8 << 20
 MAX_BUCKETS = 10_000
 _BLOCK_BYTES = 1 << 19
 _TERMS = 8192
