@@ -13,7 +13,7 @@ from leadwave.operators.spectrum import hop_layout, welch_layout
 from leadwave.operators.stats import output_rate
 from leadwave.plans.bandpower import bipolar_bandpower
 from leadwave.session import materialise
-from leadwave.sources.tables import write_band_power, write_bands, write_bipolar_electrodes, write_by_run
+from leadwave.sources.tables import read_table, table_exists, write_band_power, write_bands, write_bipolar_electrodes, write_by_run
 
 # Settings of the four ways of processing.
 PRESETS = {
@@ -120,7 +120,10 @@ def run_params(band_power: DataFrame, layout: DataFrame, preset: str, bands: dic
 
 
 def store(results: dict[str, DataFrame | dict], root: str) -> None:
-    """Write every table of a result; parameters are derived from the stored band power and the settings of the result."""
+    """Write every table of a result; parameters come from the stored band power and the settings of the result.
+
+    A run is stored as succeeded only if it has rows in the stored band power.
+    """
     settings_used = dict(results["settings"])
     bands = settings_used.pop("bands")
     spark = results["band_power"].sparkSession
@@ -130,4 +133,39 @@ def store(results: dict[str, DataFrame | dict], root: str) -> None:
     stored = spark.read.schema(S.BAND_POWER).parquet(f"{root.rstrip('/')}/band_power")
     params = run_params(stored, results["layout"], bands=bands, **settings_used)
     write_by_run(results["sessions"].join(params, "run_id", "left"), root, "sessions")
-    write_by_run(results["status"], root, "status")
+    there = F.col("stored").isNotNull()
+    checked = results["status"].join(stored.select("run_id", F.lit(True).alias("stored")).distinct(), "run_id", "left")
+    sound = F.col("status") == "succeeded"
+    outcome = checked.select(
+        "run_id",
+        F.when(sound & ~there, "failed").otherwise(F.col("status")).alias("status"),
+        F.when(sound & ~there, "no result stored").otherwise(F.col("reason")).alias("reason"),
+    )
+    write_by_run(outcome, root, "status")
+
+
+def process_pending(
+    runs: DataFrame, signals: DataFrame, recordings: DataFrame, electrodes: DataFrame, channel_map: DataFrame, root: str,
+    preset: str = "chunked", overwrite: bool = False, **overrides,
+) -> DataFrame:
+    """Process and store those of `runs` (run_id) that have no successful result under `root`, or all with `overwrite`.
+
+    Returns the stored status of every run asked for, finished ones included.
+    """
+    spark = signals.sparkSession
+    wanted = runs.select("run_id").distinct()
+    if not overwrite and table_exists(spark, root, "status"):
+        finished = read_table(spark, root, "status").where("status = 'succeeded'").select("run_id")
+        wanted = wanted.join(finished, "run_id", "left_anti")
+    wanted = materialise(wanted)
+    if not wanted.isEmpty():
+        tables = (t.join(wanted, "run_id", "left_semi") for t in (signals, recordings, electrodes, channel_map))
+        store(process(*tables, preset, **overrides), root)
+    asked = runs.select("run_id").distinct()
+    if not table_exists(spark, root, "status"):
+        return asked.select("run_id", F.lit("failed").alias("status"), F.lit("no input").alias("reason"))
+    known = asked.join(read_table(spark, root, "status"), "run_id", "left")
+    missing = F.col("status").isNull()
+    return known.select(
+        "run_id", F.coalesce("status", F.lit("failed")).alias("status"), F.when(missing, "no input").otherwise(F.col("reason")).alias("reason")
+    )

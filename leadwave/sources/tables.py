@@ -13,6 +13,11 @@ def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/{name}")
 
 
+def table_exists(spark: SparkSession, root: str, name: str) -> bool:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
 def scan_signals(signals: DataFrame, series_name: str = S.SERIES_NAME) -> DataFrame:
     """One named series, whole."""
     return signals.where(F.col("series_name") == series_name)

@@ -278,3 +278,24 @@ def test_stored_parameters_are_those_of_the_result(spark):
     params = json.loads(D.read_table(spark, root, "sessions").first().params)
     assert (params["method"], params["nperseg"], params["output_sampling_rate"]) == ("stft", 50, 16.0)
     assert params["time_bin_method"] == "hopping" and "chunk_duration_sec" not in params
+
+
+def test_pending_runs_are_processed_once(spark):
+    root = scratch_path(spark, "pending")
+    data, chosen = inputs(spark, ("a", "b")), {"nperseg": 100, "bin_sec": 0.5}
+    runs = spark.createDataFrame([("a",), ("lost",)], "run_id string")
+
+    def status(runs, **how):
+        return {r.run_id: r.status for r in PL.process_pending(runs, *data, root, "chunked", **chosen, **how).collect()}
+
+    def written():
+        return {r.run_id: r.t for r in spark.read.parquet(f"{root}/band_power").groupBy("run_id").agg(F.max("_metadata.file_modification_time").alias("t")).collect()}
+
+    assert status(runs) == {"a": "succeeded", "lost": "failed"}
+    first = written()
+    both = spark.createDataFrame([("a",), ("b",), ("b",)], "run_id string")
+    assert status(both) == {"a": "succeeded", "b": "succeeded"}
+    second = written()
+    assert second["a"] == first["a"] and set(second) == {"a", "b"}
+    assert status(both) == {"a": "succeeded", "b": "succeeded"} and written() == second
+    assert status(both, overwrite=True) == {"a": "succeeded", "b": "succeeded"} and written()["a"] > first["a"]
