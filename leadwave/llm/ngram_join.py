@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from leadwave.llm.common import pieces, stash, texts_of
 from leadwave.llm.components import components
 from leadwave.llm.words import NOT_SPACE, U, Words, mix64, text_hash
+from leadwave.session import broadcast_if_small
 
 SHINGLE = 5
 LIKENESS = Fraction(4, 5)
@@ -105,8 +106,9 @@ def _may_link(a: str, b: str, likeness: Fraction) -> Column:
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
     """The pairs (a, b) of set keys whose sets really are alike."""
     ends = pairs.select(F.col("a").alias("set_key")).union(pairs.select(F.col("b").alias("set_key"))).distinct()
-    rows = nodes.join(ends, "set_key").select("set_key", F.col("row").alias("of"))
-    texts = docs.join(rows, docs["row"] == rows["of"]).select("set_key", "text")
+    rows = stash(nodes.join(ends, "set_key").select("set_key", F.col("row").alias("of")), "ends")
+    # Texts stay where they are while the list of those wanted is small by measure; beyond that both sides are shuffled by row.
+    texts = docs.join(broadcast_if_small(rows), docs["row"] == F.col("of")).select("set_key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
