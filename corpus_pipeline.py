@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leadwave.llm import decontam, mixing, ngram_join, sharding, toxicity
 from leadwave.llm.common import stash
 from leadwave.llm.queries import CYCLE, EPOCHS, RATIO, SHARDS
+from leadwave.session import broadcast_if_small
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,6 +23,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of near duplicates the document with the smallest id; documents without an id stay."""
     found = ngram_join.jaccard_components(docs)
     dropped = found.where("component_id is not null and doc_id != component_id").select(F.col("row").alias("__row")).distinct()
+    dropped = broadcast_if_small(stash(dropped, "dropped"))
     return docs.join(dropped, F.xxhash64("doc_id", "text") == F.col("__row"), "left_anti").select(*docs.columns)
 
 
