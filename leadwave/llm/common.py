@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leadwave.session import scratch_path
@@ -15,7 +16,24 @@ from leadwave.session import scratch_path
 CHUNK_BYTES = 1 << 20
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+_scopes: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Work tables written inside are removed at the end, but for those written with keep=True, which belong to the scope around."""
+    paths: list[str] = []
+    _scopes.append(paths)
+    try:
+        yield
+    finally:
+        _scopes.remove(paths)
+        for folder in paths:
+            path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def stash(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a table once to the folder all executors share and read it back: computed once, without lineage.
 
     What was shuffled for it is garbage then; the driver's collector is called so that Spark removes those files now and
@@ -23,6 +41,9 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
+    scopes = _scopes[:-1] if keep else _scopes
+    if scopes:
+        scopes[-1].append(path)
     df.write.parquet(path)
     gc.collect()
     spark.sparkContext._jvm.System.gc()

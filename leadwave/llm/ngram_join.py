@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadwave.llm.common import pieces, stash, texts_of
+from leadwave.llm.common import pieces, scratch, stash, texts_of
 from leadwave.llm.components import components
 from leadwave.llm.words import NOT_SPACE, U, Words, mix64, text_hash
 from leadwave.session import broadcast_if_small
@@ -141,6 +141,12 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = L
     have none. A repeated id is judged row by row.
     """
     docs = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
+    with scratch(docs.sparkSession):
+        return stash(_components_of(docs, k, likeness), "found", keep=True)
+
+
+def _components_of(docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
+    """The steps of jaccard_components on (doc_id, text, row)."""
     points = stash(shingle_points(docs, k, likeness), "points")
     real = points.where("set_key is not null")
     nodes = stash(

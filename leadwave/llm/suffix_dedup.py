@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leadwave.llm.common import stash, texts_of
+from leadwave.llm.common import scratch, stash, texts_of
 from leadwave.llm.words import U, mix64, prefix_hash, powers, span_hashes
 
 LENGTH = 400
@@ -184,6 +184,11 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, size: int = TRIGGER, g
 def repeat_digests(docs: DataFrame, length: int = LENGTH, size: int = TRIGGER, gap: int = GAP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of remove_repeats. Only texts with repeats meet their spans; of all others
     nothing but the digest is moved."""
+    with scratch(docs.sparkSession):
+        return stash(_digests(docs, length, size, gap), "digests", keep=True)
+
+
+def _digests(docs: DataFrame, length: int, size: int, gap: int) -> DataFrame:
     keyed, texts, spans = _repeats(docs, length, size, gap)
     cut = _cut(texts.join(spans, "row"), ["row"]).select(F.col("row").alias("of"), "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["of"])
     slim = keyed.select("doc_id", "row", F.length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole"))
