@@ -1,6 +1,37 @@
 """DuckDB SQL with the rows of the queries that SQL can express."""
 
 ORACLE = {
+    "op2_line_dedup": r"""
+WITH lists AS (
+  SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+lines AS (
+  SELECT doc_id, unnest(range(1, len(parts) + 1)) AS line_no, unnest(parts) AS line FROM lists),
+masked AS (
+  SELECT doc_id, line_no, list_transform(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END) AS tokens FROM lines),
+leafed AS (
+  SELECT doc_id, line_no, tokens, len(tokens) || ' ' || array_to_string(list_slice(tokens, 1, 3), ' ') AS leaf FROM masked WHERE len(tokens) > 0),
+common AS (
+  SELECT leaf FROM leafed GROUP BY leaf HAVING count(DISTINCT doc_id) >= 10),
+places AS (
+  SELECT doc_id, line_no, leaf, unnest(range(1, len(tokens) + 1)) AS place, unnest(tokens) AS token FROM leafed JOIN common USING (leaf)),
+standing AS (
+  SELECT leaf, place, token FROM places GROUP BY leaf, place, token HAVING count(DISTINCT doc_id) >= 10),
+built AS (
+  SELECT p.doc_id, p.line_no, p.leaf, count(*) AS n, count(*) FILTER (s.token IS NOT NULL AND p.token <> '<*>') AS fixed,
+         string_agg(coalesce(s.token, '<*>'), ' ' ORDER BY p.place) AS general, string_agg(p.token, ' ' ORDER BY p.place) AS own
+  FROM places p LEFT JOIN standing s ON p.leaf = s.leaf AND p.place = s.place AND p.token = s.token GROUP BY p.doc_id, p.line_no, p.leaf),
+templates AS (
+  SELECT doc_id, line_no, leaf || '|' || CASE WHEN fixed >= 0.6 * n THEN general ELSE own END AS template FROM built),
+recurring AS (
+  SELECT template FROM templates GROUP BY template HAVING count(DISTINCT doc_id) >= 10),
+dropped AS (
+  SELECT doc_id, line_no FROM templates JOIN recurring USING (template)),
+kept AS (
+  SELECT l.doc_id, count(*) AS n_lines, count(d.line_no) AS n_dropped, string_agg(CASE WHEN d.line_no IS NULL THEN l.line END, chr(10) ORDER BY l.line_no) AS kept
+  FROM lines l LEFT JOIN dropped d ON l.doc_id = d.doc_id AND l.line_no = d.line_no GROUP BY l.doc_id)
+SELECT o.doc_id, CAST(coalesce(k.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(k.n_dropped, 0) AS BIGINT) AS n_dropped, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM documents o LEFT JOIN kept k ON o.doc_id = k.doc_id
+""",
     "op5_mixing": r"""
 WITH docs AS (
   SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
