@@ -42,12 +42,12 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
     places = lines.select("row", "line_no", "leaf", F.posexplode("tokens").alias("place", "token"))
     standing = broadcast_if_small(stash(_in_many(places, ["leaf", "place", "token"], min_docs), "standing")).withColumn("stands", F.lit(True))
     marked = places.join(standing, ["leaf", "place", "token"], "left")
-    token = F.when(F.col("stands"), F.col("token")).otherwise(F.lit(FIELD))
-    fixed = F.count_if(F.col("stands") & (F.col("token") != FIELD))
-    general = F.transform(F.array_sort(F.collect_list(F.struct("place", token.alias("token")))), lambda t: t["token"])
-    own = F.transform(F.array_sort(F.collect_list(F.struct("place", "token"))), lambda t: t["token"])
-    built = marked.groupBy("row", "line_no", "leaf").agg(general.alias("general"), own.alias("own"), fixed.alias("fixed"))
-    chosen = F.when(F.col("fixed") >= constant * F.size("own"), F.col("general")).otherwise(F.col("own"))
+    tokens = F.array_sort(F.collect_set(F.struct("place", "token", F.coalesce("stands", F.lit(False)).alias("stands"))))
+    built = marked.groupBy("row", "line_no", "leaf").agg(tokens.alias("tokens"))
+    fixed = F.size(F.filter("tokens", lambda t: t["stands"] & (t["token"] != FIELD)))
+    general = F.transform("tokens", lambda t: F.when(t["stands"], t["token"]).otherwise(F.lit(FIELD)))
+    own = F.transform("tokens", lambda t: t["token"])
+    chosen = F.when(fixed >= constant * F.size("tokens"), general).otherwise(own)
     templates = stash(built.select("row", "line_no", F.xxhash64("leaf", chosen).alias("template")), "templates")
     recurring = broadcast_if_small(stash(_in_many(templates, ["template"], min_docs), "recurring"))
     return templates.join(recurring, "template").groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
