@@ -173,14 +173,21 @@ def _components_of(docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
     placed = stash(placed.join(mixed, "shingle"), "placed")
     tops = placed.select("root", "set_key").distinct().join(box, "set_key").groupBy("root")
     largest = F.array(*(F.max(F.col("box.counts")[i]) for i in range(GROUPS)))
-    boxes = tops.agg(F.min("box.least").alias("least"), F.max("box.most").alias("most"), largest.alias("counts")).select("root", F.struct("least", "most", "counts").alias("box"))
+    boxes = tops.agg(F.count("*").alias("nodes"), F.min("set_key").alias("one"), F.min("box.least").alias("least"), F.max("box.most").alias("most"), largest.alias("counts"))
+    boxes = boxes.select("root", "nodes", "one", F.struct("least", "most", "counts").alias("box"))
     leaves = stash(placed.select("shingle", "root").distinct().join(boxes, "root"), "leaves")
-    a, b = (leaves.select("shingle", F.col("root").alias(f"root_{x}"), F.col("box").alias(f"box_{x}")) for x in "ab")
-    opened = a.join(b, "shingle").where(F.col("root_a") < F.col("root_b")).where(_may_link("box_a", "box_b", likeness)).select("shingle", "root_a", "root_b")
-    inner = placed.join(box, "set_key")
+    a, b = (leaves.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "nodes", "one", "box"))) for x in "ab")
+    opened = a.join(b, "shingle").where(F.col("root_a") < F.col("root_b")).where(_may_link("box_a", "box_b", likeness))
+    # Two boxes of one node each are a pair already, met in many buckets; only larger boxes have nodes to look for in the bucket.
+    alone = (F.col("nodes_a") == 1) & (F.col("nodes_b") == 1)
+    kind = F.when(alone, F.lit(0)).otherwise(F.col("shingle"))
+    opened = opened.select(alone.alias("alone"), kind.alias("shingle"), "root_a", "root_b", F.col("one_a").alias("a"), F.col("one_b").alias("b")).distinct()
+    opened = stash(opened, "opened")
+    inner = placed.join(opened.where("not alone").select("shingle").distinct(), "shingle", "left_semi").join(box, "set_key")
     a, b = (inner.select("shingle", F.col("root").alias(f"root_{x}"), F.col("set_key").alias(x), F.col("box").alias(f"box_{x}")) for x in "ab")
-    found = opened.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).where(_may_link("box_a", "box_b", likeness))
-    more = _verified(stash(close(found.select("a", "b").distinct()), "found"), nodes, docs, k, likeness)
+    found = opened.where("not alone").drop("a", "b").join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).where(_may_link("box_a", "box_b", likeness))
+    found = found.select("a", "b").union(opened.where("alone").select("a", "b")).distinct()
+    more = _verified(stash(close(found), "found"), nodes, docs, k, likeness)
 
     roots = stash(components(links.union(more)), "roots")
     named = nodes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
