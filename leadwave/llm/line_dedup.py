@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadwave.llm.common import scratch, stash
 from leadwave.llm.mixing import WORD
-from leadwave.session import broadcast_if_small
+from leadwave.session import BROADCAST_MAX_BYTES, broadcast_if_small
 
 DEPTH = 3
 MIN_DOCS = 10
@@ -67,7 +67,10 @@ def drop_recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MI
     keyed = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
     with scratch(docs.sparkSession):
         found = stash(recurring_lines(keyed.where("text is not null"), depth, min_docs, constant), "dropped", keep=True)
+    width = found.agg(F.coalesce(F.sum(32 + 4 * F.size("dropped")), F.lit(0))).first()[0]
     found = found.select(F.col("row").alias("__row"), F.col("dropped").alias("__dropped"))
+    if width <= BROADCAST_MAX_BYTES:  # by measure; beyond it both sides are shuffled by row
+        found = F.broadcast(found)
     joined = docs.join(found, F.xxhash64("doc_id", "text") == F.col("__row"), "left")
     lines = F.split("text", "\n")
     n_dropped = F.when(F.col("__dropped").isNull(), 0).otherwise(F.size("__dropped")).cast("long")
