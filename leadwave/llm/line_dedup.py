@@ -16,10 +16,12 @@ FIELD = "<*>"
 
 
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
-    """(row, line_no, leaf, tokens) of all lines with words. Tokens with a digit are fields from the start."""
+    """(row, line_no, leaf, tokens, own) of all lines with words. Tokens with a digit are fields from the start; `own` is a hash
+    of the tokens as they stand in the line."""
     split = docs.select("row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    tokens = F.transform(F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(0)), lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
-    found = split.select("row", "line_no", tokens.alias("tokens")).where(F.size("tokens") > 0)
+    raw = split.select("row", "line_no", F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(0)).alias("raw")).where(F.size("raw") > 0)
+    tokens = F.transform("raw", lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+    found = raw.select("row", "line_no", tokens.alias("tokens"), F.xxhash64("raw").alias("own"))
     return found.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
 
 
@@ -33,22 +35,22 @@ def recurring_lines(docs: DataFrame, depth: int = DEPTH, min_docs: int = MIN_DOC
 
     The tree has a fixed depth: the number of tokens, then the leading `depth` tokens, lead a line to its leaf. In a leaf a
     token stands in the template if `min_docs` documents have it at its place; others are variable fields. A template of which less than `constant`
-    would stand generalises too much, and the line keeps its own tokens. A template lies in one leaf, so lines of leaves
+    would stand generalises too much, and the line keeps its own tokens, those with digits unmasked. A template lies in one leaf, so lines of leaves
     that fewer documents reach cannot recur and are left out before tokens are spread. Everything is counts by key: no
     leaf is gathered, however many lines reach it.
     """
     common = broadcast_if_small(stash(_in_many(_lines(docs, depth).select("row", "leaf"), ["leaf"], min_docs), "leaves"))
     lines = stash(_lines(docs, depth).join(common, "leaf"), "lines")
-    places = lines.select("row", "line_no", "leaf", F.posexplode("tokens").alias("place", "token"))
+    places = lines.select("row", "line_no", "leaf", "own", F.posexplode("tokens").alias("place", "token"))
     standing = broadcast_if_small(stash(_in_many(places, ["leaf", "place", "token"], min_docs), "standing")).withColumn("stands", F.lit(True))
     marked = places.join(standing, ["leaf", "place", "token"], "left")
     tokens = F.array_sort(F.collect_set(F.struct("place", "token", F.coalesce("stands", F.lit(False)).alias("stands"))))
-    built = marked.groupBy("row", "line_no", "leaf").agg(tokens.alias("tokens"))
+    built = marked.groupBy("row", "line_no", "leaf", "own").agg(tokens.alias("tokens"))
     fixed = F.size(F.filter("tokens", lambda t: t["stands"] & (t["token"] != FIELD)))
     general = F.transform("tokens", lambda t: F.when(t["stands"], t["token"]).otherwise(F.lit(FIELD)))
-    own = F.transform("tokens", lambda t: t["token"])
-    chosen = F.when(fixed >= constant * F.size("tokens"), general).otherwise(own)
-    templates = stash(built.select("row", "line_no", F.xxhash64("leaf", chosen).alias("template")), "templates")
+    # Own tokens never equal a template of another line: where a template's tokens stand, so do those of the line that has them.
+    template = F.when(fixed >= constant * F.size("tokens"), F.xxhash64("leaf", general)).otherwise(F.xxhash64("leaf", "own"))
+    templates = stash(built.select("row", "line_no", template.alias("template")), "templates")
     recurring = broadcast_if_small(stash(_in_many(templates, ["template"], min_docs), "recurring"))
     return templates.join(recurring, "template").groupBy("row").agg(F.array_sort(F.collect_set("line_no")).alias("dropped"))
 

@@ -33,6 +33,12 @@ def test_recurrence_counts_documents(table):
     assert all(n > 0 for _, _, n in kept(table(rows), min_docs=9).values())
 
 
+def test_lines_of_numbers_keep_their_own_tokens(table):
+    rows = [(i, f"{i} {i * 7} {i + 0.5}\nChapter {i}\n2024 12 31\nPart 1") for i in range(20)]
+    assert kept(table(rows)) == {i: (f"{i} {i * 7} {i + 0.5}\nChapter {i}", 4, 2) for i in range(20)}
+    assert all(n == 2 for _, _, n in kept(table(rows[:10])).values()) and all(n == 0 for _, _, n in kept(table(rows[:9])).values())
+
+
 def test_odd_rows(table):
     line = "the same words here again"
     rows = [(i, line) for i in range(12)] + [(None, line), (None, None), (20, ""), (21, "\n\n"), (0, line), (22, "x " * 50_000 + "\n" + line)]
