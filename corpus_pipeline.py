@@ -20,11 +20,26 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id; documents without an id stay."""
+    """Of each group of near duplicates the row with the smallest id, those without an id last, then the smallest hash of id and text.
+
+    Rows equal in id and text become one, that with the smallest other columns. Rows without words are in no group.
+    """
     found = ngram_join.jaccard_components(docs)
-    dropped = found.where("component_id is not null and doc_id != component_id").select(F.col("row").alias("__row")).distinct()
-    dropped = broadcast_if_small(stash(dropped, "dropped"))
-    return docs.join(dropped, F.xxhash64("doc_id", "text") == F.col("__row"), "left_anti").select(*docs.columns)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row"))
+    groups = found.where("root is not null").groupBy("root").agg(best.alias("best"), (F.min("row") != F.max("row")).alias("several"))
+    survivors = broadcast_if_small(stash(groups.where("several").select("root", F.col("best.row").alias("survivor")), "survivors"))
+    dropped = found.join(survivors, "root").where("row != survivor").select(F.col("row").alias("__row"), F.lit(False).alias("__repeated")).distinct()
+    repeated = found.groupBy(F.col("row").alias("__row")).agg(F.count("*").alias("n")).where("n > 1").select("__row", F.lit(True).alias("__repeated"))
+    # A repeated row that another one of its group replaces goes whole.
+    listed = dropped.union(repeated).groupBy("__row").agg(F.min("__repeated").alias("__repeated"))
+    listed = broadcast_if_small(stash(listed, "dropped"))
+    row = F.xxhash64("doc_id", "text")
+    once = docs.join(listed, row == F.col("__row"), "left_anti").select(*docs.columns)
+    repeated = listed.where("__repeated")
+    if repeated.isEmpty():
+        return once
+    copies = docs.join(broadcast_if_small(repeated), row == F.col("__row")).groupBy("__row").agg(F.min(F.struct(*docs.columns)).alias("__kept"))
+    return once.union(copies.select(*(F.col("__kept")[c].alias(c) for c in docs.columns)))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

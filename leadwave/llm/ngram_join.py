@@ -125,7 +125,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, liken
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKENESS) -> DataFrame:
-    """(doc_id, row, n_shingles, component_id) for each row of (doc_id, text).
+    """(doc_id, row, n_shingles, component_id, root) for each row of (doc_id, text).
 
     Rows with equal sets are one node. Nodes that share a leading shingle form a bucket, and buckets are searched as trees of boxes:
 
@@ -138,7 +138,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = L
     near copies costs a multiple of its size, not its square; all other pairs of a bucket are compared, without a limit.
 
     Rows without words have component_id = doc_id. A missing id takes part in links, but is nobody's component: rows linked only with such rows
-    have none. A repeated id is judged row by row.
+    have none. A repeated id is judged row by row. `root` tells the components apart whatever their ids; rows without words have none.
     """
     docs = docs.select("doc_id", "text").withColumn("row", F.xxhash64("doc_id", "text"))
     with scratch(docs.sparkSession):
@@ -192,6 +192,6 @@ def _components_of(docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
     roots = stash(components(links.union(more)), "roots")
     named = nodes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    of_set = named.join(names, "root").select("set_key", "component_id")
+    of_set = named.join(names, "root").select("set_key", "component_id", "root")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return points.select("doc_id", "row", "n", "set_key").join(of_set, "set_key", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"))
+    return points.select("doc_id", "row", "n", "set_key").join(of_set, "set_key", "left").select("doc_id", "row", F.col("n").alias("n_shingles"), component.alias("component_id"), "root")

@@ -160,6 +160,24 @@ def test_stages_on_odd_rows(spark, tmp_path):
             assert bool(got) == bool(part)
 
 
+def test_one_row_of_each_group_stays(spark):
+    rng = random.Random(1)
+    a, b, c, d, e = (" ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 2 + str(rng.randrange(900)) for _ in range(60)) for _ in range(5))
+    rows = [(None, a, "x")] * 3 + [(None, a + " z", "x"), (7, a, "x"), (9, a + " y", "x")]  # missing ids beside others
+    rows += [(None, b, "x")] * 4 + [(None, b + " z", "x")]  # missing ids only
+    rows += [(3, c, "y"), (3, c, "x"), (3, c, "x")]  # equal rows
+    rows += [(4, d, "x"), (4, d + " z", "x"), (4, d + " y", "x"), (5, d, "x"), (5, d, "x")]  # an id with several texts
+    rows += [(6, e, "x"), (None, None, "x"), (None, None, "x"), (8, "", "x"), (8, "", "x"), (10, "", "x")]  # alone, without words
+    docs = spark.createDataFrame([(i, text, "en", source, 1) for i, text, source in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    after = corpus_pipeline.drop_near_duplicates(spark, docs, SMALL)
+    got = Counter((r.doc_id, r.text, r.source) for r in after.collect())
+    of_b, of_d = (next(k for k in got if k[0] == i and k[1] and k[1].startswith(t)) for i, t in ((None, b), (4, d)))
+    expected = [(7, a, "x"), of_b, (3, c, "x"), of_d, (6, e, "x"), (None, None, "x"), (8, "", "x"), (10, "", "x")]
+    assert after.columns == COLUMNS and got == Counter(expected)
+    again = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), SMALL).collect()
+    assert Counter((r.doc_id, r.text, r.source) for r in again) == got
+
+
 def test_modules_do_not_hide_import_errors():
     for path in ("corpus_pipeline.py", "leadwave/llm/queries.py"):
         assert not re.search(r"except (ImportError|ModuleNotFoundError)", open(path).read())
