@@ -26,7 +26,8 @@ _REPORTING = frozenset("said says wrote writes called quoted quote quotes report
 
 @dataclass
 class Lexicon:
-    """Terms to find. A stem also matches what continues it; terms of five letters or more match with one edit.
+    """Terms to find. A stem also matches what continues it; terms of five letters or more match with one edit, which for a stem
+    lies in the beginning of the word that stands for it.
 
     The trie and the automaton of all terms are walked together: a state is a set of (trie node, edits so far), and the
     states that texts lead to are made once and kept, so most words end in the empty state after two or three letters.
@@ -41,7 +42,7 @@ class Lexicon:
     def __post_init__(self) -> None:
         self.children, self.ends, self.allowed = [{}], [None], [0]
         for number, (term, stem) in enumerate(self.terms):
-            node, edits = 0, int(len(term) >= 5 and not stem)
+            node, edits = 0, int(len(term) >= 5)
             self.allowed[0] = max(self.allowed[0], edits)
             for letter in term:
                 if letter not in self.children[node]:
@@ -79,9 +80,9 @@ class Lexicon:
             self._states[states] = len(self._sets)
             self._sets.append(states)
             self._next.append({})
-            ended = [(edits, self.ends[node][0]) for node, edits in states if self.ends[node] and edits <= int(len(self.terms[self.ends[node][0]][0]) >= 5)]
-            self._accepts.append(min(ended, default=None))
-            self._stems.append(min(((edits, self.ends[node][0]) for node, edits in states if self.ends[node] and self.ends[node][1] and edits == 0), default=None))
+            ended = [(edits, *self.ends[node]) for node, edits in states if self.ends[node] and edits <= int(len(self.terms[self.ends[node][0]][0]) >= 5)]
+            self._accepts.append(min(((edits, number) for edits, number, _ in ended), default=None))
+            self._stems.append(min(((edits, number) for edits, number, stem in ended if stem), default=None))
         return self._states[states]
 
     def _step(self, state: int, letter: str) -> int:
@@ -102,15 +103,19 @@ class Lexicon:
         """(edits, term number) of the best match, or None."""
         if len(self._sets) > _CACHE:
             self._reset()
-        state = self.start
+        state, near = self.start, []
         for letter in word:
             following = self._next[state].get(letter)
             state = self._step(state, letter) if following is None else following
             if state == self.dead:
-                return None
+                break
             if self._stems[state] is not None:
-                return self._stems[state]
-        found = self._accepts[state]
+                if not self._stems[state][0]:
+                    return self._stems[state]
+                near.append(self._stems[state])  # what follows may still match without an edit
+        if self._accepts[state] is not None:
+            near.append(self._accepts[state])
+        found = min(near, default=None)
         return None if found is not None and found[0] and word in self.innocent else found
 
 
@@ -217,7 +222,8 @@ def _in_own_contexts(train: DataFrame, terms: list[tuple[str, bool]], n_bad: int
 
 
 def choose_terms(counts: dict[tuple[str, bool], tuple[int, int]]) -> list[tuple[str, bool]]:
-    """Words, and stems that stand for several words; nothing that a chosen stem already covers."""
+    """Words, and stems that stand for several words; nothing that a chosen stem already covers, misspellings included: a stem
+    too short for an edit leaves words of five letters or more in."""
     words = {w: bad for (w, stem), (bad, _) in counts.items() if not stem}
     stems = []
     for (stem, is_stem), (bad, good) in sorted(counts.items(), key=lambda x: (len(x[0][0]), x[0][0])):
@@ -225,7 +231,7 @@ def choose_terms(counts: dict[tuple[str, bool], tuple[int, int]]) -> list[tuple[
             commonest = max((n for w, n in words.items() if w.startswith(stem)), default=0)
             if bad >= 1.5 * commonest and bad >= 4:
                 stems.append(stem)
-    return [(s, True) for s in stems] + [(w, False) for w in sorted(words) if not any(w.startswith(s) for s in stems)]
+    return [(s, True) for s in stems] + [(w, False) for w in sorted(words) if not any(w.startswith(s) and (len(s) >= 5 or len(w) < 5) for s in stems)]
 
 
 def _features(hits: list[tuple[str, int, int, bool]]) -> list[float]:

@@ -40,6 +40,23 @@ def test_stems_match_continuations_only():
     assert lexicon.match("oron") is None and lexicon.match("mron") == (1, 1)
 
 
+def test_words_misspelled_inside_a_stem():
+    terms = [("dreadf", True), ("moron", False), ("vek", True), ("gruesom", True)]
+    lexicon = Lexicon(terms, frozenset({"dreamful"}))
+    words = {"", "dread", "dreafully", "dreaadful", "drexdfulness", "xdreadful", "dradful", "drxxdful", "dreadf", "gruesame", "gruseome", "grusomely", "moro", "morons", "wekto", "vkto"}
+    for word in words:
+        prefixes = [word[:i] for i in range(len(word) + 1)]
+        by_term = [(min(distance(x, t) for x in prefixes) if stem else distance(word, t), n) for n, (t, stem) in enumerate(terms)]
+        assert lexicon.match(word) == min(((d, n) for d, n in by_term if d <= (len(terms[n][0]) >= 5)), default=None), word
+    assert lexicon.match("dreafully") == (1, 0) and lexicon.match("dreamful") is None
+
+
+def test_words_of_a_short_stem_match_misspelled():
+    counts = {("vekando", False): (8, 0), ("vekilo", False): (9, 0), ("vek", True): (17, 0)}
+    lexicon = Lexicon(choose_terms(counts))
+    assert lexicon.match("vekando") == (0, 0) and lexicon.match("vxkando")[0] == 1 and lexicon.match("vkilo")[0] == 1 and lexicon.match("wekura") is None
+
+
 def test_stems_are_chosen_for_many_words_only():
     counts = {("idiot", False): (50, 0), ("idio", True): (50, 0), ("veka", False): (8, 0), ("vekb", False): (9, 0), ("vek", True): (17, 0), ("veka", True): (8, 0)}
     assert choose_terms(counts) == [("vek", True), ("idiot", False)]
