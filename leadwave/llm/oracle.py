@@ -110,5 +110,38 @@ reached AS (
 SELECT l.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, r.component_id
 FROM lists l LEFT JOIN sizes s ON s.doc_id = l.doc_id
 JOIN (SELECT node, min(seen) AS component_id FROM reached GROUP BY node) r ON r.node = l.doc_id
+""",
+    "op13_importance": r"""
+WITH crc_table AS (
+  SELECT list(list_reduce(list_prepend(i, range(8)), lambda c, r: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS steps FROM range(256) t(i)),
+doc_lists AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+item_lists AS (
+  SELECT regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+in_docs AS (SELECT doc_id, word, count(*) AS times FROM (SELECT doc_id, unnest(words) AS word FROM doc_lists) GROUP BY doc_id, word),
+in_items AS (SELECT word, count(*) AS times FROM (SELECT unnest(words) AS word FROM item_lists) GROUP BY word),
+vocabulary AS (SELECT DISTINCT word FROM (SELECT word FROM in_docs UNION ALL SELECT word FROM in_items)),
+spelled AS (
+  SELECT word, hex(encode(word)) AS code FROM vocabulary),
+bytes AS (
+  SELECT word, list_transform(range(CAST(length(code) // 2 AS BIGINT)), lambda i: CAST(('0x' || substr(code, 2 * i + 1, 2)) AS BIGINT)) AS bytes FROM spelled),
+hashed AS (
+  SELECT word, CAST(xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, steps[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) % 10000 AS INTEGER) AS bucket FROM bytes CROSS JOIN crc_table),
+source_counts AS (SELECT bucket, sum(times) AS s FROM in_docs JOIN hashed USING (word) GROUP BY bucket),
+target_counts AS (SELECT bucket, sum(times) AS t FROM in_items JOIN hashed USING (word) GROUP BY bucket),
+totals AS (SELECT (SELECT coalesce(sum(s), 0) FROM source_counts) AS big_s, (SELECT coalesce(sum(t), 0) FROM target_counts) AS big_t),
+gains AS (
+  SELECT b.bucket, CAST(floor(1000 * ln(CAST((coalesce(t, 0) + 1) * (big_s + 10000) AS DOUBLE) / CAST((coalesce(s, 0) + 1) * (big_t + 10000) AS DOUBLE))) AS BIGINT) AS gain
+  FROM (SELECT unnest(range(10000)) AS bucket) b LEFT JOIN source_counts USING (bucket) LEFT JOIN target_counts USING (bucket) CROSS JOIN totals),
+weights AS (
+  SELECT doc_id, sum(times) AS n, CAST(floor(CAST(sum(times * gain) AS DOUBLE) / sum(times)) AS BIGINT) AS weight FROM in_docs JOIN hashed USING (word) JOIN gains USING (bucket) GROUP BY doc_id),
+scored AS (
+  SELECT l.doc_id, CAST(coalesce(w.n, 0) AS BIGINT) AS n_features, coalesce(w.weight, 0) AS weight,
+         coalesce(w.weight, 0) + CAST(floor(-1000 * ln(-ln((CAST(('0x' || substr(sha256('2024:' || l.doc_id), 1, 8)) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+  FROM doc_lists l LEFT JOIN weights w ON l.doc_id = w.doc_id),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS eligible FROM scored WHERE n_features >= 20)
+SELECT s.doc_id, s.n_features, s.weight, s.score, CASE WHEN r.place <= floor(10 * r.eligible / 100) THEN r.place END AS rank
+FROM scored s LEFT JOIN ranked r ON s.doc_id = r.doc_id
 """,
 }

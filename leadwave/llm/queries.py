@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadwave.llm import decontam, fingerprints, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, token_counts, toxicity
+from leadwave.llm import decontam, fingerprints, importance, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, token_counts, toxicity
 from leadwave.llm.common import held_out
 
 SHARDS = 24
@@ -16,6 +16,7 @@ CYCLE = (5, 2, 1)
 RATIO, EPOCHS = (3, 2), 2
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+PERCENT = 10
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -81,6 +82,11 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.importance_ranks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), PERCENT)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -92,4 +98,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    "op13_importance": op13_importance,
 }
