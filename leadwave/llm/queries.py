@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadwave.llm import decontam, fingerprints, importance, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, token_counts, toxicity
+from leadwave.llm import alignment, decontam, fingerprints, importance, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, token_counts, toxicity
 from leadwave.llm.common import held_out
 
 SHARDS = 24
@@ -17,6 +17,7 @@ RATIO, EPOCHS = (3, 2), 2
 TOKENIZER = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
 PERCENT = 10
+ALIGNED = ("byte_bpe_50k.json", "piece_bpe_32k.model")
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,6 +83,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "fingerprint", "edited_fingerprint", "near_edited", "near_next")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_key"), "text")
+    found = alignment.align(docs, *map(public_tokenizers.path, ALIGNED)).documents
+    return found.withColumnRenamed("doc_key", "doc_id")
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.importance_ranks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), PERCENT)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -98,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
+    "op11_alignment": op11_alignment,
     "op13_importance": op13_importance,
 }
