@@ -7,7 +7,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +73,11 @@ class Aligner:
         if any("▁" in p.lstrip("▁") for p in listed):
             raise ValueError("the second vocabulary has tokens that reach across a space")
         self.bytes_b = [_piece_bytes(p) for p in listed]
+        self.width_a = np.zeros(max(self.bytes_a) + 1, np.int64)
+        self.width_a[list(self.bytes_a)] = [len(t) for t in self.bytes_a.values()]
+        self.width_b = np.array([len(t) for t in self.bytes_b])
+        # Each id as text with the separator inside its group's side, and with the one at that side's end.
+        self.written = [f"{i}{c}" for n, end in ((len(self.width_a), "|"), (len(self.width_b), ";")) for i in range(n) for c in (",", end)]
         self.space = self.b.piece_to_id("▁")
         self.clear()
 
@@ -80,7 +85,7 @@ class Aligner:
         self.index: dict[str, int] = {}
         self.n_a, self.n_b, self.n_groups = (np.zeros(0, np.int64) for _ in range(3))
         self.same = np.zeros(0, bool)
-        self.groups: list[bytes] = []
+        self.groups: list[str] = []
         self.links, self.link_ends = np.zeros(0, np.int64), np.zeros(1, np.int64)
 
     def cut(self, text: str) -> list[str]:
@@ -97,38 +102,59 @@ class Aligner:
         return out
 
     def _learn(self, units: list[str]) -> None:
+        """Tokenise units and align all their tokens at once, side by side as bytes of one text."""
         of_a = [e.ids for e in self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False)]
-        of_b = self.b.encode(units, num_threads=1)
-        n_a, n_b, n_groups, same, links, n_links = [], [], [], [], [], []
-        for unit, ids_a, ids_b in zip(units, of_a, of_b, strict=True):
-            if not unit:
-                ids_b = [self.space]  # the library gives none for an empty text, but one for a space at a text's end
-            self.index[unit] = len(self.index)
-            tokens_a, tokens_b = [self.bytes_a[i] for i in ids_a], [self.bytes_b[i] for i in ids_b]
-            whole = (" " + unit).encode()
-            if b"".join(tokens_a) != whole or b"".join(tokens_b) != whole:
-                for column in (n_a, n_b, n_groups, n_links):
-                    column.append(0)
-                same.append(False)
-                self.groups.append(b"")
-                continue
-            pairs, cuts = _overlaps(list(map(len, tokens_a)), list(map(len, tokens_b)))
-            links += [ids_a[x] << 32 | ids_b[y] for x, y in pairs]
-            n_links.append(len(pairs))
-            n_a.append(len(ids_a))
-            n_b.append(len(ids_b))
-            n_groups.append(len(cuts))
-            same.append(True)
-            text, x, y = [], 0, 0
-            for end_a, end_b in cuts:
-                text.append(",".join(map(str, ids_a[x:end_a])) + "|" + ",".join(map(str, ids_b[y:end_b])))
-                x, y = end_a, end_b
-            self.groups.append(";".join(text).encode())
+        # The library gives none for an empty text, but one for a space at a text's end.
+        of_b = [ids if unit else [self.space] for unit, ids in zip(units, self.b.encode(units, num_threads=1), strict=True)]
+        self.index.update(zip(units, range(len(self.index), len(self.index) + len(units)), strict=True))
+        same = self._same_bytes([(" " + u).encode() for u in units], of_a, of_b)
+        if not same.all():
+            of_a, of_b = ([ids if good else [] for ids, good in zip(x, same.tolist(), strict=True)] for x in (of_a, of_b))
+        n_a, n_b = (np.fromiter(map(len, x), np.int64, len(x)) for x in (of_a, of_b))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64, int(n.sum())) for x, n in ((of_a, n_a), (of_b, n_b)))
+        ends_a, ends_b = np.cumsum(self.width_a[a]), np.cumsum(self.width_b[b])
+        size = int(ends_a[-1]) if len(ends_a) else 0
+        is_end = np.zeros((2, size + 1), bool)
+        is_end[0, ends_a] = is_end[1, ends_b] = True
+        # Every byte where a token of either side ends closes one link: of the tokens of both sides that hold the byte before.
+        at = np.flatnonzero(is_end[0] | is_end[1])
+        tokens_before = np.cumsum(is_end, axis=1)
+        links = a[tokens_before[0, at - 1]] << 32 | b[tokens_before[1, at - 1]]
+        cuts = np.flatnonzero(is_end[0] & is_end[1])
+        unit_ends = np.concatenate(([0], ends_a))[np.cumsum(n_a)]
+        n_links = np.diff(np.searchsorted(at, unit_ends, side="right"), prepend=0)
+        n_groups = np.diff(np.searchsorted(cuts, unit_ends, side="right"), prepend=0)
+
+        self.groups += self._written(a, b, tokens_before[:, cuts], n_a + n_b)
         self.n_a, self.n_b, self.n_groups = (np.append(x, y) for x, y in ((self.n_a, n_a), (self.n_b, n_b), (self.n_groups, n_groups)))
         self.same = np.append(self.same, same)
-        self.links = np.append(self.links, np.array(links, np.int64))
+        self.links = np.append(self.links, links)
         self.link_ends = np.append(self.link_ends, self.link_ends[-1] + np.cumsum(n_links))
 
+    def _same_bytes(self, whole: list[bytes], of_a: list[list[int]], of_b: list[list[int]]) -> np.ndarray:
+        """Whether the tokens of both sides join to the bytes of each unit."""
+        same = np.ones(len(whole), bool)
+        for ids, table in ((of_a, self.bytes_a), (of_b, self.bytes_b)):
+            joined = [b"".join(map(table.__getitem__, i)) for i in ids]
+            if joined != whole:
+                same &= np.fromiter((x == y for x, y in zip(joined, whole, strict=True)), bool, len(whole))
+        return same
+
+    def _written(self, a: np.ndarray, b: np.ndarray, cuts: np.ndarray, n_tokens: np.ndarray) -> list[str]:
+        """The groups of each unit as text, a separator after every id; `cuts` has the number of tokens of either side at each group's end."""
+        before = np.concatenate((np.zeros((2, 1), np.int64), cuts), axis=1)
+        sizes = np.diff(before)
+        place_a = np.arange(len(a)) + np.repeat(before[1, :-1], sizes[0])
+        place_b = np.arange(len(b)) + np.repeat(before[0, 1:], sizes[1])
+        last = np.zeros((2, max(len(a), len(b), 1)), bool)
+        last[0, cuts[0] - 1] = last[1, cuts[1] - 1] = True
+        code = np.empty(len(a) + len(b), np.int64)
+        code[place_a] = 2 * a + last[0, : len(a)]
+        code[place_b] = 2 * (b + len(self.width_a)) + last[1, : len(b)]
+        texts = list(map(self.written.__getitem__, code.tolist()))
+        ends = np.cumsum(n_tokens).tolist()
+        return ["".join(texts[first:end]) for first, end in zip([0, *ends], ends, strict=False)]
+
     def links_of(self, units: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All links of the units in order, as A id and B id in one number, and how many each unit has."""
         first, n = self.link_ends[units], self.link_ends[units + 1] - self.link_ends[units]
@@ -136,26 +162,6 @@ class Aligner:
         return self.links[at], n
 
 
-def _overlaps(lengths_a: list[int], lengths_b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Pairs of tokens whose byte ranges overlap, and after how many tokens of either side both end together."""
-    pairs, cuts, x, y = [], [], 0, 0
-    end_a, end_b = lengths_a[0], lengths_b[0]
-    while True:
-        pairs.append((x, y))
-        if end_a == end_b:
-            x, y = x + 1, y + 1
-            cuts.append((x, y))
-            if x == len(lengths_a):
-                return pairs, cuts
-            end_a, end_b = end_a + lengths_a[x], end_b + lengths_b[y]
-        elif end_a < end_b:
-            x += 1
-            end_a += lengths_a[x]
-        else:
-            y += 1
-            end_b += lengths_b[y]
-
-
 @functools.cache
 def _aligner(path_a: str, path_b: str) -> Aligner:
     """One for each worker process, which keeps it from task to task."""
@@ -265,8 +271,8 @@ def _aligned(aligner: Aligner, texts: list[str | None]) -> tuple[dict[str, pa.Ar
         totals[name] = np.bincount(text[used], weights=getattr(aligner, name)[units[used]], minlength=len(texts)).astype(np.int64)
     digests = []
     for t, (end, n) in enumerate(zip(ends.tolist(), counts.tolist(), strict=True)):
-        held = b";".join(map(aligner.groups.__getitem__, units[end - n : end].tolist())) if good[t] else b""
-        digests.append(hashlib.sha256(held).hexdigest() if held else "")
+        held = "".join(map(aligner.groups.__getitem__, units[end - n : end].tolist())) if good[t] else ""
+        digests.append(hashlib.sha256(held[:-1].encode()).hexdigest() if held else "")
     pairs, n = aligner.links_of(units[used])
     of = np.repeat(text[used], n)
     totals["n_links"] = np.bincount(of, minlength=len(texts))
