@@ -110,6 +110,27 @@ reached AS (
 SELECT l.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, r.component_id
 FROM lists l LEFT JOIN sizes s ON s.doc_id = l.doc_id
 JOIN (SELECT node, min(seen) AS component_id FROM reached GROUP BY node) r ON r.node = l.doc_id
+""",
+    "op12_bottom_k": r"""
+WITH RECURSIVE lists AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+places AS (
+  SELECT doc_id, words, least(2, len(words)) AS n, unnest(range(1, len(words) - least(2, len(words)) + 2)) AS place FROM lists WHERE len(words) > 0),
+shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(words, place, place + n - 1), ' ') AS shingle FROM places),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM shingles a JOIN shingles b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+links AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reached AS (
+  SELECT doc_id AS node, doc_id AS seen FROM lists
+  UNION
+  SELECT r.node, e.b FROM reached r JOIN edges e ON e.a = r.seen)
+SELECT l.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, r.component_id, l.doc_id = r.component_id AS kept
+FROM lists l LEFT JOIN sizes s ON s.doc_id = l.doc_id
+JOIN (SELECT node, min(seen) AS component_id FROM reached GROUP BY node) r ON r.node = l.doc_id
 """,
     "op13_importance": r"""
 WITH crc_table AS (

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leadwave.llm import alignment, decontam, fingerprints, importance, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, token_counts, toxicity
+from leadwave.llm import alignment, bottom_k, decontam, fingerprints, importance, line_dedup, mixing, ngram_join, quality, sharding, suffix_dedup, token_counts, toxicity
 from leadwave.llm.common import held_out
 
 SHARDS = 24
@@ -89,6 +89,11 @@ def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumnRenamed("doc_key", "doc_id")
 
 
+def op12_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = bottom_k.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     drawn = importance.importance_ranks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), PERCENT)
     return drawn.select("doc_id", "n_features", "weight", "score", "rank")
@@ -106,5 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": op9_token_counts,
     "op10_fingerprints": op10_fingerprints,
     "op11_alignment": op11_alignment,
+    "op12_bottom_k": op12_bottom_k,
     "op13_importance": op13_importance,
 }

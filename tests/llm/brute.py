@@ -54,9 +54,9 @@ def shingles(text, k=5):
     return frozenset(tuple(words[p : p + k]) for p in range(len(words) - k + 1)) if len(words) >= k else frozenset([tuple(words)])
 
 
-def components(rows, up=4, down=5):
+def components(rows, up=4, down=5, k=5):
     """{id: (n_shingles, component)} by comparing every pair."""
-    sets = {i: shingles(t) for i, t in rows}
+    sets = {i: shingles(t, k) for i, t in rows}
     root = {i: i for i in sets}
 
     def find(i):
