@@ -21,7 +21,7 @@ LIKENESS = Fraction(4, 5)
 SKETCH = 48
 # Chance that a sketch shares less than what is asked for although the sets are alike.
 MISS = 1e-8
-# Inverted lists up to this length are compared pair by pair; longer ones are parted by a further shared value.
+# Longer inverted lists are parted by a further shared value where that saves pairs.
 LIST = 64
 
 
@@ -121,14 +121,33 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, liken
     return pairs.join(left, "a").join(right, "b").where(both * likeness.denominator >= union * likeness.numerator).select("a", "b")
 
 
-def _pairs_across(lists: DataFrame, sizes: DataFrame, limit: Column, size: int, likeness: Fraction) -> DataFrame:
-    """Pairs of nodes of different roots within the lists that `limit` lets pass, as far as their sketches may link."""
-    inside = lists.select("list", "root", "set_key", F.struct("n", "kept").alias("sketch")).join(sizes.where(limit).select("list"), "list")
-    a, b = (inside.select("list", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "set_key", "sketch"))) for x in "ab")
-    found = a.join(b, "list").where(F.col("root_a") < F.col("root_b")).where(_may_link("sketch_a", "sketch_b", size, likeness))
+def _pairs_across(lists: DataFrame, sizes: DataFrame, size: int, likeness: Fraction) -> DataFrame:
+    """Pairs of nodes of different roots within lists, as far as their sketches may link.
+
+    One of a pair is not of the root `top` of its list's first node, so a large group of near copies meets the others only.
+    """
+    inside = lists.select("list", "root", "set_key", F.struct("n", "kept").alias("sketch")).join(sizes.select("list", "top"), "list")
+    a, b = (inside.select("list", "top", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "set_key", "sketch"))) for x in "ab")
+    once = (F.col("root_b") == F.col("top")) | (F.col("set_key_a") < F.col("set_key_b"))
+    found = a.where("root_a != top").join(b.drop("top"), "list").where((F.col("root_a") != F.col("root_b")) & once)
+    found = found.where(_may_link("sketch_a", "sketch_b", size, likeness))
     return found.select(F.least("set_key_a", "set_key_b").alias("a"), F.greatest("set_key_a", "set_key_b").alias("b"))
 
 
+def _parted(lists: DataFrame, longer: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
+    """Lists by the next value that two of their nodes may share, and which of `longer` (list, held) are worth parting: those
+    whose parts have at most half their pairs. Nodes that share many values are compared in the list they are in."""
+    inside = lists.join(broadcast_if_small(longer), "list").withColumnRenamed("list", "before").withColumnRenamed("at", "from")
+    # Values after the last one shared, as far as the next one may stand.
+    ahead = F.slice("shared", F.col("from") + 2, F.greatest(F.col("reach") + level - F.col("from") - 1, F.lit(0)))
+    inside = inside.select("*", F.posexplode(ahead).alias("step", "value"))
+    at, name = (F.col("from") + F.col("step") + 1).alias("at"), F.xxhash64("before", "value").alias("list")
+    parts = stash(inside.select("set_key", "n", "kept", "shared", "reach", "root", "before", "held", at, name), "parted")
+    squares = parts.groupBy("before", "held", "list").agg(F.count("*").alias("part")).groupBy("before", "held")
+    worth = squares.agg(F.sum(F.col("part") * F.col("part")).alias("squares")).where(2 * F.col("squares") <= F.col("held") * F.col("held"))
+    return parts, stash(worth.select(F.col("before").alias("list")), "worth")
+
+
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKENESS, size: int = SKETCH) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, root) for each row of (doc_id, text), from links of at least `likeness`.
 
@@ -136,9 +155,8 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKE
 
     1. each list's nodes against its first node; what the union sketches let pass is verified on whole sets, and linked nodes become
        components, so a group of near copies costs a multiple of its size;
-    2. in every list that still holds two components, all pairs of nodes of different components. A list longer than LIST is parted
-       first, by the next value that two of its nodes share, as often as needed. After as many values as a pair must share,
-       what is left in a list are candidates by the sketch itself.
+    2. in every list that still holds two components, pairs of nodes of different components. A list longer than LIST is parted
+       first, by the next value that two of its nodes share, wherever that at least halves its pairs.
 
     No list and no number of partners is capped. A link of the limit itself is missed with a chance of at most MISS, when fewer
     values of the union sketch are shared than least_overlap asks for; sets up to the sketch's size are never missed.
@@ -173,22 +191,22 @@ def _links(nodes: DataFrame, docs: DataFrame, k: int, likeness: Fraction, size:
     roots = stash(components(links), "parts").withColumnRenamed("node", "set_key")
     placed = listed.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
     lists = placed.select("*", F.posexplode(F.slice("shared", F.lit(1), F.col("reach"))).alias("at", "list"))
-    found, level, asked = [], 1, least_overlap(size, likeness)
+    found, level = [], 1
     while True:
-        sizes = lists.groupBy("list").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"))
+        sizes = lists.groupBy("list").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "set_key").alias("top"))
         # At the first level a list of two has been looked at.
-        sizes = stash(sizes.where(F.col("low") != F.col("high")).where(F.col("held") > (2 if level == 1 else 1)).select("list", "held"), "sizes")
-        whole = F.col("held") <= LIST if level < asked else F.lit(True)
-        found.append(stash(_pairs_across(lists, sizes, whole, size, likeness).distinct(), "found"))
-        longer = sizes.where(~whole).select("list")
+        sizes = stash(sizes.where("low != high").where(F.col("held") > (2 if level == 1 else 1)).select("list", "held", "top"), "sizes")
+        longer = sizes.where(F.col("held") > LIST).select("list", "held")
         if longer.isEmpty():
+            found.append(stash(_pairs_across(lists, sizes, size, likeness).distinct(), "found"))
+            break
+        parts, worth = _parted(lists, longer, level)
+        sizes = sizes.join(broadcast_if_small(worth), "list", "left_anti")
+        found.append(stash(_pairs_across(lists, sizes, size, likeness).distinct(), "found"))
+        if worth.isEmpty():
             break
-        parted = lists.join(broadcast_if_small(longer), "list").withColumn("before", F.col("list")).withColumn("from", F.col("at")).drop("at", "list")
-        # Values after the last one shared, as far as the next one may stand.
-        ahead = F.slice("shared", F.col("from") + 2, F.greatest(F.col("reach") + level - F.col("from") - 1, F.lit(0)))
-        parted = parted.select("*", F.posexplode(ahead).alias("step", "value"))
-        lists = parted.select("set_key", "n", "kept", "shared", "reach", "root", (F.col("from") + F.col("step") + 1).alias("at"), F.xxhash64("before", "value").alias("list"))
-        lists, level = stash(lists, "parted"), level + 1
+        lists = parts.join(broadcast_if_small(worth.withColumnRenamed("list", "before")), "before", "left_semi").drop("before", "held")
+        level += 1
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
