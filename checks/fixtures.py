@@ -191,3 +191,31 @@ def order_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("institution").alias("institution"),
         F.when(F.col("o_orderstatus") != "P", subject).alias("subject"),
     )
+
+
+def second_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A series of the long recording beside the first: another rate, other values, three fifths as long."""
+    frames = table(spark, sf_dir, "embeddings").where(F.col("vec_id") % 5 < 3)
+    return blocks_from_frames(frames.select(
+        F.lit("emb").alias("run_id"), F.lit(rules.SECOND_SERIES).alias("series_name"),
+        (F.call_function("div", F.col("vec_id"), F.lit(5)) * 3 + F.col("vec_id") % 5).alias("sample_idx"),
+        F.transform("embedding", lambda x: x * F.lit(0.5).cast("float")).alias("frame"),
+    ), EMB_BLOCK)
+
+
+def two_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return emb_signals(spark, sf_dir).unionByName(second_series(spark, sf_dir))
+
+
+def two_recordings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As measured at ingest, a row for each series."""
+    measured_rows = with_rate(measure_recordings(two_series(spark, sf_dir)))
+    return measured_rows.withColumn("sfreq", F.when(F.col("series_name") == rules.SECOND_SERIES, 250.0).otherwise(F.col("sfreq")))
+
+
+def broken_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All recordings; the long one without its third block in channel 5 and its first in channel 9, the first of the many with
+    its second block of channel 3 stored twice. The other recordings are whole."""
+    blocks = signals(spark, sf_dir)
+    at = lambda run, channel, block: (F.col("run_id") == run) & (F.col("channel_pos") == channel) & (F.col("block_idx") == block)
+    return blocks.where(~at("emb", 5, 2) & ~at("emb", 9, 0)).unionByName(blocks.where(at("ev-0", 3, 1)))

@@ -31,6 +31,25 @@ CTE = {
         "SELECT run_id, channel_pos, sample_idx, CASE WHEN channel_pos % 7 = 0 AND sample_idx >= 200 AND sample_idx < 300 "
         "THEN 0.0 ELSE value END AS value FROM sig_emb"
     ),
+    "sig_two": (
+        f"SELECT run_id, {SERIES} AS series_name, channel_pos, sample_idx, value FROM sig_emb UNION ALL "
+        f"SELECT run_id, '{rules.SECOND_SERIES}', channel_pos, (sample_idx // 5) * 3 + sample_idx % 5, CAST(CAST(value * 0.5 AS FLOAT) AS DOUBLE) FROM sig_emb WHERE sample_idx % 5 < 3"
+    ),
+    "rec_two": (
+        "SELECT run_id, series_name, max(sample_idx) + 1 AS n_samples, CASE WHEN series_name = "
+        f"{SERIES} THEN 400.0::DOUBLE ELSE 250.0::DOUBLE END AS sfreq FROM sig_two GROUP BY ALL"
+    ),
+    "sig_second": f"SELECT run_id, channel_pos, sample_idx, value FROM sig_two WHERE series_name = '{rules.SECOND_SERIES}'",
+    "sig_broken": (
+        "SELECT run_id, channel_pos, sample_idx, value FROM sig WHERE NOT (run_id = 'emb' AND ((channel_pos = 5 AND sample_idx // 128 = 2) OR (channel_pos = 9 AND sample_idx // 128 = 0))) "
+        "UNION ALL SELECT run_id, channel_pos, sample_idx, value FROM sig WHERE run_id = 'ev-0' AND channel_pos = 3 AND sample_idx // 64 = 1"
+    ),
+    "gaps": (
+        "SELECT run_id, channel_pos, min(bad) AS first_bad_sample, arg_min(problem, bad) AS problem FROM ("
+        "SELECT run_id, channel_pos, CASE WHEN sample_idx = before THEN sample_idx ELSE before + 1 END AS bad, CASE WHEN sample_idx = before THEN 'repeated' ELSE 'missing' END AS problem "
+        "FROM (SELECT run_id, channel_pos, sample_idx, lag(sample_idx, 1, -1) OVER (PARTITION BY run_id, channel_pos ORDER BY sample_idx) AS before FROM sig_broken) "
+        "WHERE sample_idx <> before + 1) GROUP BY run_id, channel_pos"
+    ),
     "rec": (
         "SELECT run_id, max(sample_idx) + 1 AS n_samples, CAST(count(DISTINCT channel_pos) AS INTEGER) AS n_channels, "
         "CASE WHEN run_id LIKE 'ev-%' AND CAST(regexp_extract(run_id, '(\\d+)$', 1) AS INTEGER) % 2 = 1 "
@@ -61,6 +80,7 @@ NEEDS = {
     "sig": ["sig_emb", "sig_ev"], "sig_drop": ["sig_emb"], "rec": ["sig"], "elec_emb": ["emb_pos"], "cmap_emb": ["emb_pos"],
     "elec_part": ["part_pos"], "cmap_part": ["part_pos"], "ev_ch": ["sig_ev"], "elec_ev": ["ev_ch"], "cmap_ev": ["ev_ch"],
     "elec_all": ["elec_emb", "elec_ev"], "cmap_all": ["cmap_emb", "cmap_ev"], "found": ["files"],
+    "sig_two": ["sig_emb"], "rec_two": ["sig_two"], "sig_second": ["sig_two"], "sig_broken": ["sig"], "gaps": ["sig_broken"],
 }
 
 

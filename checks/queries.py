@@ -582,7 +582,7 @@ DROP_STEPS = O.bipolar_steps("emb", sig="sig_drop")
     "SELECT run_id, pair_idx, location, window_idx, round((window_idx + 0.5) * len / sfreq / 60, 9) AS time_min, round(std, 9) + 0.0 AS std FROM windows",
     *O.bipolar_steps("all"), _std_windows(WINDOW_SEC)))
 def window_std(s, d):
-    return Q.window_std(all_bipolar(s, d), X.recordings(s, d), WINDOW_SEC).withColumns({"time_min": R("time_min"), "std": R("std")})
+    return Q.window_std(all_bipolar(s, d), X.recordings(s, d), WINDOW_SEC).drop("series_name").withColumns({"time_min": R("time_min"), "std": R("std")})
 
 
 DROPOUTS = (
@@ -599,7 +599,7 @@ DROP_RATIO = 0.9
     f"round((window_idx + 0.5) * len / sfreq / 60 - {WINDOW_SEC} / 120, 9) + 0.0 AS span_start_min, round((window_idx + 0.5) * len / sfreq / 60 + {WINDOW_SEC} / 120, 9) AS span_end_min FROM drops",
     *DROP_STEPS, _std_windows(WINDOW_SEC), DROPOUTS))
 def dropout_detect(s, d):
-    found = Q.dropout_detect(drop_bipolar(s, d), X.emb_recordings(s, d), WINDOW_SEC, DROP_RATIO)
+    found = Q.dropout_detect(drop_bipolar(s, d), X.emb_recordings(s, d), WINDOW_SEC, DROP_RATIO).drop("series_name")
     return found.withColumns({c: R(c) for c in ("time_min", "std", "median", "span_start_min", "span_end_min")})
 
 
@@ -611,7 +611,7 @@ def dropout_detect(s, d):
     _std_windows(SEGMENT_SEC, "chan")))
 def segment_flatness(s, d):
     channels = X.drop_signals(s, d).withColumnRenamed("channel_pos", "pair_idx")
-    flat = Q.segment_flatness(channels, X.emb_recordings(s, d), SEGMENT_SEC)
+    flat = Q.segment_flatness(channels, X.emb_recordings(s, d), SEGMENT_SEC).drop("series_name")
     return flat.withColumns({c: R(c) for c in ("start_min", "end_min", "mean_std")})
 
 
@@ -804,7 +804,7 @@ def bandpower_report(s, d):
 @query("bipolar_qc", O.sql(
     "SELECT run_id, pair_idx, location, count(*) AS n_dropouts FROM drops GROUP BY ALL", *DROP_STEPS, _std_windows(WINDOW_SEC), DROPOUTS))
 def bipolar_qc(s, d):
-    return RP.bipolar_qc(drop_bipolar(s, d), X.emb_recordings(s, d), WINDOW_SEC, SEGMENT_SEC, DROP_RATIO)["dropout_counts"]
+    return RP.bipolar_qc(drop_bipolar(s, d), X.emb_recordings(s, d), WINDOW_SEC, SEGMENT_SEC, DROP_RATIO)["dropout_counts"].drop("series_name")
 
 
 @query("bandpower_qc", O.sql(
@@ -813,3 +813,92 @@ def bipolar_qc(s, d):
 def bandpower_qc(s, d):
     checks = RP.bandpower_qc(D.scan_band_power(s, _stored(s, d, "qc")))
     return checks["tail_flags"].join(_rounded_stats(checks["tail_stats"]), "run_id")
+
+
+# --- series of one run, samples that are absent or stored twice --------------------------------------
+
+
+@query("segment_select_by_series", O.sql(
+    "SELECT s.run_id, s.series_name, s.channel_pos, s.sample_idx, s.value FROM sig_two s JOIN (SELECT run_id, series_name, "
+    f"(n_samples - {LENGTH}) // 2 AS lo, {LENGTH} AS len FROM rec_two) r ON r.run_id = s.run_id AND r.series_name = s.series_name "
+    "AND s.sample_idx >= r.lo AND s.sample_idx < r.lo + r.len", "rec_two"))
+def segment_select_by_series(s, d):
+    part = C.segment_select(X.two_series(s, d), X.two_recordings(s, d), 0.005, "middle")
+    return B.sample_rows(part).select("run_id", "series_name", "channel_pos", "sample_idx", "value")
+
+
+SERIES_WINDOWS = (
+    "windows",
+    f"SELECT s.run_id, s.series_name, s.channel_pos AS pair_idx, CAST(s.channel_pos AS VARCHAR) AS location, s.sample_idx // CAST(floor({WINDOW_SEC} * r.sfreq) AS BIGINT) AS window_idx, "
+    f"any_value(r.sfreq) AS sfreq, any_value(CAST(floor({WINDOW_SEC} * r.sfreq) AS BIGINT)) AS len, stddev_pop(s.value) AS std FROM sig_two s "
+    "JOIN rec_two r ON r.run_id = s.run_id AND r.series_name = s.series_name GROUP BY ALL "
+    f"HAVING count(*) = any_value(CAST(floor({WINDOW_SEC} * r.sfreq) AS BIGINT))",
+)
+
+
+def _channels_of_series(s, d):
+    return X.two_series(s, d).withColumn("location", F.col("channel_pos").cast("string")).withColumnRenamed("channel_pos", "pair_idx")
+
+
+@query("window_std_by_series", O.sql(
+    "SELECT run_id, series_name, pair_idx, location, window_idx, round((window_idx + 0.5) * len / sfreq / 60, 9) AS time_min, round(std, 9) + 0.0 AS std FROM windows",
+    "rec_two", SERIES_WINDOWS))
+def window_std_by_series(s, d):
+    return Q.window_std(_channels_of_series(s, d), X.two_recordings(s, d), WINDOW_SEC).withColumns({"time_min": R("time_min"), "std": R("std")})
+
+
+@query("dropout_detect_by_series", O.sql(
+    "SELECT w.run_id, w.series_name, w.pair_idx, w.window_idx, round(w.std, 9) + 0.0 AS std, round(m.med, 9) AS median FROM windows w "
+    "JOIN (SELECT run_id, series_name, pair_idx, median(std) AS med FROM windows GROUP BY ALL) m "
+    "ON m.run_id = w.run_id AND m.series_name = w.series_name AND m.pair_idx = w.pair_idx WHERE w.std < 0.9 * m.med",
+    "rec_two", SERIES_WINDOWS))
+def dropout_detect_by_series(s, d):
+    found = Q.dropout_detect(_channels_of_series(s, d), X.two_recordings(s, d), WINDOW_SEC, DROP_RATIO)
+    return found.select("run_id", "series_name", "pair_idx", "window_idx", R("std").alias("std"), R("median").alias("median"))
+
+
+@query("trace_layout_by_series", O.sql(
+    "SELECT run_id, series_name, channel_pos, channel_pos AS rank, round(channel_pos * 4 * stddev_pop(value) OVER (PARTITION BY run_id, series_name), 9) + 0.0 AS offset_value "
+    "FROM sig_two QUALIFY row_number() OVER (PARTITION BY run_id, series_name, channel_pos ORDER BY sample_idx) = 1", "sig_two"))
+def trace_layout_by_series(s, d):
+    return Q.trace_layout(X.two_series(s, d)).select("run_id", "series_name", "channel_pos", "rank", R("offset").alias("offset_value"))
+
+
+SECOND_RECORDING = ("rec", f"SELECT run_id, n_samples, sfreq FROM rec_two WHERE series_name = '{X.rules.SECOND_SERIES}'")
+
+
+@query("process_one_series", O.sql(
+    O.ROUNDED_POWER, "rec_two", SECOND_RECORDING, *O.bipolar_steps("emb", sig="sig_second"), "bands",
+    *O.welch_groups(**WELCH_ALL), *O.spectrum_steps(), O.BAND_POWER))
+def process_one_series(s, d):
+    results = PL.process(
+        X.two_series(s, d), X.two_recordings(s, d), X.emb_electrodes(s, d), X.emb_channel_map(s, d), "chunked", series_name=X.rules.SECOND_SERIES, **WELCH_ALL)
+    return rounded_power(results["band_power"])
+
+
+@query("block_gaps", O.sql("SELECT * FROM gaps", "gaps"))
+def block_gaps(s, d):
+    return B.block_gaps(B.block_manifest(X.broken_signals(s, d))).drop("series_name")
+
+
+@query("validate_runs", O.sql(
+    "SELECT r.run_id, CASE WHEN b.reason IS NULL THEN 'succeeded' ELSE 'failed' END AS status, b.reason FROM rec r LEFT JOIN ("
+    "SELECT run_id, CASE WHEN n_samples <= 32 THEN 'recording too short' ELSE g.reason END AS reason FROM rec LEFT JOIN ("
+    "SELECT run_id, 'samples ' || problem || ' from ' || first_bad_sample || ' on in channel ' || channel_pos AS reason FROM gaps "
+    "QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY first_bad_sample, channel_pos) = 1) g USING (run_id)) b ON b.run_id = r.run_id", "rec", "gaps"))
+def validate_runs(s, d):
+    blocks = X.broken_signals(s, d)
+    recordings, electrodes, channels = X.recordings(s, d), X.electrodes(s, d), X.channel_map(s, d)
+    layout = W.welch_layout(recordings, WELCH_ALL["nperseg"], WELCH_ALL["overlap"], WELCH_ALL["bin_sec"])
+    return M.validate_runs(recordings, electrodes, channels, P.bipolar_pairs(electrodes), layout, blocks, B.block_manifest(blocks))
+
+
+@query("time_bins_with_gaps", O.sql(
+    "SELECT run_id, channel_pos, bin_idx, bin_idx * len AS start_sample, CAST(last - bin_idx * len + 1 AS INTEGER) AS n_samples, "
+    "CASE WHEN held = last - bin_idx * len + 1 THEN round(total, 9) + 0.0 ELSE 'nan'::DOUBLE END AS total FROM ("
+    "SELECT s.run_id, s.channel_pos, r.len, s.sample_idx // r.len AS bin_idx, max(s.sample_idx) AS last, count(*) AS held, sum(s.value) AS total "
+    "FROM (SELECT DISTINCT * FROM sig_broken) s JOIN (SELECT run_id, CAST(floor(0.25 * sfreq) AS BIGINT) AS len FROM rec) r ON r.run_id = s.run_id GROUP BY ALL)", "rec", "sig_broken"))
+def time_bins_with_gaps(s, d):
+    bins = W.time_bins(X.broken_signals(s, d), X.recordings(s, d), 0.25)
+    total = F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
+    return bins.select("run_id", "channel_pos", "bin_idx", "start_sample", F.size("samples").alias("n_samples"), R(total).alias("total"))

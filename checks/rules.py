@@ -8,6 +8,7 @@ from __future__ import annotations
 EV_RUN = 5000
 EV_CHANNELS = 24
 EV_SCALE = 1024
+SECOND_SERIES = "ElectricalSeries_ECoG"
 
 SHAFTS = ["LA", "LANT", "LH", "RA", "RMDT", "RH", "ROF", "LTP"]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadwave.functions.frames import turn_frames
@@ -11,6 +11,11 @@ from leadwave.session import join_metadata
 RUN_SERIES = ("run_id", "series_name")
 
 
+def series_key(*tables: DataFrame) -> list[str]:
+    """What names a recording in all of these tables: run and series, or the run alone where a table has no series."""
+    return [c for c in RUN_SERIES if all(c in t.columns for t in tables)]
+
+
 def blocks_from_frames(frames: DataFrame, block_len: int) -> DataFrame:
     """Turn time-major rows (run_id, series_name, sample_idx, frame ARRAY) into channel blocks.
 
@@ -109,20 +114,63 @@ def cut_pieces(blocks: DataFrame, keys: list[str], length: Column | int, halo: C
     return pieces.select(*keys, "block_idx", (start + F.col("_skip")).alias("start_sample"), piece.alias("samples"))
 
 
-def assemble(pieces: DataFrame, keys: list[str]) -> DataFrame:
-    """Join the pieces of each bin in order; no shuffle when they are placed by some of the keys and the bin."""
+def assemble(pieces: DataFrame, keys: list[str], length: str) -> DataFrame:
+    """Join the pieces of each bin of `length` samples (a column) in order; no shuffle when they are placed by some of the keys and the bin.
+
+    Every sample keeps its place in time: a sample missing before a stored one is NaN, and one that is stored twice counts once.
+    """
     parts = F.sort_array(F.collect_list(F.struct("start_sample", "samples")))
-    whole = F.when(F.size("parts") == 1, F.col("parts")[0]["samples"]).otherwise(F.flatten(F.col("parts.samples")))
-    return (
-        pieces.groupBy(*keys, "block_idx")
-        .agg(parts.alias("parts"))
-        .select(*keys, "block_idx", F.col("parts")[0]["start_sample"].alias("start_sample"), whole.alias("samples"))
+    start = F.col("block_idx") * F.col(length)
+    gathered = pieces.groupBy(*keys, "block_idx", length).agg(parts.alias("parts"))
+    element = pieces.schema["samples"].dataType.elementType
+    nothing = F.struct(start.alias("at"), F.array().cast(pieces.schema["samples"].dataType).alias("samples"))
+
+    def follow(done: Column, part: Column) -> Column:
+        gap, size = part["start_sample"] - done["at"], F.size(part["samples"])
+        unseen = F.when(gap == 0, part["samples"]).when(
+            gap > 0, F.concat(F.array_repeat(F.lit(float("nan")).cast(element), gap.cast("int")), part["samples"])
+        ).otherwise(F.slice(part["samples"], (1 - gap).cast("int"), F.greatest(size + gap, F.lit(0)).cast("int")))
+        return F.struct(F.greatest(done["at"], part["start_sample"] + size).alias("at"), F.concat(done["samples"], unseen).alias("samples"))
+
+    ends = F.transform("parts", lambda p: p["start_sample"] + F.size(p["samples"]))
+    joined = F.forall(F.sequence(F.lit(1), F.size("parts") - 1), lambda i: F.col("parts")[i]["start_sample"] == F.get("ends", i - 1))
+    on_time = F.col("parts")[0]["start_sample"] == start
+    whole = (
+        F.when((F.size("parts") == 1) & on_time, F.col("parts")[0]["samples"])
+        .when(on_time & F.when(F.size("parts") > 1, joined).otherwise(False), F.flatten(F.col("parts.samples")))
+        .otherwise(F.aggregate("parts", nothing, follow)["samples"])
     )
+    return gathered.withColumn("ends", ends).select(*keys, "block_idx", start.alias("start_sample"), whole.alias("samples"))
 
 
 def recut(blocks: DataFrame, keys: list[str], length: Column | int, halo: Column | int = 0) -> DataFrame:
     """Blocks of another length per key, each followed by halo samples of the next."""
-    return assemble(cut_pieces(blocks, keys, length, halo), keys)
+    pieces = cut_pieces(blocks.withColumn("_length", F.lit(length) if isinstance(length, int) else length), [*keys, "_length"], length, halo)
+    return assemble(pieces, keys, "_length")
+
+
+def block_manifest(signals: DataFrame) -> DataFrame:
+    """(run_id, series_name, channel_pos, block_idx, start_sample, n): the stored blocks without their samples, to be written with
+    them. Selections of time and checks of gaps then read this table and not the signal."""
+    return signals.select(*RUN_SERIES, "channel_pos", "block_idx", "start_sample", F.size("samples").cast("bigint").alias("n"))
+
+
+def block_gaps(manifest: DataFrame) -> DataFrame:
+    """(run_id, series_name, channel_pos, first_bad_sample, problem) of every channel whose blocks do not follow each other from
+    sample 0 on: 'missing' where samples are absent before a stored one, 'repeated' where samples are stored again.
+
+    Rows are blocks; each is compared with the furthest end of the blocks before it in its channel. That a channel ends before the
+    others is no gap.
+    """
+    channel = Window.partitionBy(*RUN_SERIES, "channel_pos").orderBy("start_sample", "n")
+    reached = F.coalesce(F.max(F.col("start_sample") + F.col("n")).over(channel.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = manifest.where("n > 0").withColumn("reached", reached).where("start_sample != reached")
+    bad = F.least("start_sample", "reached")
+    problem = F.when(F.col("start_sample") > F.col("reached"), "missing").otherwise("repeated")
+    first = F.min(F.struct(bad.alias("at"), problem.alias("problem")))
+    return placed.groupBy(*RUN_SERIES, "channel_pos").agg(first.alias("first")).select(
+        *RUN_SERIES, "channel_pos", F.col("first.at").alias("first_bad_sample"), "first.problem"
+    )
 
 
 def measure_recordings(signals: DataFrame) -> DataFrame:
@@ -143,8 +191,8 @@ def channel_arrays(signals: DataFrame, names: DataFrame, ch_type: str = "seeg")
 
     The blocks stay separate rows: a whole recording of one channel has no size bound.
     """
-    labels = names.select("run_id", "channel_pos", F.col("location").alias("channel_name"))
-    named = join_metadata(signals, labels, ["run_id", "channel_pos"])
+    on = [*series_key(signals, names), "channel_pos"]
+    named = join_metadata(signals, names.select(*on, F.col("location").alias("channel_name")), on)
     return named.select(
         *RUN_SERIES, "channel_pos", "channel_name", F.lit(ch_type).alias("ch_type"), "block_idx", "start_sample", "samples"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leadwave import schema as S
+from leadwave.operators.blocks import block_gaps
 
 
 def series_summary(recordings: DataFrame) -> DataFrame:
@@ -85,9 +86,11 @@ def processing_params(
 
 
 def validate_runs(
-    recordings: DataFrame, electrodes: DataFrame, channel_map: DataFrame, pairs: DataFrame, layout: DataFrame, signals: DataFrame | None = None
+    recordings: DataFrame, electrodes: DataFrame, channel_map: DataFrame, pairs: DataFrame, layout: DataFrame, signals: DataFrame | None = None,
+    manifest: DataFrame | None = None,
 ) -> DataFrame:
     """Status of each run before the signal is touched; works on metadata only, and on the names of runs and series in `signals`.
+    With `manifest` (see block_manifest) a run whose stored blocks leave samples out, or hold them twice, is failed with its first bad sample.
 
     The keys that must be unique within a run are counted together, in one grouping.
     """
@@ -112,6 +115,13 @@ def validate_runs(
         checked = checked.join(series, "run_id", "full")
     else:
         checked = checked.withColumn("series", F.lit(1))
+    if manifest is None:
+        checked = checked.withColumn("bad", F.lit(None).cast("string"))
+    else:
+        told = F.struct("first_bad_sample", "channel_pos", "series_name", "problem")
+        worst = block_gaps(manifest).groupBy("run_id").agg(F.min(told).alias("w"))
+        text = F.format_string("samples %s from %d on in channel %d", "w.problem", "w.first_bad_sample", "w.channel_pos")
+        checked = checked.join(worst.select("run_id", text.alias("bad")), "run_id", "left")
     reason = (
         F.when(F.col("listed").isNull(), "no recordings row")
         .when(F.col("listed") > 1, "recording listed twice")
@@ -121,6 +131,7 @@ def validate_runs(
         .when(F.col("n_samples").isNull(), "unknown length")
         .when(F.col("noverlap") >= F.col("nperseg"), "overlap not below segment length")
         .when(F.col("n_samples") <= F.col("noverlap"), "recording too short")
+        .when(F.col("bad").isNotNull(), F.col("bad"))
     )
     return checked.select(
         "run_id", F.when(reason.isNull(), "succeeded").otherwise("failed").alias("status"), reason.alias("reason")

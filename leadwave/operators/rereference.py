@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leadwave.operators.blocks import assemble, cut_pieces
+from leadwave.operators.blocks import RUN_SERIES, assemble, cut_pieces, series_key
 from leadwave.session import is_small, join_metadata, join_spread, materialise
 
 # Contacts of a shaft that are put together in one group of rows; it bounds the group, not the pairs.
@@ -39,7 +39,7 @@ def montage(pairs: DataFrame, channel_map: DataFrame) -> DataFrame:
     roles = members.select("run_id", "shaft", "bucket", "m.*").groupBy(
         "run_id", "shaft", "bucket", "electrode_id", "contact_num"
     ).agg(*[F.max(c).alias(c) for c in none])
-    return roles.join(channel_map, ["run_id", "electrode_id"])
+    return roles.join(channel_map, [*series_key(roles, channel_map), "electrode_id"])
 
 
 def _place(signals: DataFrame, members: DataFrame, layout: DataFrame | None, keys: list[str], aligned: bool) -> DataFrame:
@@ -52,20 +52,22 @@ def _place(signals: DataFrame, members: DataFrame, layout: DataFrame | None, key
     """
     small = is_small(members)
     if layout is None or aligned:
-        on = ["run_id", "channel_pos"]
+        on = [*series_key(signals, members), "channel_pos"]
         return signals.join(F.broadcast(members), on) if small else join_spread(signals, members, on)
     if small:
-        pieces = cut_pieces(signals.join(F.broadcast(members), ["run_id", "channel_pos"]), keys, F.col("block_len"), F.col("halo"))
-        return assemble(pieces.repartition(*GROUP, "block_idx"), keys)
-    sized = materialise(layout.select("run_id", "block_len", "halo"))
+        met = signals.join(F.broadcast(members), [*series_key(signals, members), "channel_pos"])
+        pieces = cut_pieces(met, [*keys, "block_len"], F.col("block_len"), F.col("halo"))
+        return assemble(pieces.repartition(*GROUP, "block_idx"), keys, "block_len")
+    on = series_key(signals, layout)
+    sized = materialise(layout.select(*on, "block_len", "halo"))
     columns = ["run_id", "series_name", "channel_pos"]
-    pieces = cut_pieces(join_metadata(signals, sized, ["run_id"]), columns, F.col("block_len"), F.col("halo"))
+    pieces = cut_pieces(join_metadata(signals, sized, on), columns, F.col("block_len"), F.col("halo"))
     last = F.call_function("div", F.col("n_samples") - 1, F.col("block_len"))
     spread = members.withColumn("block_idx", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
     met = pieces.repartition("run_id", "block_idx").join(
-        spread.repartition("run_id", "block_idx"), ["run_id", "channel_pos", "block_idx"]
+        spread.repartition("run_id", "block_idx"), [*series_key(pieces, spread), "channel_pos", "block_idx"]
     )
-    return assemble(met, keys)
+    return assemble(met, keys, "block_len")
 
 
 def pair_blocks(
@@ -73,15 +75,15 @@ def pair_blocks(
 ) -> DataFrame:
     """Blocks of both contacts of each pair, side by side as samples (anode) and cathode_samples.
 
-    The signal is shuffled once, to groups of contacts of one shaft and block. Both arrays end where the
-    shorter one ends. `layout` (run_id, n_samples, block_len, halo, plus columns to carry) cuts the blocks
+    The signal is shuffled once, to groups of contacts of one shaft and block. Both arrays are cut to the samples that both contacts
+    have, by their places in time. `layout` (run_id, n_samples, block_len, halo, plus columns to carry) cuts the blocks
     anew in that same shuffle, or with `aligned` only checks that they are cut that way already.
     """
     members = montage(pairs, channel_map)
     carried: list[str] = []
     if layout is not None:
-        members = members.join(layout, "run_id")
-        carried = [c for c in layout.columns if c not in ("run_id", "n_samples", "block_len", "halo")]
+        members = members.join(layout, series_key(members, layout))
+        carried = [c for c in layout.columns if c not in (*RUN_SERIES, "n_samples", "block_len", "halo")]
     member = ["electrode_id", "contact_num", "pair_idx", "location", "cathode_id", *carried]
     placed = _place(signals, materialise(members), layout, GROUP + member, aligned)
     if layout is not None and aligned:
@@ -96,15 +98,19 @@ def pair_blocks(
         *GROUP, *member, "block_idx", "start_sample", "samples",
         F.lead("electrode_id").over(together).alias("next_id"),
         F.lead("samples").over(together).alias("next_samples"),
+        F.lead("start_sample").over(together).alias("next_start"),
     ).where(F.col("pair_idx").isNotNull() & (F.col("next_id") == F.col("cathode_id")))
-    shared = F.least(F.size("samples"), F.size("next_samples"))
+    first = F.greatest("start_sample", "next_start")
+    end = F.least(F.col("start_sample") + F.size("samples"), F.col("next_start") + F.size("next_samples"))
+    shared = (end - first).cast("int")
 
-    def head(array):
-        return F.when(F.size(array) == shared, F.col(array)).otherwise(F.slice(array, 1, shared))
+    def both(array, start):
+        whole = (F.col(start) == first) & (F.size(array) == shared)
+        return F.when(whole, F.col(array)).otherwise(F.slice(array, (first - F.col(start) + 1).cast("int"), shared))
 
-    return following.select(
-        "run_id", "series_name", "pair_idx", "location", *carried, "block_idx", "start_sample",
-        head("samples").alias("samples"), head("next_samples").alias("cathode_samples"),
+    return following.where(shared > 0).select(
+        "run_id", "series_name", "pair_idx", "location", *carried, "block_idx", first.alias("start_sample"),
+        both("samples", "start_sample").alias("samples"), both("next_samples", "next_start").alias("cathode_samples"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadwave.functions.timeaxis import whole_samples
-from leadwave.operators.blocks import slice_samples
+from leadwave.operators.blocks import series_key, slice_samples
 from leadwave.session import join_metadata
 
 # Pairs looked at when a recording is checked by eye.
@@ -25,12 +25,14 @@ def segment_bounds(recordings: DataFrame, duration_min: float = 5.0, segment: st
     if segment not in starts:
         raise ValueError("segment must be 'start', 'middle' or 'end'")
     first = starts[segment]
-    return recordings.select("run_id", first.alias("seg_start"), (first + length).alias("seg_end"))
+    return recordings.select(*series_key(recordings), first.alias("seg_start"), (first + length).alias("seg_end"))
 
 
 def segment_select(blocks: DataFrame, recordings: DataFrame, duration_min: float = 5.0, segment: str = "middle") -> DataFrame:
-    bounds = segment_bounds(recordings, duration_min, segment)
-    return slice_samples(join_metadata(blocks, bounds, ["run_id"]), F.col("seg_start"), F.col("seg_end")).drop("seg_start", "seg_end")
+    """The blocks of the chosen minutes, cut at their edges; each series has bounds of its own."""
+    on = series_key(blocks, recordings)
+    bounds = segment_bounds(recordings, duration_min, segment).select(*on, "seg_start", "seg_end")
+    return slice_samples(join_metadata(blocks, bounds, on), F.col("seg_start"), F.col("seg_end")).drop("seg_start", "seg_end")
 
 
 def first_n_channels(blocks: DataFrame, n: int, channel: str = "channel_pos") -> DataFrame:

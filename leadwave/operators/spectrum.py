@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from leadwave.functions.spectral import spectral_udf
 from leadwave.functions.timeaxis import bin_center, hop_center, whole_samples
-from leadwave.operators.blocks import recut
+from leadwave.operators.blocks import RUN_SERIES, recut, series_key
 from leadwave.schema import BANDS
 from leadwave.session import broadcast_if_small, join_metadata
 
@@ -46,7 +46,7 @@ def hop_layout(
 
 def _layout(recordings: DataFrame, nperseg: Column, noverlap: Column, block_len: Column, halo: Column | None = None):
     return recordings.select(
-        "run_id",
+        *series_key(recordings),
         "n_samples",
         "sfreq",
         nperseg.alias("nperseg"),
@@ -65,16 +65,18 @@ def checked(layout: DataFrame) -> DataFrame:
 
 def relayout(blocks: DataFrame, layout: DataFrame) -> DataFrame:
     """Cut pair blocks to the layout of their run."""
-    carried = [c for c in layout.columns if c not in ("run_id", "n_samples", "block_len", "halo")]
-    joined = join_metadata(blocks, checked(layout), ["run_id"])
+    carried = [c for c in layout.columns if c not in (*RUN_SERIES, "n_samples", "block_len", "halo")]
+    on = series_key(blocks, layout)
+    joined = join_metadata(blocks, checked(layout).select(*on, *carried, "block_len", "halo"), on)
     return recut(joined, SIGNAL_KEYS + carried, F.col("block_len"), F.col("halo"))
 
 
 def time_bins(blocks: DataFrame, recordings: DataFrame, bin_sec: float = 60.0) -> DataFrame:
     """Tumbling bins; the last one of a recording may be partial and is kept."""
     keys = [c for c in blocks.columns if c not in ("block_idx", "start_sample", "samples")]
-    sized = recordings.select("run_id", "sfreq", whole_samples(bin_sec, F.col("sfreq")).alias("block_len"))
-    joined = join_metadata(blocks, sized, ["run_id"])
+    on = series_key(blocks, recordings)
+    sized = recordings.select(*on, "sfreq", whole_samples(bin_sec, F.col("sfreq")).alias("block_len"))
+    joined = join_metadata(blocks, sized, on)
     return recut(joined, keys + ["sfreq"], F.col("block_len")).withColumnRenamed("block_idx", "bin_idx")
 
 

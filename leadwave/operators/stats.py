@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leadwave.functions.timeaxis import whole_samples
-from leadwave.operators.blocks import sample_rows, sample_values
+from leadwave.operators.blocks import cut_pieces, series_key
 from leadwave.session import join_metadata, join_spread
 
 NAN = float("nan")
@@ -17,33 +19,60 @@ def _min(value: Column) -> Column:
     return F.when(F.bool_or(F.isnan(value)), F.lit(NAN)).otherwise(F.min(value))
 
 
+def block_moments(blocks: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
+    """One row per block: number of samples, their mean, sum of squared distances from it, least and greatest value.
+
+    They are taken inside the array, so no row stands for a sample; NULL samples are counted only. NaN samples make all but the
+    number NaN.
+    """
+    held = F.array_compact(F.col("samples").cast("array<double>"))
+    if scale != 1.0:
+        held = F.transform(held, lambda x: x * F.lit(scale))
+    rows = blocks.where(F.size("samples") > 0).select(*keys, F.size("samples").cast("bigint").alias("n"), held.alias("held"))
+    rows = rows.withColumn("known", F.size("held").cast("bigint"))
+    rows = rows.withColumn("mean", F.when(F.col("known") > 0, F.aggregate("held", F.lit(0.0), lambda s, x: s + x) / F.col("known")))
+    far = F.aggregate("held", F.lit(0.0), lambda s, x: s + (x - F.col("mean")) * (x - F.col("mean")))
+    high = F.array_max("held")
+    low = F.when(F.isnan(high), F.lit(NAN)).otherwise(F.array_min("held"))
+    return rows.select(*keys, "n", "known", "mean", F.when(F.col("known") > 0, far).alias("m2"), low.alias("low"), high.alias("high"))
+
+
+def merge_moments(moments: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, n, mean, var, low, high) of all rows of a key: squares within the rows and, once the mean of all is known, between them.
+
+    Only rows of moments are shuffled, once: the mean of a key is a window over the partition its sums are taken in.
+    """
+    key = Window.partitionBy(*keys)
+    centre = F.sum(F.col("known") * F.col("mean")).over(key) / F.sum("known").over(key)
+    apart = F.col("m2") + F.col("known") * (F.col("mean") - F.col("_centre")) ** 2
+    return moments.withColumn("_centre", centre).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.max("_centre").alias("mean"), (F.sum(apart) / F.sum("known")).alias("var"),
+        _min(F.col("low")).alias("low"), F.max("high").alias("high"),
+    )
+
+
 def signal_stats(blocks: DataFrame, keys: list[str], scale: float = 1.0) -> DataFrame:
     """min, max, mean, population std and peak-to-peak of the samples per key; scale 1e6 gives microvolt."""
-    v = F.col("value")
-    values = sample_values(blocks.select(*keys, "samples")).withColumn("value", v * F.lit(scale))
-    stats = values.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), _min(v).alias("min"), F.max(v).alias("max"),
-        F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"),
+    stats = merge_moments(block_moments(blocks, keys, scale), keys)
+    return stats.select(
+        *keys, "n", F.col("low").alias("min"), F.col("high").alias("max"), "mean", F.sqrt("var").alias("std"),
+        (F.col("high") - F.col("low")).alias("range"),
     )
-    return stats.withColumn("range", F.col("max") - F.col("min"))
 
 
 def channel_std(blocks: DataFrame, keys: list[str], scale: float = 1e6) -> DataFrame:
-    values = sample_values(blocks.select(*keys, "samples"))
-    return values.groupBy(*keys).agg(F.stddev_pop(F.col("value") * F.lit(scale)).alias("std"))
+    return merge_moments(block_moments(blocks, keys, scale), keys).select(*keys, F.sqrt("var").alias("std"))
 
 
 def channel_moments(blocks: DataFrame, channel: str) -> DataFrame:
-    """One row per channel: count, mean, variance, lowest and highest sample."""
-    v = F.col("value")
-    return sample_values(blocks.select("run_id", channel, "samples")).groupBy("run_id", channel).agg(
-        F.count(F.lit(1)).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"), _min(v).alias("low"), F.max(v).alias("high")
-    )
+    """One row per channel of a series: count, mean, variance, lowest and highest sample."""
+    keys = [*series_key(blocks), channel]
+    return merge_moments(block_moments(blocks, keys), keys)
 
 
 def pool_moments(moments: DataFrame, channel: str) -> DataFrame:
-    """Add the std over all samples of the run and the channel's rank from 0, without another scan."""
-    run = Window.partitionBy("run_id")
+    """Add the std over all samples of the series and the channel's rank from 0, without another scan."""
+    run = Window.partitionBy(*series_key(moments))
     total = F.sum("n").over(run)
     centred = moments.withColumn("_mean", F.sum(F.col("n") * F.col("mean")).over(run) / total)
     spread = F.sum(F.col("n") * (F.col("var") + (F.col("mean") - F.col("_mean")) ** 2)).over(run)
@@ -58,26 +87,27 @@ def trace_layout(blocks: DataFrame, channel: str = "channel_pos", gap: float = 4
     """
     offset = F.col("rank") * F.col("std") * F.lit(gap)
     return pool_moments(channel_moments(blocks, channel), channel).select(
-        "run_id", channel, "rank", offset.alias("offset"),
+        *series_key(blocks), channel, "rank", offset.alias("offset"),
         (F.col("low") + offset).alias("trace_low"), (F.col("high") + offset).alias("trace_high"),
         "low", "high", "std",
     )
 
 
 def raw_vs_bipolar_ratio(raw: DataFrame, bipolar: DataFrame) -> DataFrame:
-    """Per run: std and range ratio, the larger range and common limits of the stacked traces."""
+    """Per series: std and range ratio, the larger range and common limits of the stacked traces."""
+    on = series_key(raw, bipolar)
     sides = []
     for name, blocks, channel in (("raw", raw, "channel_pos"), ("bipolar", bipolar, "pair_idx")):
         sides.append(
-            trace_layout(blocks, channel).groupBy("run_id").agg(
+            trace_layout(blocks, channel).groupBy(*on).agg(
                 F.max("std").alias(f"{name}_std"),
                 (F.max("high") - _min(F.col("low"))).alias(f"{name}_range"),
                 _min(F.col("trace_low")).alias(f"{name}_low"),
                 F.max("trace_high").alias(f"{name}_high"),
             )
         )
-    return sides[0].join(sides[1], "run_id").select(
-        "run_id",
+    return sides[0].join(sides[1], on).select(
+        *on,
         (F.col("bipolar_std") / F.col("raw_std")).alias("std_ratio"),
         (F.col("bipolar_range") / F.col("raw_range")).alias("range_ratio"),
         F.greatest("raw_range", "bipolar_range").alias("max_range"),
@@ -87,20 +117,29 @@ def raw_vs_bipolar_ratio(raw: DataFrame, bipolar: DataFrame) -> DataFrame:
 
 
 def _window_moments(blocks: DataFrame, recordings: DataFrame, seconds: float, keys: list[str]) -> DataFrame:
-    """std of every full window of a number of seconds; the remainder of a channel is left out."""
-    sized = recordings.select("run_id", "sfreq", whole_samples(seconds, F.col("sfreq")).alias("window_len"))
-    joined = join_metadata(blocks.select(*keys, "block_idx", "start_sample", "samples"), sized, ["run_id"])
-    rows = sample_rows(joined)
-    window = F.call_function("div", F.col("sample_idx"), F.col("window_len")).alias("window_idx")
-    return rows.groupBy(*keys, "sfreq", "window_len", window).agg(
-        F.count(F.lit(1)).alias("n"), F.stddev_pop("value").alias("std")
-    ).where(F.col("n") == F.col("window_len")).drop("n")
-
-
-def window_std(blocks: DataFrame, recordings: DataFrame, window_sec: float = 60.0, keys=("run_id", "pair_idx", "location")) -> DataFrame:
-    """std in full windows with the window centre in minutes."""
+    """std of every full window of a number of seconds of a series; the remainder of a channel is left out.
+
+    Blocks are cut at the windows' edges where they lie, and only the moments of the pieces are shuffled.
+    """
+    on = series_key(blocks, recordings)
+    keys = [*keys, *(c for c in on if c not in keys)]
+    sized = recordings.select(*on, "sfreq", whole_samples(seconds, F.col("sfreq")).alias("window_len"))
+    joined = join_metadata(blocks.select(*keys, "block_idx", "start_sample", "samples"), sized, on)
+    pieces = cut_pieces(joined, [*keys, "sfreq", "window_len"], F.col("window_len")).withColumnRenamed("block_idx", "window_idx")
+    window = [*keys, "sfreq", "window_len", "window_idx"]
+    full = merge_moments(block_moments(pieces, window), window).where(F.col("n") == F.col("window_len"))
+    return full.select(*window, F.sqrt("var").alias("std"))
+
+
+def _pair_keys(blocks: DataFrame) -> list[str]:
+    return [*series_key(blocks), "pair_idx", "location"]
+
+
+def window_std(blocks: DataFrame, recordings: DataFrame, window_sec: float = 60.0, keys: Sequence[str] | None = None) -> DataFrame:
+    """std in full windows with the window centre in minutes, for each pair of each series unless `keys` say otherwise."""
+    keys = list(keys or _pair_keys(blocks))
     centre = (F.col("window_idx") + F.lit(0.5)) * F.col("window_len") / F.col("sfreq") / 60
-    return _window_moments(blocks, recordings, window_sec, list(keys)).select(
+    return _window_moments(blocks, recordings, window_sec, keys).select(
         *keys, "window_idx", centre.alias("time_min"), "std"
     )
 
@@ -130,12 +169,13 @@ def exact_median(values: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def dropout_detect(
-    blocks: DataFrame, recordings: DataFrame, window_sec: float = 60.0, ratio: float = 0.1, keys=("run_id", "pair_idx", "location")
+    blocks: DataFrame, recordings: DataFrame, window_sec: float = 60.0, ratio: float = 0.1, keys: Sequence[str] | None = None
 ) -> DataFrame:
     """Windows whose std is below ratio times the median window std of their channel.
 
     A channel with a NaN window has no median to compare with, so none of its windows is listed.
     """
+    keys = list(keys or _pair_keys(blocks))
     stds = window_std(blocks, recordings, window_sec, keys)
     medians = exact_median(stds, list(keys), "std")
     half = F.lit(window_sec / 120.0)
@@ -146,19 +186,20 @@ def dropout_detect(
     )
 
 
-def dropout_counts(dropouts: DataFrame, keys=("run_id", "pair_idx", "location")) -> DataFrame:
-    return dropouts.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_dropouts"))
+def dropout_counts(dropouts: DataFrame, keys: Sequence[str] | None = None) -> DataFrame:
+    return dropouts.groupBy(*(keys or _pair_keys(dropouts))).agg(F.count(F.lit(1)).alias("n_dropouts"))
 
 
 def segment_flatness(blocks: DataFrame, recordings: DataFrame, segment_sec: float = 600.0, tol: float = 1e-10) -> DataFrame:
     """Per full segment: mean over channels of the std, and the number of flat channels."""
-    stds = _window_moments(blocks, recordings, segment_sec, ["run_id", "pair_idx"])
-    return stds.groupBy("run_id", "sfreq", "window_len", F.col("window_idx").alias("segment_idx")).agg(
+    keys = series_key(blocks)
+    stds = _window_moments(blocks, recordings, segment_sec, [*keys, "pair_idx"])
+    return stds.groupBy(*keys, "sfreq", "window_len", F.col("window_idx").alias("segment_idx")).agg(
         F.avg("std").alias("mean_std"),
         F.count_if(F.col("std") < F.lit(tol)).alias("zero_channels"),
         F.count(F.lit(1)).alias("n_channels"),
     ).select(
-        "run_id", "segment_idx",
+        *keys, "segment_idx",
         (F.col("segment_idx") * F.col("window_len") / F.col("sfreq") / 60).alias("start_min"),
         ((F.col("segment_idx") + 1) * F.col("window_len") / F.col("sfreq") / 60).alias("end_min"),
         "mean_std", "zero_channels", "n_channels",

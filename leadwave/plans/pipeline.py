@@ -71,23 +71,28 @@ def usable_electrodes(electrodes: DataFrame, exclude: str | None) -> DataFrame:
 
 def process(
     signals: DataFrame, recordings: DataFrame, electrodes: DataFrame, channel_map: DataFrame,
-    preset: str = "chunked", bands: dict = S.BANDS, series_name: str | None = None, **overrides,
+    preset: str = "chunked", bands: dict = S.BANDS, series_name: str | None = None, manifest: DataFrame | None = None, **overrides,
 ) -> dict[str, DataFrame | dict]:
     """Plan the processing of all runs. Metadata is computed once and measured; the signal is not touched but for its run names.
 
     Runs that fail a check of their metadata, or have signal but no recordings row, are listed in `status` and left out of
-    the others. `series_name` takes one series of each run; without it a run with more than one is listed as failed.
+    the others. `series_name` takes one series of each run; without it a run with more than one is listed as failed. With `manifest`,
+    the table of stored blocks, runs whose samples have gaps or repeats are failed too, without reading the signal; without it absent
+    samples are NaN where they belong, and so is the power of windows that need them.
     Keys: band_power, electrodes, bands, sessions, layout, status, and the settings that `store` records.
     """
     if series_name is not None:
         signals = signals.where(F.col("series_name") == series_name)
         if "series_name" in recordings.columns:
             recordings = recordings.where(F.col("series_name") == series_name)
+        # Electrodes and channels may be given for each series; tables without the column hold for all.
+        electrodes, channel_map = (t.where(F.col("series_name") == series_name).drop("series_name") if "series_name" in t.columns else t for t in (electrodes, channel_map))
+        manifest = manifest.where(F.col("series_name") == series_name) if manifest is not None else None
     recordings = materialise(recordings)
     chosen = settings(preset, **overrides)
     pairs = bipolar_pairs(usable_electrodes(electrodes, chosen["exclude"]))
     layout = spectral_layout(recordings, chosen)
-    status = materialise(validate_runs(recordings, electrodes, channel_map, pairs, layout, signals))
+    status = materialise(validate_runs(recordings, electrodes, channel_map, pairs, layout, signals, manifest))
     sound = status.where(F.col("status") == "succeeded").select("run_id")
     layout = layout.join(sound, "run_id", "left_semi")
     power = bipolar_bandpower(
