@@ -902,3 +902,10 @@ def time_bins_with_gaps(s, d):
     bins = W.time_bins(X.broken_signals(s, d), X.recordings(s, d), 0.25)
     total = F.aggregate("samples", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
     return bins.select("run_id", "channel_pos", "bin_idx", "start_sample", F.size("samples").alias("n_samples"), R(total).alias("total"))
+
+
+@query("bipolar_welch_bin", O.sql(O.ROUNDED_POWER + " WHERE bin_idx = 2", *O.welch_power("all", 64, 0.5, 0.25, 200.0)))
+def bipolar_welch_bin(s, d):
+    pairs = P.bipolar_pairs(X.electrodes(s, d))
+    power = BP.bipolar_welch_bin(X.signals(s, d), X.channel_map(s, d), pairs, X.recordings(s, d), 2, nperseg=64, overlap=0.5, bin_sec=0.25)
+    return rounded_power(power)

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leadwave.operators.blocks import series_key, slice_samples
 from leadwave.operators.rereference import pair_blocks
 from leadwave.operators.spectrum import bandpower_bins, bandpower_windows, hop_layout, relayout, welch_layout
 from leadwave.schema import BANDS
-from leadwave.session import join_metadata
+from leadwave.session import join_metadata, materialise
 
 
 def bandpower_welch(
@@ -34,6 +35,28 @@ def bandpower_welch_bin(
     return bandpower_bins(laid, bands, max_freq, detrend, partial)
 
 
+def bipolar_welch_bin(
+    signals: DataFrame, channel_map: DataFrame, pairs: DataFrame, recordings: DataFrame, bin_idx: int, bands: dict = BANDS,
+    nperseg: int | None = None, overlap: float = 0.5, bin_sec: float = 10.0, max_freq: float | None = 200.0,
+    detrend: str | None = "constant", partial: str = "shrink", block_len: int | None = None,
+) -> DataFrame:
+    """Band power of one time bin straight from raw channels: they are cut to the bin's samples before any of them is moved or subtracted.
+
+    `block_len`, the length of the stored blocks, gives the scan a range of blocks too: from the least to the greatest sample of
+    that bin over all recordings (two numbers, from the layout alone).
+    """
+    layout = materialise(welch_layout(recordings, nperseg, overlap, bin_sec))
+    on = series_key(signals, layout)
+    low, high = F.col("block_len") * bin_idx, F.col("block_len") * (bin_idx + 1)
+    if block_len is not None:
+        least, most = layout.agg(F.min(low), F.max(high)).first()
+        if least is not None:
+            signals = signals.where(F.col("block_idx").between(least // block_len, (most - 1) // block_len))
+    bounded = join_metadata(signals, layout.select(*on, low.alias("_lo"), high.alias("_hi")), on)
+    inside = slice_samples(bounded, F.col("_lo"), F.col("_hi")).drop("_lo", "_hi")
+    return bipolar_bandpower(inside, channel_map, pairs, layout, "welch", bands, max_freq, detrend, partial)
+
+
 def bandpower_stft(
     blocks: DataFrame, recordings: DataFrame, bands: dict = BANDS, nperseg: int = 500, overlap: float = 0.5,
     window_sec: float | None = None, overlap_sec: float | None = None, detrend: str | None = "constant",

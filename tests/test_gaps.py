@@ -9,6 +9,7 @@ from leadwave.operators import blocks as B
 from leadwave.operators import stats as Q
 from leadwave.operators.pairs import bipolar_pairs
 from leadwave.operators.rereference import bipolar_subtract
+from leadwave.plans.bandpower import bipolar_welch_bin
 from leadwave.plans.pipeline import process
 from leadwave.schema import SERIES_NAME
 
@@ -104,3 +105,15 @@ def test_moments_of_undefined_samples(spark):
     got = {r.channel_pos: r for r in Q.signal_stats(spark.createDataFrame(rows, SIGNAL_TYPE), ["channel_pos"]).collect()}
     assert (got[0].n, got[0].mean, got[0].min, got[0].max) == (4, 3.0, 1.0, 5.0) and got[0].std == pytest.approx(np.std([1, 3, 5]))
     assert all(np.isnan(got[1][c]) for c in ("mean", "min", "max", "std")) and got[2].n == 1 and got[2].mean is None
+
+
+def test_one_bin_reads_its_blocks_only(spark, tmp_path):
+    signals, recs, elec, channels = stored(spark)
+    signals.write.parquet(str(tmp_path / "signals"))
+    kept = spark.read.schema(signals.schema).parquet(str(tmp_path / "signals"))
+    one = bipolar_welch_bin(kept, channels, bipolar_pairs(elec), recs, 2, block_len=50, **SETTINGS)
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(block_idx,4)" in plan and "LessThanOrEqual(block_idx,5)" in plan
+    whole = process(signals, recs, elec, channels, "chunked", **SETTINGS)["band_power"].where("bin_idx = 2")
+    got, want = ({(r.pair_idx, r.bin_idx, r.band, r.time_sec): r.power for r in x.collect()} for x in (one, whole))
+    assert len(want) == 12 and got == pytest.approx(want, nan_ok=True)
