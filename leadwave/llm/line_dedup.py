@@ -15,14 +15,24 @@ CONSTANT = 0.6
 FIELD = "<*>"
 
 
+def _tokens(line: Column) -> Column:
+    """Words of a line, which has no line feed: other white space becomes a space, and empty parts go."""
+    spaced = F.when(line.rlike(r"[\t\x0B\f\r]"), F.translate(line, "\t\x0b\f\r", "    ")).otherwise(line)
+    return F.array_remove(F.split(spaced, " "), "")
+
+
+def _masked(tokens: Column) -> Column:
+    return F.transform(tokens, lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
+
+
 def _lines(docs: DataFrame, depth: int) -> DataFrame:
     """(row, line_no, leaf, tokens, own) of all lines with words. Tokens with a digit are fields from the start; `own` is a hash
-    of the tokens as they stand in the line."""
-    split = docs.select("row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    raw = split.select("row", "line_no", F.regexp_extract_all("line", F.lit(f"({WORD})"), F.lit(0)).alias("raw")).where(F.size("raw") > 0)
-    tokens = F.transform("raw", lambda t: F.when(t.rlike("[0-9]"), F.lit(FIELD)).otherwise(t))
-    found = raw.select("row", "line_no", tokens.alias("tokens"), F.xxhash64("raw").alias("own"))
-    return found.withColumn("leaf", F.xxhash64(F.size("tokens"), F.slice("tokens", 1, depth)))
+    of the tokens as they stand in the line. The leaf takes the leading tokens alone, so who asks for leaves only masks no others."""
+    split = docs.select("row", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).where(F.col("line").rlike(WORD))
+    raw = split.select("row", "line_no", F.col("line").rlike("[0-9]").alias("digits"), _tokens(F.col("line")).alias("raw"))
+    tokens = F.when(F.col("digits"), _masked(F.col("raw"))).otherwise(F.col("raw"))
+    leaf = F.xxhash64(F.size("raw"), _masked(F.slice("raw", 1, depth)))
+    return raw.select("row", "line_no", leaf.alias("leaf"), tokens.alias("tokens"), F.xxhash64("raw").alias("own"))
 
 
 def _in_many(rows: DataFrame, keys: list[str], min_docs: int) -> DataFrame:
