@@ -25,7 +25,8 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeat_digests(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = suffix_dedup.repeat_digests(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumn("repeats", F.col("n_removed") > 0)
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -167,7 +167,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, size: int = TRIGGER, g
     2. Phrases around these triggers form the dictionary, with the number of their occurrences. A phrase that occurs twice is repeated throughout.
        If no other phrase has its core, a phrase that occurs once has no repeated window.
     3. Only phrases that share a core with another one are looked into: once for each dictionary entry, the windows they hold are
-       put in order by their content, and neighbours that are equal are repeats.
+       grouped by a hash of their content, and groups of several are repeats.
 
     This is the parse and the dictionary of prefix-free parsing; of the corpus order only equality up to `length` bytes is needed, so
     classes of equal strings (64-bit hashes) stand for ranks, and nothing but counts of classes is brought together: a string
