@@ -21,6 +21,9 @@ LIKENESS = Fraction(4, 5)
 FINE, GROUPS = 128, 32
 # Shingles counted as frequent only change which of a set's shingles are looked at first; links do not depend on them.
 FREQUENT_MAX = 200_000
+# Bits of the table of shingles that may recur: 32 MB, whatever the size of the corpus. A fuller table only lets more through.
+CODE_BITS = 28
+_SLICE_BITS = 15  # bits of one of Spark's bitmaps
 _FLUSH = 4 << 20
 
 
@@ -93,6 +96,49 @@ def shingle_points(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKEN
     return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {id_type}, row bigint, n bigint, set_key bigint, counts array<int>, first array<bigint>")
 
 
+def _recurring(points: DataFrame) -> np.ndarray:
+    """Bit table of the leading shingles, by the low bits of their hashes, that more than one row has.
+
+    Only codes are shuffled to be counted; those found twice are laid into bitmaps by slices of the table.
+    """
+    code = F.col("shingle").bitwiseAND(F.lit((1 << CODE_BITS) - 1)).cast("int").alias("code")
+    counts = points.select(F.explode("first").alias("shingle")).select(code).groupBy("code").agg(F.count("*").alias("times"))
+    twice = counts.where("times > 1").select(F.bitmap_bucket_number(F.col("code") + 1).alias("slice"), F.bitmap_bit_position(F.col("code") + 1).alias("bit"))
+    table = np.zeros(1 << (CODE_BITS - 3), np.uint8)
+    for part in twice.repartition("slice").groupBy("slice").agg(F.bitmap_construct_agg("bit").alias("bits")).collect():
+        start = (part["slice"] - 1) << (_SLICE_BITS - 3)
+        table[start : start + len(part["bits"])] = np.frombuffer(part["bits"], np.uint8)
+    return table
+
+
+def _leading(points: DataFrame) -> DataFrame:
+    """(shingle, set_key, n, room) of the leading shingles that may recur. `room` is the number of a set's shingles from this one
+    on, in the global order: two sets share no more if it is the first that they share."""
+    table = points.sparkSession.sparkContext.broadcast(_recurring(points))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = table.value
+        for batch in batches:
+            shingles = batch["first"].flatten().to_numpy(zero_copy_only=False)
+            held = batch["first"].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.arange(len(shingles)) - np.repeat(np.cumsum(held) - held, held)
+            code = shingles & ((1 << CODE_BITS) - 1)
+            kept = np.flatnonzero((bits[code >> 3] >> (code & 7).astype(np.uint8)) & 1)
+            owner = np.repeat(np.arange(len(held)), held)[kept]
+            n = batch["n"].to_numpy(zero_copy_only=False)[owner]
+            columns = [shingles[kept], batch["set_key"].to_numpy(zero_copy_only=False)[owner], n.astype(np.int32), (n - place[kept]).astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["shingle", "set_key", "n", "room"])
+
+    return points.select("set_key", "n", "first").mapInArrow(run, "shingle bigint, set_key bigint, n int, room int")
+
+
+def _may_meet(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column], likeness: Fraction) -> Column:
+    """Whether a shared shingle can be the first that two alike sets share: (least size, most size, most room) of both sides."""
+    up, down = likeness.numerator, likeness.denominator
+    fits = (a[1] * down >= b[0] * up) & (b[1] * down >= a[0] * up)
+    return fits & (F.least(a[2], b[2]) * (up + down) >= (a[0] + b[0]) * up)
+
+
 def _may_link(a: str, b: str, likeness: Fraction) -> Column:
     """No set in box `a` can be like one in box `b` unless this holds: sizes fit, and the summed minima of the group counts,
     which no overlap exceeds, reach likeness / (1 + likeness) of both sizes. A box has the least and largest size and the
@@ -116,6 +162,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, liken
             yield pa.RecordBatch.from_arrays([batch["set_key"], pa.array(sets, pa.list_(pa.int64()))], ["set_key", "shingles"])
 
     sets = stash(texts.mapInArrow(run, "set_key bigint, shingles array<bigint>"), "sets")
+    if sets.count() > rows.count():  # rows equal in id and text: one stands for all
+        sets = stash(sets.dropDuplicates(["set_key"]), "sets")
     left = sets.select(F.col("set_key").alias("a"), F.col("shingles").alias("of_a"))
     right = sets.select(F.col("set_key").alias("b"), F.col("shingles").alias("of_b"))
     both = F.size(F.array_intersect("of_a", "of_b"))
@@ -124,6 +172,40 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, liken
     return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b").distinct()
 
 
+def _found_across(members: DataFrame, roots: DataFrame, box: DataFrame, likeness: Fraction) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that meet in a bucket, as far as their boxes, and they, may link."""
+    placed = members.join(roots, "set_key", "left").select("shingle", "set_key", F.coalesce("root", "set_key").alias("root"), "n", "room")
+    mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).where("low != high and held > 2").select("shingle")
+    placed = stash(placed.join(mixed, "shingle"), "placed")
+    leaves = placed.groupBy("shingle", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
+    tops = placed.select("root", "set_key").distinct().join(box, "set_key").groupBy("root")
+    largest = F.array(*(F.max(F.col("box.counts")[i]) for i in range(GROUPS)))
+    boxes = tops.agg(F.count("*").alias("nodes"), F.min("set_key").alias("one"), F.min("box.least").alias("least"), F.max("box.most").alias("most"), largest.alias("counts"))
+    boxes = stash(boxes.select("root", "nodes", "one", F.struct("least", "most", "counts").alias("box")), "boxes")
+
+    a, b = (leaves.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "least", "most", "room"))) for x in "ab")
+    sides = [tuple(F.col(f"{c}_{x}") for c in ("least", "most", "room")) for x in "ab"]
+    met = a.join(b, "shingle").where(F.col("root_a") < F.col("root_b")).where(_may_meet(*sides, likeness))
+    met = stash(met.select("root_a", "root_b").distinct(), "met")
+    of_a, of_b = (boxes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("root", "nodes", "one", "box"))) for x in "ab")
+    alone = (F.col("nodes_a") == 1) & (F.col("nodes_b") == 1)
+    opened = met.join(of_a, "root_a").join(of_b, "root_b").where(_may_link("box_a", "box_b", likeness))
+    opened = stash(opened.select("root_a", "root_b", alone.alias("alone"), F.col("one_a").alias("a"), F.col("one_b").alias("b")), "opened")
+
+    # Boxes of one node each are a pair of nodes already; of the others, those nodes that meet in a bucket are.
+    several = opened.where("not alone").select("root_a", "root_b")
+    ends = several.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
+    inside = placed.join(ends, "root", "left_semi")
+    a, b = (inside.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "set_key", "n", "room"))) for x in "ab")
+    sides = [tuple(F.col(f"{c}_{x}") for c in ("n", "n", "room")) for x in "ab"]
+    # Which leaves of a bucket are opened is told by (shingle, roots) before nodes meet, so that closed boxes never pair their nodes.
+    rooms = leaves.join(ends, "root", "left_semi").select("shingle", "root")
+    doors = rooms.withColumnRenamed("root", "root_a").join(rooms.withColumnRenamed("root", "root_b"), "shingle").where("root_a < root_b").join(several, ["root_a", "root_b"])
+    found = doors.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).where(_may_meet(*sides, likeness))
+    found = found.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b"))
+    return found.union(opened.where("alone").select("a", "b")).distinct()
+
+
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKENESS) -> DataFrame:
     """(doc_id, row, n_shingles, component_id, root) for each row of (doc_id, text).
 
@@ -131,8 +213,11 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = L
 
     1. every node of a bucket against the bucket's first node, point against point;
     2. components so far become boxes (sizes and largest group counts of their nodes). In each bucket that still holds two
-       components, boxes are joined on the summed coordinate minima; boxes that may link are opened, and their nodes joined
-       on the same bound.
+       components, their boxes meet, and are compared once by the summed coordinate minima, however many buckets they share;
+       boxes that may link are opened, and their nodes compared by the same bound.
+
+    Shingles that only one row leads with are left out by a bit table of fixed size before anything else is moved. Nodes meet in the
+    bucket of the first shingle they share: in others, what is left of both sets may be too little for a link (see _may_meet).
 
     What passes is verified on the whole sets. Only nodes of different components are compared in step 2, so a group of
     near copies costs a multiple of its size, not its square; all other pairs of a bucket are compared, without a limit.
@@ -152,9 +237,10 @@ def _components_of(docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
     nodes = stash(
         real.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("counts").alias("counts")), "nodes"
     )
-    leading = real.select("set_key", F.explode("first").alias("shingle"))
-    shared = stash(leading.groupBy("shingle").agg(F.min("set_key").alias("head"), F.max("set_key").alias("last")).where("head != last").select("shingle", "head"), "shared")
-    members = stash(leading.join(shared, "shingle").select("shingle", "head", "set_key").distinct(), "members")
+    leading = stash(_leading(real), "leading")
+    head = [F.min("set_key").alias("head"), F.max("set_key").alias("last"), F.min_by("n", "set_key").alias("head_n"), F.min_by("room", "set_key").alias("head_room")]
+    shared = stash(leading.groupBy("shingle").agg(*head).where("head != last").drop("last"), "shared")
+    members = stash(leading.distinct().join(shared, "shingle"), "members")
 
     point = nodes.select("set_key", F.struct(F.col("n").alias("least"), F.col("n").alias("most"), "counts").alias("box"))
     coarse = F.array(*(sum((F.col("counts")[g] for g in range(i, i + FINE // GROUPS)), F.lit(0)) for i in range(0, FINE, FINE // GROUPS)))
@@ -165,28 +251,12 @@ def _components_of(docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
         of_a, of_b = (point.select(F.col("set_key").alias(x), F.col("box").alias(f"box_{x}")) for x in "ab")
         return pairs.join(of_a, "a").join(of_b, "b").where(_may_link("box_a", "box_b", likeness)).select("a", "b")
 
-    stars = members.where("head != set_key").select(F.col("head").alias("a"), F.col("set_key").alias("b")).distinct()
+    n, room, head_n, head_room = (F.col(c) for c in ("n", "room", "head_n", "head_room"))
+    stars = members.where("head != set_key").where(_may_meet((n, n, room), (head_n, head_n, head_room), likeness))
+    stars = stars.select(F.col("head").alias("a"), F.col("set_key").alias("b")).distinct()
     links = stash(_verified(stash(close(stars), "stars"), nodes, docs, k, likeness), "links")
 
-    placed = members.join(components(links).withColumnRenamed("node", "set_key"), "set_key", "left").select("shingle", "set_key", F.coalesce("root", "set_key").alias("root"))
-    mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).where("low != high and held > 2").select("shingle")
-    placed = stash(placed.join(mixed, "shingle"), "placed")
-    tops = placed.select("root", "set_key").distinct().join(box, "set_key").groupBy("root")
-    largest = F.array(*(F.max(F.col("box.counts")[i]) for i in range(GROUPS)))
-    boxes = tops.agg(F.count("*").alias("nodes"), F.min("set_key").alias("one"), F.min("box.least").alias("least"), F.max("box.most").alias("most"), largest.alias("counts"))
-    boxes = boxes.select("root", "nodes", "one", F.struct("least", "most", "counts").alias("box"))
-    leaves = stash(placed.select("shingle", "root").distinct().join(boxes, "root"), "leaves")
-    a, b = (leaves.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "nodes", "one", "box"))) for x in "ab")
-    opened = a.join(b, "shingle").where(F.col("root_a") < F.col("root_b")).where(_may_link("box_a", "box_b", likeness))
-    # Two boxes of one node each are a pair already, met in many buckets; only larger boxes have nodes to look for in the bucket.
-    alone = (F.col("nodes_a") == 1) & (F.col("nodes_b") == 1)
-    kind = F.when(alone, F.lit(0)).otherwise(F.col("shingle"))
-    opened = opened.select(alone.alias("alone"), kind.alias("shingle"), "root_a", "root_b", F.col("one_a").alias("a"), F.col("one_b").alias("b")).distinct()
-    opened = stash(opened, "opened")
-    inner = placed.join(opened.where("not alone").select("shingle").distinct(), "shingle", "left_semi").join(box, "set_key")
-    a, b = (inner.select("shingle", F.col("root").alias(f"root_{x}"), F.col("set_key").alias(x), F.col("box").alias(f"box_{x}")) for x in "ab")
-    found = opened.where("not alone").drop("a", "b").join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).where(_may_link("box_a", "box_b", likeness))
-    found = found.select("a", "b").union(opened.where("alone").select("a", "b")).distinct()
+    found = _found_across(members, components(links).withColumnRenamed("node", "set_key"), box, likeness)
     more = _verified(stash(close(found), "found"), nodes, docs, k, likeness)
 
     roots = stash(components(links.union(more)), "roots")
