@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from fractions import Fraction
 from math import comb
@@ -21,8 +22,14 @@ LIKENESS = Fraction(4, 5)
 SKETCH = 48
 # Chance that a sketch shares less than what is asked for although the sets are alike.
 MISS = 1e-8
-# Longer inverted lists are parted by a further shared value where that saves pairs.
+# Lists in which a node meets more than this many of other components get more pivots, and are parted by size of set at the end.
 LIST = 64
+# Bits of a sketch's signature, which is what travels with the members of lists.
+BITS = 256
+
+
+_WORDS = [f"bits{i}" for i in range(BITS // 64)]
+_MEMBER = ["root", "set_key", "n", "held", "asked", "room", *_WORDS]
 
 
 def least_overlap(k: int, likeness: Fraction) -> int:
@@ -54,23 +61,33 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return (values ^ U(1 << 63)).view(np.int64)
 
 
+def _signature(values: np.ndarray) -> np.ndarray:
+    """One of BITS bits set for each value. Two sketches differ in at least as many values as their signatures do in bits."""
+    out = np.zeros(BITS, np.uint8)
+    out[mix64(values + U(5)) % U(BITS)] = 1
+    return np.packbits(out).view(np.int64)
+
+
 def sketches(docs: DataFrame, k: int = SHINGLE, size: int = SKETCH) -> DataFrame:
-    """(doc_id, row, n, set_key, kept): for each row of (doc_id, row, text) its set's size and digest, and its `size` smallest values
-    in rising order. A set no larger than that is its own sketch. A text without words has n = 0 and no digest."""
+    """(doc_id, row, n, set_key, kept, bits): for each row of (doc_id, row, text) its set's size and digest, its `size` smallest values
+    in rising order, and their signature (see _signature). A set no larger than that is its own sketch. A text without words has n = 0
+    and no digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, keys, kept = [], [], []
+            sizes, keys, kept, bits = [], [], [], []
             for values in _sets(texts_of(batch["text"]), k):
                 n = len(values)
                 sizes.append(n)
                 keys.append(int(mix64(mix64(values + U(7)).sum(dtype=U, keepdims=True) + U(n)).view(np.int64)[0]) if n else None)
                 kept.append(_signed(values[:size]))
-            arrays = [batch["doc_id"], batch["row"], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(kept, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n", "set_key", "kept"])
+                bits.append(_signature(values[:size]))
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (kept, bits)]
+            arrays = [batch["doc_id"], batch["row"], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n", "set_key", "kept", "bits"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {id_type}, row bigint, n bigint, set_key bigint, kept array<bigint>")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {id_type}, row bigint, n bigint, set_key bigint, kept array<bigint>, bits array<bigint>")
 
 
 def _may_link(a: str, b: str, size: int, likeness: Fraction) -> Column:
@@ -88,19 +105,34 @@ def _may_link(a: str, b: str, size: int, likeness: Fraction) -> Column:
 
 
 def inverted_lists(nodes: DataFrame, size: int, likeness: Fraction) -> DataFrame:
-    """(set_key, n, kept, shared, reach): the kept values that other nodes keep too, the rarest first, and how many of those to index.
+    """(list, set_key, n, held, asked, room, bits0, ...): the members of each list, one for each retained value that others retain too.
 
-    Two nodes that the union sketch can let pass share at least m values. In the one order of all values (those in fewest
-    sketches first, then by hash), the first value they share is then among the first |kept| - m + 1 of both, the i-th among the first
-    |kept| - m + i. Values kept once only come first and are left out, as nobody shares them.
+    Two nodes that the union sketch can let pass share at least `asked` values. In the one order of all values (those in fewest
+    sketches first, then by hash), the first value they share is then among the first |found| - asked + 1 of both, `found` being the
+    values that others retain too; `room` of them are left from that one on, so no more can be shared.
     """
     asked = F.least(F.lit(least_overlap(size, likeness)), F.ceil(F.col("n") * float(likeness) - 1e-9).cast("int"))
     values = nodes.where("n > 1").select("set_key", F.explode("kept").alias("value"))
     held = values.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
     shared = values.join(held, "value").groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("found"))
-    listed = nodes.select("set_key", "n", "kept").join(shared, "set_key")
-    reach = F.size("found") - asked + 1
-    return listed.select("set_key", "n", "kept", F.col("found.value").alias("shared"), reach.alias("reach")).where("reach > 0")
+    shared = shared.withColumn("found", F.col("found.value"))
+    listed = nodes.join(shared, "set_key").select("set_key", "n", F.size("kept").alias("held"), asked.alias("asked"), "found", "bits")
+    leading = F.slice("found", F.lit(1), F.greatest(F.size("found") - F.col("asked") + 1, F.lit(0)))
+    words = [F.col("bits")[i].alias(f"bits{i}") for i in range(BITS // 64)]
+    members = listed.select("set_key", "n", "held", "asked", F.size("found").alias("all"), *words, F.posexplode(leading).alias("at", "list"))
+    return members.withColumn("room", F.col("all") - F.col("at")).drop("all", "at")
+
+
+def _may_meet(a: str, b: str, likeness: Fraction) -> Column:
+    """What members (column names' endings) of one list tell of a link: sizes fit, and neither the values left from this one on nor the
+    signatures rule out as many shared values as both ask for. True of every pair that _may_link lets pass, in the list of the first
+    value the two share."""
+    up, down = likeness.numerator, likeness.denominator
+    of = lambda name: (F.col(name + a), F.col(name + b))
+    (n_a, n_b), asked = of("n"), F.greatest(*of("asked"))
+    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in map(of, _WORDS)), F.lit(0))
+    fits = (n_a * down >= n_b * up) & (n_b * down >= n_a * up)
+    return fits & (F.least(*of("room")) >= asked) & (sum(of("held"), F.lit(0)) - apart >= 2 * asked)
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
@@ -121,31 +153,43 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, liken
     return pairs.join(left, "a").join(right, "b").where(both * likeness.denominator >= union * likeness.numerator).select("a", "b")
 
 
-def _pairs_across(lists: DataFrame, sizes: DataFrame, size: int, likeness: Fraction) -> DataFrame:
-    """Pairs of nodes of different roots within lists, as far as their sketches may link.
+def _close(pairs: DataFrame, nodes: DataFrame, size: int, likeness: Fraction) -> DataFrame:
+    """The pairs (a, b) that their union sketches let pass, each once."""
+    of_a, of_b = (nodes.select(F.col("set_key").alias(x), F.struct("n", "kept").alias(f"of_{x}")) for x in "ab")
+    return pairs.distinct().join(of_a, "a").join(of_b, "b").where(_may_link("of_a", "of_b", size, likeness)).select("a", "b")
 
-    One of a pair is not of the root `top` of its list's first node, so a large group of near copies meets the others only.
-    """
-    inside = lists.select("list", "root", "set_key", F.struct("n", "kept").alias("sketch")).join(sizes.select("list", "top"), "list")
-    a, b = (inside.select("list", "top", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "set_key", "sketch"))) for x in "ab")
-    once = (F.col("root_b") == F.col("top")) | (F.col("set_key_a") < F.col("set_key_b"))
-    found = a.where("root_a != top").join(b.drop("top"), "list").where((F.col("root_a") != F.col("root_b")) & once)
-    found = found.where(_may_link("sketch_a", "sketch_b", size, likeness))
-    return found.select(F.least("set_key_a", "set_key_b").alias("a"), F.greatest("set_key_a", "set_key_b").alias("b"))
+
+def _named(members: DataFrame, end: str, *also: str) -> DataFrame:
+    return members.select("list", *also, *(F.col(c).alias(c + end) for c in _MEMBER))
 
 
-def _parted(lists: DataFrame, longer: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
-    """Lists by the next value that two of their nodes may share, and which of `longer` (list, held) are worth parting: those
-    whose parts have at most half their pairs. Nodes that share many values are compared in the list they are in."""
-    inside = lists.join(broadcast_if_small(longer), "list").withColumnRenamed("list", "before").withColumnRenamed("at", "from")
-    # Values after the last one shared, as far as the next one may stand.
-    ahead = F.slice("shared", F.col("from") + 2, F.greatest(F.col("reach") + level - F.col("from") - 1, F.lit(0)))
-    inside = inside.select("*", F.posexplode(ahead).alias("step", "value"))
-    at, name = (F.col("from") + F.col("step") + 1).alias("at"), F.xxhash64("before", "value").alias("list")
-    parts = stash(inside.select("set_key", "n", "kept", "shared", "reach", "root", "before", "held", at, name), "parted")
-    squares = parts.groupBy("before", "held", "list").agg(F.count("*").alias("part")).groupBy("before", "held")
-    worth = squares.agg(F.sum(F.col("part") * F.col("part")).alias("squares")).where(2 * F.col("squares") <= F.col("held") * F.col("held"))
-    return parts, stash(worth.select(F.col("before").alias("list")), "worth")
+def _pivoted(placed: DataFrame, turn: int, likeness: Fraction) -> DataFrame:
+    """Pairs of each list's pivot and its other members, as far as they may link: any node of any component, by a hash that
+    differs from turn to turn."""
+    order = F.struct(F.xxhash64("root", F.lit(turn)).alias("by"), F.xxhash64("set_key", F.lit(turn)).alias("then"), *_MEMBER)
+    pivots = placed.groupBy("list").agg(F.min(order).alias("pivot")).select("list", "pivot.*")
+    met = _named(placed, "_a").join(_named(pivots, "_b"), "list").where(F.col("root_a") != F.col("root_b"))
+    return met.where(_may_meet("_a", "_b", likeness)).select(*_pair())
+
+
+def _pair() -> list[Column]:
+    return [F.least("set_key_a", "set_key_b").alias("a"), F.greatest("set_key_a", "set_key_b").alias("b")]
+
+
+def _across(placed: DataFrame, likeness: Fraction) -> DataFrame:
+    """Pairs of members of different components in each list, as far as they may link.
+
+    One of a pair is not of the list's largest component `top`, so a large group of near copies meets the others only. In long
+    lists members meet those of their own class of sizes and of the two beside it, which is all whose sizes fit.
+    """
+    width = math.log(1 / likeness) * (1 + 1e-9)
+    size_class = F.when(F.col("open") > LIST, F.floor(F.log("n") / width)).otherwise(F.lit(0).cast("bigint"))
+    near = F.when(F.col("open") > LIST, F.sequence(size_class - 1, size_class + 1)).otherwise(F.array(size_class))
+    a = _named(placed.where("root != top").withColumn("part", size_class), "_a", "top", "part")
+    b = _named(placed.withColumn("part", F.explode(near)), "_b", "part")
+    once = (F.col("root_b") == F.col("top")) | (F.col("set_key_a") < F.col("set_key_b"))
+    met = a.join(b, ["list", "part"]).where((F.col("root_a") != F.col("root_b")) & once)
+    return met.where(_may_meet("_a", "_b", likeness)).select(*_pair())
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKENESS, size: int = SKETCH) -> DataFrame:
@@ -153,12 +197,13 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKE
 
     Rows with equal sets are one node. Nodes meet in inverted lists of their rarest retained values (see inverted_lists):
 
-    1. each list's nodes against its first node; what the union sketches let pass is verified on whole sets, and linked nodes become
-       components, so a group of near copies costs a multiple of its size;
-    2. in every list that still holds two components, pairs of nodes of different components. A list longer than LIST is parted
-       first, by the next value that two of its nodes share, wherever that at least halves its pairs.
+    1. each list's nodes against one pivot; what the union sketches let pass is verified on whole sets, and linked nodes become
+       components, so a group of near copies costs a multiple of its size. Lists that stay long get further pivots as long as
+       that takes away a third of what their nodes have left to meet;
+    2. in every list that still holds two components, pairs of nodes of different components.
 
-    No list and no number of partners is capped. A link of the limit itself is missed with a chance of at most MISS, when fewer
+    Members of lists carry a signature of BITS bits in place of their sketches. It bounds what two sketches share, as does the place of a value,
+    so few pairs leave the lists to be compared by their sketches. No list and no number of partners is capped. A link of the limit itself is missed with a chance of at most MISS, when fewer
     values of the union sketch are shared than least_overlap asks for; sets up to the sketch's size are never missed.
 
     Rows without words have component_id = doc_id and link with nothing. A missing id takes part in links, but is nobody's
@@ -168,7 +213,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKE
     with scratch(docs.sparkSession):
         points = stash(sketches(docs, k, size), "points")
         real = points.where("set_key is not null").groupBy("set_key")
-        nodes = stash(real.agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("kept").alias("kept")), "nodes")
+        nodes = stash(real.agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("kept").alias("kept"), F.first("bits").alias("bits")), "nodes")
         roots = stash(components(_links(nodes, docs, k, likeness, size)), "roots")
         named = nodes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
         names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -180,34 +225,26 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKE
 
 def _links(nodes: DataFrame, docs: DataFrame, k: int, likeness: Fraction, size: int) -> DataFrame:
     """Links that connect all nodes which any links connect."""
-    listed = stash(inverted_lists(nodes, size, likeness), "listed")
-    members = listed.select("set_key", "n", "kept", "shared", "reach", F.posexplode(F.slice("shared", F.lit(1), F.col("reach"))).alias("at", "list"))
-
-    first = members.groupBy("list").agg(F.min(F.struct("set_key", "n", "kept")).alias("head"), F.count("*").alias("held")).where("held > 1").drop("held")
-    stars = members.select("list", F.struct("set_key", "n", "kept").alias("other")).join(first, "list").where("head.set_key < other.set_key")
-    stars = stars.where(_may_link("head", "other", size, likeness)).select(F.col("head.set_key").alias("a"), F.col("other.set_key").alias("b")).distinct()
-    links = stash(_verified(stash(stars, "stars"), nodes, docs, k, likeness), "links")
-
-    roots = stash(components(links), "parts").withColumnRenamed("node", "set_key")
-    placed = listed.join(roots, "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
-    lists = placed.select("*", F.posexplode(F.slice("shared", F.lit(1), F.col("reach"))).alias("at", "list"))
-    found, level = [], 1
+    members = stash(inverted_lists(nodes, size, likeness), "members")
+    alone = members.groupBy("list").agg(F.count("*").alias("times")).where("times > 1").select("list")
+    placed = stash(members.join(alone, "list").withColumn("root", F.col("set_key")), "placed")
+    links, open_before, turn = None, None, 0
     while True:
-        sizes = lists.groupBy("list").agg(F.count("*").alias("held"), F.min("root").alias("low"), F.max("root").alias("high"), F.min_by("root", "set_key").alias("top"))
-        # At the first level a list of two has been looked at.
-        sizes = stash(sizes.where("low != high").where(F.col("held") > (2 if level == 1 else 1)).select("list", "held", "top"), "sizes")
-        longer = sizes.where(F.col("held") > LIST).select("list", "held")
-        if longer.isEmpty():
-            found.append(stash(_pairs_across(lists, sizes, size, likeness).distinct(), "found"))
-            break
-        parts, worth = _parted(lists, longer, level)
-        sizes = sizes.join(broadcast_if_small(worth), "list", "left_anti")
-        found.append(stash(_pairs_across(lists, sizes, size, likeness).distinct(), "found"))
-        if worth.isEmpty():
+        # Of lists that were looked at before, only long ones get another pivot; the others are short enough for all pairs.
+        turn, looked = turn + 1, placed if links is None else placed.where(F.col("open") > LIST)
+        close = stash(_close(_pivoted(looked, turn, likeness), nodes, size, likeness), "close")
+        found = _verified(close, nodes, docs, k, likeness)
+        links = stash(found if links is None else links.union(found), "links")
+        roots = stash(components(links), "parts").withColumnRenamed("node", "set_key")
+        before = placed.select("list", *(c for c in _MEMBER if c != "root"))
+        placed = before.join(broadcast_if_small(roots), "set_key", "left").withColumn("root", F.coalesce("root", "set_key"))
+        held = placed.groupBy("list", "root").agg(F.count("*").alias("n_root"))
+        lists = held.groupBy("list").agg(F.sum("n_root").alias("total"), F.max("n_root").alias("most"), F.max_by("root", F.struct("n_root", "root")).alias("top"))
+        # A list of two was looked at whole by its pivot.
+        lists = lists.where("total > most and total > 2").select("list", "top", (F.col("total") - F.col("most")).alias("open"))
+        placed = stash(placed.join(lists, "list"), "placed")
+        still = placed.where(F.col("open") > LIST).agg(F.sum("open")).first()[0] or 0
+        if still == 0 or (open_before is not None and still > 0.7 * open_before):
             break
-        lists = parts.join(broadcast_if_small(worth.withColumnRenamed("list", "before")), "before", "left_semi").drop("before", "held")
-        level += 1
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.union(more)
-    return links.union(_verified(stash(pairs.distinct(), "pairs"), nodes, docs, k, likeness))
+        open_before = still
+    return links.union(_verified(stash(_close(_across(placed, likeness), nodes, size, likeness), "pairs"), nodes, docs, k, likeness))
