@@ -777,6 +777,21 @@ def process_welch(s, d):
     return rounded_power(_process(s, d, "chunked", **WELCH_ALL)["band_power"])
 
 
+@query("process_pending", O.sql(
+    "SELECT run_id, 'succeeded' AS status, CASE WHEN run_id = 'emb' THEN 2 ELSE 1 END AS attempts, count(*) AS n_values FROM power GROUP BY run_id "
+    "UNION ALL SELECT 'lost', 'failed', 0, 0", *ALL_POWER))
+def process_pending(s, d):
+    """Two calls: in the first the long recording has no electrodes and fails, in the second only it is processed."""
+    root = scratch_path(s, "pending")
+    runs = X.recordings(s, d).select("run_id").unionByName(s.range(1).select(F.lit("lost").alias("run_id")))
+    for electrodes in (X.electrodes(s, d).where("run_id <> 'emb'"), X.electrodes(s, d)):
+        status = PL.process_pending(runs, X.signals(s, d), X.recordings(s, d), electrodes, X.channel_map(s, d), root, "chunked", **WELCH_ALL)
+    attempts = D.read_ledger(s, root).groupBy("run_id").agg(F.count("*").alias("attempts"))
+    values = D.scan_band_power(s, root).groupBy("run_id").agg(F.count("*").alias("n_values"))
+    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return status.join(attempts, "run_id", "left").join(values, "run_id", "left").select("run_id", "status", zero("attempts"), zero("n_values"))
+
+
 @query("process_stft", O.sql(O.ROUNDED_POWER, *O.hop_power("all", "40", "30")))
 def process_stft(s, d):
     return rounded_power(_process(s, d, "whole_file", nperseg=40, overlap=0.75)["band_power"])

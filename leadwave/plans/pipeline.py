@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +16,7 @@ from leadwave.operators.spectrum import hop_layout, welch_layout
 from leadwave.operators.stats import output_rate
 from leadwave.plans.bandpower import bipolar_bandpower
 from leadwave.session import materialise
-from leadwave.sources.tables import read_table, table_exists, write_band_power, write_bands, write_bipolar_electrodes, write_by_run
+from leadwave.sources.tables import append_ledger, new_generation, read_status, table_exists, write_bands, write_generation
 
 # Settings of the four ways of processing.
 PRESETS = {
@@ -124,52 +127,69 @@ def run_params(band_power: DataFrame, layout: DataFrame, preset: str, bands: dic
     )
 
 
-def store(results: dict[str, DataFrame | dict], root: str) -> None:
-    """Write every table of a result; parameters come from the stored band power and the settings of the result.
+def settings_key(preset: str, bands: dict = S.BANDS, series_name: str | None = None, manifest: DataFrame | None = None, **overrides) -> str:
+    """A digest of all that decides a run's result besides its data."""
+    chosen = {"preset": preset, "bands": bands, "series_name": series_name, "gaps_fail": manifest is not None, **settings(preset, **overrides)}
+    return hashlib.sha256(json.dumps(chosen, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
+def store(results: dict[str, DataFrame | dict], root: str, key: str | None = None, modified: DataFrame | None = None) -> None:
+    """Write every table of a result as a new generation, and last the ledger rows that make it count.
 
-    A run is stored as succeeded only if it has rows in the stored band power.
+    Parameters come from the stored band power and the settings of the result. A run is recorded as succeeded only if it has rows in this
+    generation; one that has none is recorded as failed, whatever was stored for it before. A write that breaks off leaves no ledger row,
+    so readers keep what they had. `modified` (run_id, modified) is recorded with the runs, as is `key`, the digest of the settings.
     """
     settings_used = dict(results["settings"])
+    key = key or settings_key(**settings_used)
     bands = settings_used.pop("bands")
     spark = results["band_power"].sparkSession
-    write_band_power(results["band_power"], root)
-    write_bipolar_electrodes(results["electrodes"], root)
+    generation = new_generation()
+    write_generation(results["band_power"], root, "band_power", generation)
+    write_generation(results["electrodes"], root, "bipolar_electrodes", generation)
     write_bands(spark, root, bands)
-    stored = spark.read.schema(S.BAND_POWER).parquet(f"{root.rstrip('/')}/band_power")
+    # Told by its folder, so that other generations are not even listed; a generation without rows has none.
+    folder = f"band_power/generation={generation}"
+    there_is = table_exists(spark, root, folder)
+    stored = spark.read.schema(S.BAND_POWER).parquet(f"{root.rstrip('/')}/{folder}") if there_is else spark.createDataFrame([], S.BAND_POWER)
     params = run_params(stored, results["layout"], bands=bands, **settings_used)
-    write_by_run(results["sessions"].join(params, "run_id", "left"), root, "sessions")
+    write_generation(results["sessions"].join(params, "run_id", "left"), root, "sessions", generation)
     there = F.col("stored").isNotNull()
     checked = results["status"].join(stored.select("run_id", F.lit(True).alias("stored")).distinct(), "run_id", "left")
+    checked = checked.join(modified.select("run_id", "modified"), "run_id", "left") if modified is not None else checked.withColumn("modified", F.lit(None))
     sound = F.col("status") == "succeeded"
-    outcome = checked.select(
+    ledger = checked.select(
         "run_id",
         F.when(sound & ~there, "failed").otherwise(F.col("status")).alias("status"),
         F.when(sound & ~there, "no result stored").otherwise(F.col("reason")).alias("reason"),
+        F.lit(generation).alias("generation"), F.lit(key).alias("settings_key"), "modified",
     )
-    write_by_run(outcome, root, "status")
+    append_ledger(ledger, root)
 
 
 def process_pending(
     runs: DataFrame, signals: DataFrame, recordings: DataFrame, electrodes: DataFrame, channel_map: DataFrame, root: str,
     preset: str = "chunked", overwrite: bool = False, **overrides,
 ) -> DataFrame:
-    """Process and store those of `runs` (run_id) that have no successful result under `root`, or all with `overwrite`.
+    """Process and store those of `runs` (run_id, and `modified`, the time of the input, if known) that have no successful result under
+    `root` by these settings and of this input, or all with `overwrite`.
 
-    Returns the stored status of every run asked for, finished ones included.
+    Returns the last recorded status of every run asked for, finished ones included.
     """
-    spark = signals.sparkSession
-    wanted = runs.select("run_id").distinct()
-    if not overwrite and table_exists(spark, root, "status"):
-        finished = read_table(spark, root, "status").where("status = 'succeeded'").select("run_id")
-        wanted = wanted.join(finished, "run_id", "left_anti")
+    spark, key = signals.sparkSession, settings_key(preset, **overrides)
+    timed = "modified" in runs.columns
+    at = F.max(F.col("modified").cast("timestamp") if timed else F.lit(None).cast("timestamp")).alias("modified")
+    asked = wanted = runs.groupBy("run_id").agg(at)
+    if not overwrite:
+        done = read_status(spark, root).where((F.col("status") == "succeeded") & (F.col("settings_key") == key))
+        same = F.col("modified").isNull() | F.col("modified").eqNullSafe(F.col("seen"))
+        finished = done.select("run_id", F.col("modified").alias("seen")).join(asked, "run_id").where(same).select("run_id")
+        wanted = asked.join(finished, "run_id", "left_anti")
     wanted = materialise(wanted)
     if not wanted.isEmpty():
-        tables = (t.join(wanted, "run_id", "left_semi") for t in (signals, recordings, electrodes, channel_map))
-        store(process(*tables, preset, **overrides), root)
-    asked = runs.select("run_id").distinct()
-    if not table_exists(spark, root, "status"):
-        return asked.select("run_id", F.lit("failed").alias("status"), F.lit("no input").alias("reason"))
-    known = asked.join(read_table(spark, root, "status"), "run_id", "left")
+        tables = (t.join(wanted.select("run_id"), "run_id", "left_semi") for t in (signals, recordings, electrodes, channel_map))
+        store(process(*tables, preset, **overrides), root, key, wanted)
+    known = asked.select("run_id").join(read_status(spark, root), "run_id", "left")
     missing = F.col("status").isNull()
     return known.select(
         "run_id", F.coalesce("status", F.lit("failed")).alias("status"), F.when(missing, "no input").otherwise(F.col("reason")).alias("reason")

@@ -112,3 +112,14 @@ def bands_frame(spark: SparkSession, bands: dict[str, tuple[float, float]] = BAN
     """The band definitions as a table of one row per band."""
     rows = [(name, float(lo), float(hi), i) for i, (name, (lo, hi)) in enumerate(bands.items())]
     return spark.createDataFrame(rows, BANDS_SCHEMA)
+
+#: One row for each attempt at a run, appended when all its tables are written.
+LEDGER = T.StructType([
+    T.StructField("run_id", T.StringType()),
+    T.StructField("status", T.StringType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("generation", T.StringType()),
+    T.StructField("settings_key", T.StringType()),
+    T.StructField("modified", T.TimestampType()),
+    T.StructField("committed_at", T.TimestampType()),
+])

@@ -299,3 +299,49 @@ def test_pending_runs_are_processed_once(spark):
     assert second["a"] == first["a"] and set(second) == {"a", "b"}
     assert status(both) == {"a": "succeeded", "b": "succeeded"} and written() == second
     assert status(both, overwrite=True) == {"a": "succeeded", "b": "succeeded"} and written()["a"] > first["a"]
+
+
+def test_a_broken_write_leaves_the_old_result_and_an_empty_one_counts_as_failed(spark, monkeypatch):
+    root = scratch_path(spark, "generations")
+    data, chosen = inputs(spark, ("a", "7")), {"nperseg": 100, "bin_sec": 0.5}
+    runs = spark.createDataFrame([("a",), ("7",)], "run_id string")
+
+    def ask(**how):
+        return {r.run_id: r.status for r in PL.process_pending(runs, *data, root, "chunked", **chosen, **how).collect()}
+
+    def power():
+        return sorted(map(tuple, D.scan_band_power(spark, root).collect()))
+
+    assert ask() == {"a": "succeeded", "7": "succeeded"}
+    before = power()
+    assert {r[0] for r in before} == {"a", "7"}
+
+    with monkeypatch.context() as broken:
+        broken.setattr(PL, "write_bands", lambda *args: (_ for _ in ()).throw(OSError("disk")))
+        with pytest.raises(OSError):
+            ask(overwrite=True)
+    assert power() == before and D.read_ledger(spark, root).count() == 2
+    assert ask() == {"a": "succeeded", "7": "succeeded"} and D.read_ledger(spark, root).count() == 2
+
+    results = PL.process(*data, "chunked", **chosen)
+    PL.store({**results, "band_power": results["band_power"].where("run_id <> 'a'")}, root)
+    assert {r.run_id: (r.status, r.reason) for r in D.read_status(spark, root).collect()} == {"a": ("failed", "no result stored"), "7": ("succeeded", None)}
+    assert power() == [r for r in before if r[0] == "7"]
+    PL.store({**results, "band_power": results["band_power"].where("false")}, root)
+    assert {r.status for r in D.read_status(spark, root).collect()} == {"failed"} and power() == []
+
+
+def test_changed_settings_and_changed_inputs_are_processed_again(spark):
+    root, data = scratch_path(spark, "ledger"), inputs(spark, ("a", "b"))
+
+    def attempts(times, **chosen):
+        runs = spark.createDataFrame(list(times.items()), "run_id string, modified string")
+        PL.process_pending(runs, *data, root, "chunked", bin_sec=0.5, **chosen).collect()
+        return {r.run_id: r["count"] for r in D.read_ledger(spark, root).groupBy("run_id").count().collect()}
+
+    monday, tuesday = "2024-01-01 10:00:00", "2024-01-02 10:00:00"
+    assert attempts({"a": monday, "b": monday}, nperseg=100) == {"a": 1, "b": 1}
+    assert attempts({"a": monday, "b": tuesday}, nperseg=100) == {"a": 1, "b": 2}
+    assert attempts({"a": monday, "b": None}, nperseg=100) == {"a": 1, "b": 2}
+    assert attempts({"a": monday, "b": tuesday}, nperseg=50) == {"a": 2, "b": 3}
+    assert D.scan_band_power(spark, root).groupBy("run_id", "bin_idx", "pair_idx", "band").count().where("count > 1").isEmpty()
