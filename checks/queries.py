@@ -788,8 +788,9 @@ def process_pending(s, d):
         status = PL.process_pending(runs, X.signals(s, d), X.recordings(s, d), electrodes, X.channel_map(s, d), root, "chunked", **WELCH_ALL)
     attempts = D.read_ledger(s, root).groupBy("run_id").agg(F.count("*").alias("attempts"))
     values = D.scan_band_power(s, root).groupBy("run_id").agg(F.count("*").alias("n_values"))
-    zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return status.join(attempts, "run_id", "left").join(values, "run_id", "left").select("run_id", "status", zero("attempts"), zero("n_values"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    counted = status.join(attempts, "run_id", "left").join(values, "run_id", "left")
+    return counted.select("run_id", "status", zero("attempts").cast("int").alias("attempts"), zero("n_values").alias("n_values"))
 
 
 @query("process_stft", O.sql(O.ROUNDED_POWER, *O.hop_power("all", "40", "30")))
