@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections import Counter
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ def _library(path: str) -> Tokenizer:
 
 def _lengths(tokenizer: Tokenizer, pre_tokens: list[bytes]) -> list[int]:
     texts = [p.decode("utf-8", "replace") for p in pre_tokens]
-    return [len(e.ids) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    return [len(e) for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
 
 def frequent_pre_tokens(docs: DataFrame, size: int = FREQUENT) -> list[bytes]:
@@ -72,6 +73,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, size: int = FREQUENT) ->
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks have the cores; the library's threads would only wait for each other
         tokenizer, frequent, cache = _library(SparkFiles.get(name)), table.value, {}
         for batch in batches:
             texts = texts_of(batch["text"])

@@ -1,4 +1,7 @@
+import os
+
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -32,3 +35,14 @@ def test_frequent_pre_tokens_and_small_caches(table, monkeypatch):
 
 def test_empty_table(table):
     assert count_tokens(table([]), PATH).collect() == []
+
+
+def test_tasks_keep_the_library_from_threads_of_its_own(table, monkeypatch):
+    monkeypatch.setenv("TOKENIZERS_PARALLELISM", "true")
+    docs, tasks = table([(1, "hello"), (2, "new words")]), []
+    plain = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: tasks.append(run) or plain(self, run, schema))
+    count_tokens(docs, PATH, 0)
+    (counted,) = tasks[-1](iter([pa.RecordBatch.from_pydict({c: ["1", "2"] if c != "text" else ["hello", "new words"] for c in docs.columns})]))
+    assert counted["n_tokens"].to_pylist() == [1, 2]
+    assert os.environ["TOKENIZERS_PARALLELISM"] == "false"
