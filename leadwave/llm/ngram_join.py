@@ -20,9 +20,15 @@ LIKENESS = Fraction(4, 5)
 # Points have FINE coordinates; boxes of the tree, and points while they are compared inside it, have these summed to GROUPS.
 FINE, GROUPS = 128, 32
 # Shingles counted as frequent only change which of a set's shingles are looked at first; links do not depend on them.
-FREQUENT_MAX = 200_000
+FREQUENT_MAX = 1_000_000
+# How often a task must have met a shingle to report it, and all tasks together for it to count as frequent.
+MET, FREQUENT = 2, 6
+# Buckets with more nodes than this outside their largest component get further pivots before all that is left meets.
+LONG = 16
 # Bits of the table of shingles that may recur: 32 MB, whatever the size of the corpus. A fuller table only lets more through.
 CODE_BITS = 28
+# Bits of a set's signature, which stands for the set before whole sets are moved.
+SIGN_BITS = 2048
 _SLICE_BITS = 15  # bits of one of Spark's bitmaps
 _FLUSH = 4 << 20
 
@@ -42,7 +48,7 @@ def _shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
 def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     """Shingles that recur within tasks, by their summed counts, the commonest first and at most FREQUENT_MAX of them.
 
-    Each task counts everything it reads and reports what it met at least four times. The list has a bound, so it can be
+    Each task counts everything it reads and reports what it met at least MET times. The list has a bound, so it can be
     broadcast; any list gives the same links.
     """
 
@@ -54,16 +60,20 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
                 size += len(shingles)
                 if size >= _FLUSH:
                     yield report(held)
-                    held, size = [], 0
+                    size = 0
         yield report(held)
 
     def report(held: list[np.ndarray]) -> pa.RecordBatch:
-        values, counts = np.unique(np.concatenate(held) if held else np.empty(0, U), return_counts=True)
-        often = counts >= 4
-        return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["shingle", "times"])
+        met = np.concatenate(held) if held else np.empty(0, U)
+        held.clear()
+        met.sort()  # in place: these are a worker's largest arrays
+        first = np.flatnonzero(np.concatenate((met[:1] == met[:1], met[1:] != met[:-1])))
+        counts = np.diff(first, append=len(met))
+        often = counts >= MET
+        return pa.RecordBatch.from_arrays([pa.array(met[first[often]].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["shingle", "times"])
 
     counts = docs.select("text").mapInArrow(run, "shingle bigint, times bigint").groupBy("shingle").agg(F.sum("times").alias("times"))
-    top = counts.where("times >= 16").orderBy(F.desc("times"), "shingle").limit(FREQUENT_MAX).select("shingle").toPandas()
+    top = counts.where(F.col("times") >= FREQUENT).orderBy(F.desc("times"), "shingle").limit(FREQUENT_MAX).select("shingle").toPandas()
     return np.sort(top["shingle"].to_numpy(dtype=np.int64).view(U))
 
 
@@ -145,16 +155,52 @@ def _may_link(a: str, b: str, likeness: Fraction) -> Column:
     largest counts of its sets; a single set is its own box."""
     up, down = likeness.numerator, likeness.denominator
     fits = (F.col(f"{a}.most") * down >= F.col(f"{b}.least") * up) & (F.col(f"{b}.most") * down >= F.col(f"{a}.least") * up)
-    minima = F.aggregate(F.zip_with(f"{a}.counts", f"{b}.counts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
-    return fits & (minima * (up + down) >= (F.col(f"{a}.least") + F.col(f"{b}.least")) * up)
+    return fits & (_minima(a, b) * (up + down) >= (F.col(f"{a}.least") + F.col(f"{b}.least")) * up)
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
-    """The pairs (a, b) of set keys whose sets really are alike."""
+def _minima(a: str, b: str) -> Column:
+    return F.aggregate(F.zip_with(f"{a}.counts", f"{b}.counts", lambda x, y: F.least(x, y)), F.lit(0), lambda s, x: s + x)
+
+
+def _bound(a: str, b: str) -> Column:
+    return _minima(a, b) / (F.col(f"{a}.least") + F.col(f"{b}.least"))
+
+
+def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(set_key, text) of the nodes in `pairs`, and the list (set_key, of) of the rows these come from."""
     ends = pairs.select(F.col("a").alias("set_key")).union(pairs.select(F.col("b").alias("set_key"))).distinct()
     rows = stash(nodes.join(ends, "set_key").select("set_key", F.col("row").alias("of")), "ends")
     # Texts stay where they are while the list of those wanted is small by measure; beyond that both sides are shuffled by row.
-    texts = docs.join(broadcast_if_small(rows), docs["row"] == F.col("of")).select("set_key", "text")
+    return docs.join(broadcast_if_small(rows), docs["row"] == F.col("of")).select("set_key", "text"), rows
+
+
+def _signature(shingles: np.ndarray) -> np.ndarray:
+    """For each of SIGN_BITS groups of shingles whether a set has an odd number of them. Two sets differ in at least as many shingles
+    as their signatures do in bits."""
+    odd = np.bincount((shingles >> U(20) & U(SIGN_BITS - 1)).astype(np.int64), minlength=SIGN_BITS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _alike_by_signature(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
+    """The pairs whose signatures differ in no more bits than sets that are alike may differ in shingles."""
+    texts, _ = _texts_of(pairs, nodes, docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = list(_shingle_sets(texts_of(batch["text"]), k))
+            signs = [_signature(s) for s in sets]
+            yield pa.RecordBatch.from_arrays([batch["set_key"], pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, pa.list_(pa.int64()))], ["set_key", "n", "sign"])
+
+    signs = stash(texts.mapInArrow(run, "set_key bigint, n bigint, sign array<bigint>").dropDuplicates(["set_key"]), "signs")
+    of_a, of_b = (signs.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}")) for x in "ab")
+    apart = F.aggregate(F.zip_with("sign_a", "sign_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    n, up, down = F.col("n_a") + F.col("n_b"), likeness.numerator, likeness.denominator
+    return pairs.join(of_a, "a").join(of_b, "b").where((n - apart) * (up + down) >= 2 * n * up).select(*pairs.columns)
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
+    """The pairs (a, b) of set keys whose sets really are alike."""
+    texts, rows = _texts_of(pairs, nodes, docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -169,14 +215,30 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, liken
     both = F.size(F.array_intersect("of_a", "of_b"))
     union = F.size("of_a") + F.size("of_b") - both
     alike = both * likeness.denominator >= union * likeness.numerator
-    return pairs.join(left, "a").join(right, "b").where(alike).select("a", "b").distinct()
+    return pairs.select("a", "b").join(left, "a").join(right, "b").where(alike).select("a", "b").distinct()
+
+
+def _placed(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Members of buckets that hold two components, with their `root` and `open`, the number of nodes outside the bucket's largest
+    component. A bucket of two was looked at whole when its nodes met its first one."""
+    named = members.join(broadcast_if_small(roots), "set_key", "left").select("shingle", "set_key", F.coalesce("root", "set_key").alias("root"), "n", "room")
+    held = named.groupBy("shingle", "root").agg(F.count("*").alias("held")).groupBy("shingle").agg(F.sum("held").alias("total"), F.max("held").alias("most"))
+    mixed = held.where("total > most and total > 2").select("shingle", (F.col("total") - F.col("most")).alias("open"))
+    return stash(named.join(mixed, "shingle"), "placed")
 
 
-def _found_across(members: DataFrame, roots: DataFrame, box: DataFrame, likeness: Fraction) -> DataFrame:
+def _pivoted(placed: DataFrame, turn: int, likeness: Fraction) -> DataFrame:
+    """Pairs (a, b) of each bucket's pivot and its nodes of other components, as far as they may link: any node of any component, by a
+    hash that differs from turn to turn."""
+    order = F.struct(F.xxhash64("root", F.lit(turn)).alias("by"), F.xxhash64("set_key", F.lit(turn)).alias("then"), "root", "set_key", "n", "room")
+    pivots = placed.groupBy("shingle").agg(F.min(order).alias("pivot"))
+    sides = [(F.col("n"), F.col("n"), F.col("room")), (F.col("pivot.n"), F.col("pivot.n"), F.col("pivot.room"))]
+    met = placed.join(pivots, "shingle").where(F.col("root") != F.col("pivot.root")).where(_may_meet(*sides, likeness))
+    return met.select(F.least("set_key", "pivot.set_key").alias("a"), F.greatest("set_key", "pivot.set_key").alias("b")).distinct()
+
+
+def _found_across(placed: DataFrame, box: DataFrame, likeness: Fraction) -> DataFrame:
     """Pairs (a, b) of nodes of different components that meet in a bucket, as far as their boxes, and they, may link."""
-    placed = members.join(roots, "set_key", "left").select("shingle", "set_key", F.coalesce("root", "set_key").alias("root"), "n", "room")
-    mixed = placed.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("held")).where("low != high and held > 2").select("shingle")
-    placed = stash(placed.join(mixed, "shingle"), "placed")
     leaves = placed.groupBy("shingle", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
     tops = placed.select("root", "set_key").distinct().join(box, "set_key").groupBy("root")
     largest = F.array(*(F.max(F.col("box.counts")[i]) for i in range(GROUPS)))
@@ -212,6 +274,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = L
     Rows with equal sets are one node. Nodes that share a leading shingle form a bucket, and buckets are searched as trees of boxes:
 
     1. every node of a bucket against the bucket's first node, point against point;
+       Buckets that stay long get further pivots as long as that takes away a third of what their nodes have left to meet;
     2. components so far become boxes (sizes and largest group counts of their nodes). In each bucket that still holds two
        components, their boxes meet, and are compared once by the summed coordinate minima, however many buckets they share;
        boxes that may link are opened, and their nodes compared by the same bound.
@@ -219,7 +282,7 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = L
     Shingles that only one row leads with are left out by a bit table of fixed size before anything else is moved. Nodes meet in the
     bucket of the first shingle they share: in others, what is left of both sets may be too little for a link (see _may_meet).
 
-    What passes is verified on the whole sets. Only nodes of different components are compared in step 2, so a group of
+    What passes, and in step 2 a comparison of signatures too, is verified on the whole sets; of two boxes first the likeliest pair, then the others if that does not unite them. Only nodes of different components are compared in step 2, so a group of
     near copies costs a multiple of its size, not its square; all other pairs of a bucket are compared, without a limit.
 
     Rows without words have component_id = doc_id. A missing id takes part in links, but is nobody's component: rows linked only with such rows
@@ -247,20 +310,47 @@ def _components_of(docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
     box = nodes.select("set_key", F.struct(F.col("n").alias("least"), F.col("n").alias("most"), coarse.alias("counts")).alias("box"))
 
     def close(pairs: DataFrame) -> DataFrame:
-        """The pairs whose points may link by all their coordinates."""
+        """The pairs whose points may link by all their coordinates, and `bound`, the largest likeness these leave them."""
         of_a, of_b = (point.select(F.col("set_key").alias(x), F.col("box").alias(f"box_{x}")) for x in "ab")
-        return pairs.join(of_a, "a").join(of_b, "b").where(_may_link("box_a", "box_b", likeness)).select("a", "b")
+        return pairs.join(of_a, "a").join(of_b, "b").where(_may_link("box_a", "box_b", likeness)).select("a", "b", _bound("box_a", "box_b").alias("bound"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        return _verified(pairs, nodes, docs, k, likeness)
+
+    def rooted(links: DataFrame) -> DataFrame:
+        return stash(components(links), "roots").withColumnRenamed("node", "set_key")
 
     n, room, head_n, head_room = (F.col(c) for c in ("n", "room", "head_n", "head_room"))
     stars = members.where("head != set_key").where(_may_meet((n, n, room), (head_n, head_n, head_room), likeness))
     stars = stars.select(F.col("head").alias("a"), F.col("set_key").alias("b")).distinct()
-    links = stash(_verified(stash(close(stars), "stars"), nodes, docs, k, likeness), "links")
-
-    found = _found_across(members, components(links).withColumnRenamed("node", "set_key"), box, likeness)
-    more = _verified(stash(close(found), "found"), nodes, docs, k, likeness)
-
-    roots = stash(components(links.union(more)), "roots")
-    named = nodes.join(roots.withColumnRenamed("node", "set_key"), "set_key", "left").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
+    links = stash(verified(stash(close(stars), "stars")), "links")
+    roots = rooted(links)
+    placed = _placed(members, roots)
+
+    short, long, open_before, turn = placed.where(F.col("open") <= LONG).drop("open"), placed.where(F.col("open") > LONG), None, 0
+    while (still := long.where(F.col("open") > LONG).agg(F.sum("open")).first()[0] or 0) and (open_before is None or still <= 0.7 * open_before):
+        open_before, turn = still, turn + 1
+        found = verified(stash(close(_pivoted(long, turn, likeness)), "close"))
+        links = stash(links.union(found), "links")
+        roots = rooted(links)
+        long = _placed(long.select("shingle", "set_key", "n", "room"), roots)
+    if turn:
+        placed = _placed(short.drop("root").union(long.select("shingle", "set_key", "n", "room")), roots)
+
+    # One link unites two components, so the likeliest pair of each two is verified first, and of the others those still apart.
+    found = stash(close(_found_across(placed, box, likeness)), "across")
+    found = stash(_alike_by_signature(found, nodes, docs, k, likeness), "found")
+    for best in (True, False):
+        of_a, of_b = (roots.select(F.col("set_key").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
+        ends = found.join(broadcast_if_small(of_a), "a", "left").join(broadcast_if_small(of_b), "b", "left")
+        ends = ends.withColumns({f"root_{x}": F.coalesce(f"root_{x}", x) for x in "ab"}).where("root_a != root_b")
+        if best:
+            both = [F.least("root_a", "root_b").alias("low"), F.greatest("root_a", "root_b").alias("high")]
+            ends = ends.groupBy(*both).agg(F.max(F.struct("bound", "a", "b")).alias("best")).select("best.*")
+        links = stash(links.union(verified(stash(ends.select("a", "b"), "pairs"))), "links")
+        roots = rooted(links)
+
+    named = nodes.join(roots, "set_key", "left").select("set_key", "doc_id", F.coalesce("root", "set_key").alias("root"))
     names = named.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_set = named.join(names, "root").select("set_key", "component_id", "root")
     component = F.when(F.col("set_key").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))

@@ -1,6 +1,7 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -98,3 +99,30 @@ def test_components_of_a_long_chain_and_a_hub(spark):
     links = [(i, i + 1) for i in range(1000, 1200)] + [(5, i) for i in range(2000, 3000)] + [(None, 1), (2, None)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got[1200] == 1000 and got[2999] == 5 and len(got) == 201 + 1001
+
+
+def test_long_buckets_and_pairs_of_united_components(table, monkeypatch):
+    """Groups whose members are alike only in part: further pivots unite them, and pairs inside a component need no whole sets."""
+    chance = random.Random(5)
+    base, rows = [chance.choice(VOCABULARY) for _ in range(200)], []
+    for i in range(150):
+        words = list(base)
+        for _ in range(chance.randrange(2, 6)):
+            words[chance.randrange(200)] = chance.choice(VOCABULARY)
+        rows.append((i, " ".join(words)))
+    monkeypatch.setattr(ngram_join, "LONG", 4)
+    turns, looked = [], []
+    pivoted, verified = ngram_join._pivoted, ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_pivoted", lambda placed, turn, likeness: turns.append(turn) or pivoted(placed, turn, likeness))
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *rest: looked.append(pairs.count()) or verified(pairs, *rest))
+    assert found(table(rows)) == by_hand(rows)
+    assert turns and len(looked) == len(turns) + 3 and looked[-2] + looked[-1] < 150 * 149 / 4
+
+
+def test_signatures_differ_no_more_than_sets():
+    chance = np.random.default_rng(3)
+    for n in (0, 1, 50, 500, 20_000):
+        a, b = (chance.integers(0, 1 << 63, n, dtype=np.uint64) for _ in "ab")
+        b[: n // 2] = a[: n // 2]
+        apart = int(sum(int(x).bit_count() for x in (ngram_join._signature(a) ^ ngram_join._signature(b)).view(np.uint64)))
+        assert apart <= len(np.setxor1d(a, b)) and (n != 500 or apart > 350)
