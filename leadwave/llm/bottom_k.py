@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from fractions import Fraction
 from math import comb
@@ -12,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadwave.llm.common import pieces, scratch, stash, texts_of
+from leadwave.llm.common import may_be_alike, pieces, scratch, stash, texts_of
 from leadwave.llm.components import components
-from leadwave.llm.words import NOT_SPACE, U, Words, mix64, text_hash
+from leadwave.llm.words import NOT_SPACE, U, Words, mix64, parities, text_hash
 from leadwave.session import broadcast_if_small
 
 SHINGLE = 2
@@ -22,14 +21,14 @@ LIKENESS = Fraction(4, 5)
 SKETCH = 48
 # Chance that a sketch shares less than what is asked for although the sets are alike.
 MISS = 1e-8
-# Lists in which a node meets more than this many of other components get more pivots, and are parted by size of set at the end.
+# Lists in which a node meets more than this many of other components get more pivots.
 LIST = 64
-# Bits of a sketch's signature, which is what travels with the members of lists.
-BITS = 256
+# Bits of a whole set's signature, which is compared before sketches are.
+BITS = 512
 
 
 _WORDS = [f"bits{i}" for i in range(BITS // 64)]
-_MEMBER = ["root", "set_key", "n", "held", "asked", "room", *_WORDS]
+_MEMBER = ["root", "set_key", "n", "asked", "room"]
 
 
 def least_overlap(k: int, likeness: Fraction) -> int:
@@ -61,16 +60,9 @@ def _signed(values: np.ndarray) -> np.ndarray:
     return (values ^ U(1 << 63)).view(np.int64)
 
 
-def _signature(values: np.ndarray) -> np.ndarray:
-    """One of BITS bits set for each value. Two sketches differ in at least as many values as their signatures do in bits."""
-    out = np.zeros(BITS, np.uint8)
-    out[mix64(values + U(5)) % U(BITS)] = 1
-    return np.packbits(out).view(np.int64)
-
-
 def sketches(docs: DataFrame, k: int = SHINGLE, size: int = SKETCH) -> DataFrame:
     """(doc_id, row, n, set_key, kept, bits): for each row of (doc_id, row, text) its set's size and digest, its `size` smallest values
-    in rising order, and their signature (see _signature). A set no larger than that is its own sketch. A text without words has n = 0
+    in rising order, and the whole set's signature (see parities). A set no larger than that is its own sketch. A text without words has n = 0
     and no digest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,7 +73,7 @@ def sketches(docs: DataFrame, k: int = SHINGLE, size: int = SKETCH) -> DataFrame
                 sizes.append(n)
                 keys.append(int(mix64(mix64(values + U(7)).sum(dtype=U, keepdims=True) + U(n)).view(np.int64)[0]) if n else None)
                 kept.append(_signed(values[:size]))
-                bits.append(_signature(values[:size]))
+                bits.append(parities(values, BITS))
             lists = [pa.array(x, pa.list_(pa.int64())) for x in (kept, bits)]
             arrays = [batch["doc_id"], batch["row"], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), *lists]
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n", "set_key", "kept", "bits"])
@@ -105,7 +97,7 @@ def _may_link(a: str, b: str, size: int, likeness: Fraction) -> Column:
 
 
 def inverted_lists(nodes: DataFrame, size: int, likeness: Fraction) -> DataFrame:
-    """(list, set_key, n, held, asked, room, bits0, ...): the members of each list, one for each retained value that others retain too.
+    """(list, set_key, n, asked, room): the members of each list, one for each retained value that others retain too.
 
     Two nodes that the union sketch can let pass share at least `asked` values. In the one order of all values (those in fewest
     sketches first, then by hash), the first value they share is then among the first |found| - asked + 1 of both, `found` being the
@@ -116,23 +108,36 @@ def inverted_lists(nodes: DataFrame, size: int, likeness: Fraction) -> DataFrame
     held = values.groupBy("value").agg(F.count("*").alias("times")).where("times > 1")
     shared = values.join(held, "value").groupBy("set_key").agg(F.sort_array(F.collect_list(F.struct("times", "value"))).alias("found"))
     shared = shared.withColumn("found", F.col("found.value"))
-    listed = nodes.join(shared, "set_key").select("set_key", "n", F.size("kept").alias("held"), asked.alias("asked"), "found", "bits")
+    listed = nodes.join(shared, "set_key").select("set_key", "n", asked.alias("asked"), "found")
     leading = F.slice("found", F.lit(1), F.greatest(F.size("found") - F.col("asked") + 1, F.lit(0)))
-    words = [F.col("bits")[i].alias(f"bits{i}") for i in range(BITS // 64)]
-    members = listed.select("set_key", "n", "held", "asked", F.size("found").alias("all"), *words, F.posexplode(leading).alias("at", "list"))
+    members = listed.select("set_key", "n", "asked", F.size("found").alias("all"), F.posexplode(leading).alias("at", "list"))
     return members.withColumn("room", F.col("all") - F.col("at")).drop("all", "at")
 
 
 def _may_meet(a: str, b: str, likeness: Fraction) -> Column:
-    """What members (column names' endings) of one list tell of a link: sizes fit, and neither the values left from this one on nor the
-    signatures rule out as many shared values as both ask for. True of every pair that _may_link lets pass, in the list of the first
-    value the two share."""
+    """What members (column names' endings) of one list tell of a link: sizes fit, and the values left from this one on are as many as
+    both ask for. True of every pair that _may_link lets pass, in the list of the first value the two share."""
     up, down = likeness.numerator, likeness.denominator
-    of = lambda name: (F.col(name + a), F.col(name + b))
-    (n_a, n_b), asked = of("n"), F.greatest(*of("asked"))
-    apart = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in map(of, _WORDS)), F.lit(0))
-    fits = (n_a * down >= n_b * up) & (n_b * down >= n_a * up)
-    return fits & (F.least(*of("room")) >= asked) & (sum(of("held"), F.lit(0)) - apart >= 2 * asked)
+    of = lambda name: (F.col(name + a), F.col(name + b))
+    n_a, n_b = of("n")
+    return (n_a * down >= n_b * up) & (n_b * down >= n_a * up) & (F.least(*of("room")) >= F.greatest(*of("asked")))
+
+
+def _signatures(nodes: DataFrame) -> DataFrame:
+    return nodes.select("set_key", "n", *(F.col("bits")[i].alias(word) for i, word in enumerate(_WORDS)))
+
+
+def _may_be_alike(a: str, b: str, likeness: Fraction) -> Column:
+    """What the signatures of two whole sets (column names' endings) tell of a link: true of every pair that is one."""
+    apart = sum((F.bit_count(F.col(word + a).bitwiseXOR(F.col(word + b))) for word in _WORDS), F.lit(0))
+    return may_be_alike(F.col(f"n{a}") + F.col(f"n{b}"), apart, likeness)
+
+
+def _alike_by_signature(pairs: DataFrame, nodes: DataFrame, likeness: Fraction) -> DataFrame:
+    """The pairs (a, b), each once, that the signatures of their whole sets let pass."""
+    signs = _signatures(nodes)
+    of_a, of_b = (signs.select(F.col("set_key").alias(x), *(F.col(c).alias(f"{c}_{x}") for c in ("n", *_WORDS))) for x in "ab")
+    return pairs.distinct().join(of_a, "a").join(of_b, "b").where(_may_be_alike("_a", "_b", likeness)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
@@ -160,7 +165,7 @@ def _close(pairs: DataFrame, nodes: DataFrame, size: int, likeness: Fraction) ->
 
 
 def _named(members: DataFrame, end: str, *also: str) -> DataFrame:
-    return members.select("list", *also, *(F.col(c).alias(c + end) for c in _MEMBER))
+    return members.select("list", *(F.col(c).alias(c + end) for c in (*_MEMBER, *also)))
 
 
 def _pivoted(placed: DataFrame, turn: int, likeness: Fraction) -> DataFrame:
@@ -176,20 +181,16 @@ def _pair() -> list[Column]:
     return [F.least("set_key_a", "set_key_b").alias("a"), F.greatest("set_key_a", "set_key_b").alias("b")]
 
 
-def _across(placed: DataFrame, likeness: Fraction) -> DataFrame:
-    """Pairs of members of different components in each list, as far as they may link.
+def _across(placed: DataFrame, nodes: DataFrame, likeness: Fraction) -> DataFrame:
+    """Pairs of members of different components in each list, as far as they, and the signatures of their sets, may link.
 
-    One of a pair is not of the list's largest component `top`, so a large group of near copies meets the others only. In long
-    lists members meet those of their own class of sizes and of the two beside it, which is all whose sizes fit.
+    One of a pair is not of the list's largest component `top`, so a large group of near copies meets the others only.
     """
-    width = math.log(1 / likeness) * (1 + 1e-9)
-    size_class = F.when(F.col("open") > LIST, F.floor(F.log("n") / width)).otherwise(F.lit(0).cast("bigint"))
-    near = F.when(F.col("open") > LIST, F.sequence(size_class - 1, size_class + 1)).otherwise(F.array(size_class))
-    a = _named(placed.where("root != top").withColumn("part", size_class), "_a", "top", "part")
-    b = _named(placed.withColumn("part", F.explode(near)), "_b", "part")
-    once = (F.col("root_b") == F.col("top")) | (F.col("set_key_a") < F.col("set_key_b"))
-    met = a.join(b, ["list", "part"]).where((F.col("root_a") != F.col("root_b")) & once)
-    return met.where(_may_meet("_a", "_b", likeness)).select(*_pair())
+    signed = stash(placed.join(_signatures(nodes).drop("n"), "set_key"), "signed")
+    a, b = _named(signed.where("root != top"), "_a", "top", *_WORDS), _named(signed, "_b", *_WORDS)
+    once = (F.col("root_b") == F.col("top_a")) | (F.col("set_key_a") < F.col("set_key_b"))
+    near = _may_meet("_a", "_b", likeness) & _may_be_alike("_a", "_b", likeness)
+    return a.join(b, "list").where((F.col("root_a") != F.col("root_b")) & once & near).select(*_pair())
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKENESS, size: int = SKETCH) -> DataFrame:
@@ -202,9 +203,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKE
        that takes away a third of what their nodes have left to meet;
     2. in every list that still holds two components, pairs of nodes of different components.
 
-    Members of lists carry a signature of BITS bits in place of their sketches. It bounds what two sketches share, as does the place of a value,
-    so few pairs leave the lists to be compared by their sketches. No list and no number of partners is capped. A link of the limit itself is missed with a chance of at most MISS, when fewer
-    values of the union sketch are shared than least_overlap asks for; sets up to the sketch's size are never missed.
+    Before sketches are compared, signatures of the whole sets are, of BITS bits: sets differ in at least as many shingles as their
+    signatures do in bits, so no link is lost by that, and of texts that share a list without being alike few pairs leave it (all, if
+    sets have far more shingles than BITS). No list and no number of partners is capped. A link of the limit itself is missed with a
+    chance of at most MISS, when fewer values of the union sketch are shared than least_overlap asks for; sets up to the sketch's size
+    are never missed.
 
     Rows without words have component_id = doc_id and link with nothing. A missing id takes part in links, but is nobody's
     component. A repeated id is judged row by row. `root` tells components apart whatever their ids. Other columns are not looked at.
@@ -232,7 +235,7 @@ def _links(nodes: DataFrame, docs: DataFrame, k: int, likeness: Fraction, size:
     while True:
         # Of lists that were looked at before, only long ones get another pivot; the others are short enough for all pairs.
         turn, looked = turn + 1, placed if links is None else placed.where(F.col("open") > LIST)
-        close = stash(_close(_pivoted(looked, turn, likeness), nodes, size, likeness), "close")
+        close = stash(_close(_alike_by_signature(_pivoted(looked, turn, likeness), nodes, likeness), nodes, size, likeness), "close")
         found = _verified(close, nodes, docs, k, likeness)
         links = stash(found if links is None else links.union(found), "links")
         roots = stash(components(links), "parts").withColumnRenamed("node", "set_key")
@@ -247,4 +250,4 @@ def _links(nodes: DataFrame, docs: DataFrame, k: int, likeness: Fraction, size:
         if still == 0 or (open_before is not None and still > 0.7 * open_before):
             break
         open_before = still
-    return links.union(_verified(stash(_close(_across(placed, likeness), nodes, size, likeness), "pairs"), nodes, docs, k, likeness))
+    return links.union(_verified(stash(_close(_across(placed, nodes, likeness), nodes, size, likeness), "pairs"), nodes, docs, k, likeness))

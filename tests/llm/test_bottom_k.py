@@ -1,11 +1,13 @@
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from brute import components as by_hand
 
 from leadwave.llm import bottom_k
 from leadwave.llm.bottom_k import least_overlap, near_duplicates
+from leadwave.llm.words import parities
 
 RANDOM = random.Random(12)
 VOCABULARY = [f"v{i}" for i in range(400)]
@@ -81,3 +83,25 @@ def test_many_rows_equal_in_id_and_text(table):
 
 def test_empty_tables(table):
     assert found(table([])) == {} and found(table([(1, None), (2, "")])) == {1: (0, 1), 2: (0, 2)}
+
+
+def test_texts_that_share_half_do_not_meet_in_pairs(table, monkeypatch):
+    """Their sketches share what is asked for, more or less; the signatures of the whole sets tell them apart in the lists."""
+    passage = text(120)
+    rows = [(i, " ".join(text(30) + passage + text(30))) for i in range(60)] + [(100, " ".join(passage)), (101, " ".join(edited(passage, 2)))]
+    left, across = [], bottom_k._across
+    monkeypatch.setattr(bottom_k, "_across", lambda *a: left.append(across(*a).distinct().count()) or across(*a))
+    assert found(table(rows)) == by_hand(rows, k=2)
+    assert left and left[0] < 60
+
+
+def test_signatures_differ_no_more_than_sets():
+    chance = np.random.default_rng(3)
+    for n in (0, 1, 50, 500, 20_000):
+        a, b = (chance.integers(0, 1 << 63, n, dtype=np.uint64) for _ in "ab")
+        b[: n // 2] = a[: n // 2]
+        whole = [parities(x, 2048) for x in (a, b)]
+        folded = [parities(x, bottom_k.BITS) for x in (a, b)]
+        apart = [int(sum(int(x).bit_count() for x in (p ^ q).view(np.uint64))) for p, q in (folded, whole)]
+        assert apart[0] <= apart[1] <= len(np.setxor1d(a, b))
+        assert all((np.bitwise_xor.reduce(w.reshape(-1, bottom_k.BITS // 64)) == f).all() for w, f in zip(whole, folded, strict=True))
