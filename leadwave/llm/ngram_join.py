@@ -21,7 +21,7 @@ LIKENESS = Fraction(4, 5)
 FINE, GROUPS = 128, 32
 # Shingles counted as frequent only change which of a set's shingles are looked at first; links do not depend on them.
 FREQUENT_MAX = 1_000_000
-# How often a task must have met a shingle to report it, and all tasks together for it to count as frequent.
+# How often, twice at least, a task must have met a shingle to report it, and all tasks together for it to count as frequent.
 MET, FREQUENT = 2, 6
 # Buckets with more nodes than this outside their largest component get further pivots before all that is left meets.
 LONG = 16
@@ -53,22 +53,23 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        met, size = np.empty(_FLUSH, U), 0  # a worker's largest array, used again and sorted in place
         for batch in batches:
             for shingles in _shingle_sets(texts_of(batch["text"]), k):
-                held.append(shingles)
-                size += len(shingles)
-                if size >= _FLUSH:
-                    yield report(held)
-                    size = 0
-        yield report(held)
-
-    def report(held: list[np.ndarray]) -> pa.RecordBatch:
-        met = np.concatenate(held) if held else np.empty(0, U)
-        held.clear()
-        met.sort()  # in place: these are a worker's largest arrays
-        first = np.flatnonzero(np.concatenate((met[:1] == met[:1], met[1:] != met[:-1])))
-        counts = np.diff(first, append=len(met))
+                for i in range(0, len(shingles), _FLUSH):
+                    part = shingles[i : i + _FLUSH]
+                    if size + len(part) > _FLUSH:
+                        yield report(met[:size])
+                        size = 0
+                    met[size : size + len(part)] = part
+                    size += len(part)
+        yield report(met[:size])
+
+    def report(met: np.ndarray) -> pa.RecordBatch:
+        met.sort()
+        again = np.concatenate(([False], met[1:] == met[:-1], [False])) if len(met) else np.zeros(1, bool)
+        edges = np.flatnonzero(again[1:] != again[:-1])  # the first and the last place of each shingle met at least twice
+        first, counts = edges[::2], edges[1::2] - edges[::2] + 1
         often = counts >= MET
         return pa.RecordBatch.from_arrays([pa.array(met[first[often]].view(np.int64)), pa.array(counts[often].astype(np.int64))], ["shingle", "times"])
 

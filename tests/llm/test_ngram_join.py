@@ -6,6 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from brute import components as by_hand
+from leadwave.llm import components as components_module
 from leadwave.llm import ngram_join
 from leadwave.llm.components import components
 from leadwave.llm.ngram_join import jaccard_components
@@ -126,3 +127,21 @@ def test_signatures_differ_no_more_than_sets():
         b[: n // 2] = a[: n // 2]
         apart = int(sum(int(x).bit_count() for x in (ngram_join._signature(a) ^ ngram_join._signature(b)).view(np.uint64)))
         assert apart <= len(np.setxor1d(a, b)) and (n != 500 or apart > 350)
+
+
+def test_frequent_shingles_are_counted_in_one_bounded_array(table, monkeypatch):
+    """The same shingles whatever the array holds at a time, also of a text longer than it."""
+    base = text(300)
+    rows = [(i, " ".join(base[:100])) for i in range(6)] + [(9, " ".join(base * 8))]
+    docs = table(rows).coalesce(1)
+    whole = ngram_join._frequent(docs, 5)
+    assert len(whole) == 96
+    monkeypatch.setattr(ngram_join, "_FLUSH", 40)
+    assert set(ngram_join._frequent(docs, 5)) <= set(whole)
+
+
+def test_stars_need_no_round(spark, monkeypatch):
+    rounds, stash = [], components_module.stash
+    monkeypatch.setattr(components_module, "stash", lambda *a: rounds.append(a) or stash(*a))
+    got = {r.node: r.root for r in components(spark.createDataFrame([(5, i) for i in range(6, 40)] + [(1, 2)], "a long, b long")).collect()}
+    assert got == {i: 5 for i in range(5, 40)} | {1: 1, 2: 1} and len(rounds) == 1
