@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leadwave.llm.common import pieces, scratch, stash, texts_of
+from leadwave.llm.common import may_be_alike, pieces, scratch, stash, texts_of
 from leadwave.llm.components import components
-from leadwave.llm.words import NOT_SPACE, U, Words, mix64, text_hash
+from leadwave.llm.words import NOT_SPACE, U, Words, mix64, parities, text_hash
 from leadwave.session import broadcast_if_small
 
 SHINGLE = 5
@@ -27,8 +28,8 @@ MET, FREQUENT = 2, 6
 LONG = 16
 # Bits of the table of shingles that may recur: 32 MB, whatever the size of the corpus. A fuller table only lets more through.
 CODE_BITS = 28
-# Bits of a set's signature, which stands for the set before whole sets are moved.
-SIGN_BITS = 2048
+# Bits of a set's signature, which stands for the set before whole sets are moved; and of the folded one that meets others in buckets.
+SIGN_BITS, FOLDED_BITS = 2048, 512
 _SLICE_BITS = 15  # bits of one of Spark's bitmaps
 _FLUSH = 4 << 20
 
@@ -79,7 +80,7 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
 
 
 def shingle_points(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKENESS) -> DataFrame:
-    """(doc_id, row, n, set_key, counts, first): for each row its set's size, digest, group counts and leading shingles.
+    """(doc_id, row, n, set_key, counts, sign, first): for each row its set's size, digest, group counts, signature and leading shingles.
 
     Shingles are hashed into FINE groups; `counts` has the number in each. `first` holds the n - ceil(likeness * n) + 1 leading
     shingles in one global order (frequent ones last, then by hash); two sets that are alike share one of them.
@@ -90,21 +91,21 @@ def shingle_points(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKEN
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = frequent.value
         for batch in batches:
-            sizes, keys, counts, leading = [], [], [], []
+            sizes, keys, counts, signs, leading = [], [], [], [], []
             for shingles in _shingle_sets(texts_of(batch["text"]), k):
                 n = len(shingles)
                 sizes.append(n)
                 keys.append(int(mix64(mix64(shingles + U(7)).sum(dtype=U, keepdims=True) + U(n)).view(np.int64)[0]) if n else None)
                 counts.append(np.bincount((shingles >> U(64 - FINE.bit_length() + 1)).astype(np.int64), minlength=FINE).astype(np.int32))
+                signs.append(_signature(shingles))
                 late = np.zeros(n, bool) if not len(often) else often[np.minimum(np.searchsorted(often, shingles), len(often) - 1)] == shingles
                 leading.append(np.concatenate((shingles[~late], shingles[late]))[: n + (-up * n) // down + 1 if n else 0].view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], batch["row"], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(counts, pa.list_(pa.int32())), pa.array(leading, pa.list_(pa.int64()))],
-                ["doc_id", "row", "n", "set_key", "counts", "first"],
-            )
+            lists = [pa.array(counts, pa.list_(pa.int32())), *(pa.array(x, pa.list_(pa.int64())) for x in (signs, leading))]
+            arrays = [batch["doc_id"], batch["row"], pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), *lists]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "row", "n", "set_key", "counts", "sign", "first"])
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {id_type}, row bigint, n bigint, set_key bigint, counts array<int>, first array<bigint>")
+    return docs.select("doc_id", "row", "text").mapInArrow(run, f"doc_id {id_type}, row bigint, n bigint, set_key bigint, counts array<int>, sign array<bigint>, first array<bigint>")
 
 
 def _recurring(points: DataFrame) -> np.ndarray:
@@ -167,41 +168,32 @@ def _bound(a: str, b: str) -> Column:
     return _minima(a, b) / (F.col(f"{a}.least") + F.col(f"{b}.least"))
 
 
-def _texts_of(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(set_key, text) of the nodes in `pairs`, and the list (set_key, of) of the rows these come from."""
-    ends = pairs.select(F.col("a").alias("set_key")).union(pairs.select(F.col("b").alias("set_key"))).distinct()
-    rows = stash(nodes.join(ends, "set_key").select("set_key", F.col("row").alias("of")), "ends")
-    # Texts stay where they are while the list of those wanted is small by measure; beyond that both sides are shuffled by row.
-    return docs.join(broadcast_if_small(rows), docs["row"] == F.col("of")).select("set_key", "text"), rows
-
-
 def _signature(shingles: np.ndarray) -> np.ndarray:
-    """For each of SIGN_BITS groups of shingles whether a set has an odd number of them. Two sets differ in at least as many shingles
-    as their signatures do in bits."""
-    odd = np.bincount((shingles >> U(20) & U(SIGN_BITS - 1)).astype(np.int64), minlength=SIGN_BITS) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+    """Parities of SIGN_BITS groups of shingles. Two sets differ in at least as many shingles as their signatures do in bits."""
+    return parities(shingles, SIGN_BITS)
 
 
-def _alike_by_signature(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
-    """The pairs whose signatures differ in no more bits than sets that are alike may differ in shingles."""
-    texts, _ = _texts_of(pairs, nodes, docs)
+def _folded() -> list[Column]:
+    """A signature of FOLDED_BITS in columns of its own, from `sign`."""
+    words = FOLDED_BITS // 64
+    fold = lambda j: [F.col("sign")[i] for i in range(j, SIGN_BITS // 64, words)]
+    return [reduce(lambda x, y: x.bitwiseXOR(y), fold(j)).alias(f"sign{j}") for j in range(words)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = list(_shingle_sets(texts_of(batch["text"]), k))
-            signs = [_signature(s) for s in sets]
-            yield pa.RecordBatch.from_arrays([batch["set_key"], pa.array([len(s) for s in sets], pa.int64()), pa.array(signs, pa.list_(pa.int64()))], ["set_key", "n", "sign"])
 
-    signs = stash(texts.mapInArrow(run, "set_key bigint, n bigint, sign array<bigint>").dropDuplicates(["set_key"]), "signs")
-    of_a, of_b = (signs.select(F.col("set_key").alias(x), F.col("n").alias(f"n_{x}"), F.col("sign").alias(f"sign_{x}")) for x in "ab")
-    apart = F.aggregate(F.zip_with("sign_a", "sign_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    n, up, down = F.col("n_a") + F.col("n_b"), likeness.numerator, likeness.denominator
-    return pairs.join(of_a, "a").join(of_b, "b").where((n - apart) * (up + down) >= 2 * n * up).select(*pairs.columns)
+def _apart(least: str, most: str) -> Column:
+    """Bits that all signatures of box a have and none of box b, or the other way round. Columns `least`0_a, ... hold the bits that all
+    sets in a box have, `most`0_a, ... those that any has; a single set is its own box."""
+    of = lambda name, x: [F.col(f"{name}{j}_{x}") for j in range(FOLDED_BITS // 64)]
+    corners = zip(of(least, "a"), of(most, "a"), of(least, "b"), of(most, "b"), strict=True)
+    return sum((F.bit_count(x.bitwiseAND(F.bitwise_not(v)).bitwiseOR(u.bitwiseAND(F.bitwise_not(y)))) for x, y, u, v in corners), F.lit(0))
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
     """The pairs (a, b) of set keys whose sets really are alike."""
-    texts, rows = _texts_of(pairs, nodes, docs)
+    ends = pairs.select(F.col("a").alias("set_key")).union(pairs.select(F.col("b").alias("set_key"))).distinct()
+    rows = stash(nodes.join(ends, "set_key").select("set_key", F.col("row").alias("of")), "ends")
+    # Texts stay where they are while the list of those wanted is small by measure; beyond that both sides are shuffled by row.
+    texts = docs.join(broadcast_if_small(rows), docs["row"] == F.col("of")).select("set_key", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,35 +230,41 @@ def _pivoted(placed: DataFrame, turn: int, likeness: Fraction) -> DataFrame:
     return met.select(F.least("set_key", "pivot.set_key").alias("a"), F.greatest("set_key", "pivot.set_key").alias("b")).distinct()
 
 
-def _found_across(placed: DataFrame, box: DataFrame, likeness: Fraction) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that meet in a bucket, as far as their boxes, and they, may link."""
-    leaves = placed.groupBy("shingle", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"))
-    tops = placed.select("root", "set_key").distinct().join(box, "set_key").groupBy("root")
-    largest = F.array(*(F.max(F.col("box.counts")[i]) for i in range(GROUPS)))
-    boxes = tops.agg(F.count("*").alias("nodes"), F.min("set_key").alias("one"), F.min("box.least").alias("least"), F.max("box.most").alias("most"), largest.alias("counts"))
-    boxes = stash(boxes.select("root", "nodes", "one", F.struct("least", "most", "counts").alias("box")), "boxes")
+def _found_across(placed: DataFrame, nodes: DataFrame, box: DataFrame, likeness: Fraction) -> DataFrame:
+    """Pairs (a, b) of nodes of different components that meet in a bucket, as far as their boxes, and they, may link.
 
-    a, b = (leaves.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "least", "most", "room"))) for x in "ab")
+    A leaf is what a bucket has of one component. Its box has sizes, and signatures as corners of a cube: bits that all its nodes have,
+    and bits that any has. Leaves meet by these; two leaves of one node each are a pair already. Of others the boxes of the whole
+    components are compared, once for all buckets, and where these may link the nodes of the two leaves meet.
+    """
+    words = range(FOLDED_BITS // 64)
+    placed = stash(placed.join(nodes.select("set_key", *_folded()), "set_key"), "signed")
+    corners = [c for j in words for c in (F.bit_and(f"sign{j}").alias(f"all{j}"), F.bit_or(f"sign{j}").alias(f"any{j}"))]
+    leaves = placed.groupBy("shingle", "root").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("room").alias("room"), F.count("*").alias("nodes"), F.min("set_key").alias("one"), *corners)
+    a, b = (leaves.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in leaves.columns[1:])) for x in "ab")
     sides = [tuple(F.col(f"{c}_{x}") for c in ("least", "most", "room")) for x in "ab"]
-    met = a.join(b, "shingle").where(F.col("root_a") < F.col("root_b")).where(_may_meet(*sides, likeness))
-    met = stash(met.select("root_a", "root_b").distinct(), "met")
-    of_a, of_b = (boxes.select(*(F.col(c).alias(f"{c}_{x}") for c in ("root", "nodes", "one", "box"))) for x in "ab")
+    near = _may_meet(*sides, likeness) & may_be_alike(F.col("most_a") + F.col("most_b"), _apart("all", "any"), likeness)
+    met = a.join(b, "shingle").where(F.col("root_a") < F.col("root_b")).where(near)
     alone = (F.col("nodes_a") == 1) & (F.col("nodes_b") == 1)
-    opened = met.join(of_a, "root_a").join(of_b, "root_b").where(_may_link("box_a", "box_b", likeness))
-    opened = stash(opened.select("root_a", "root_b", alone.alias("alone"), F.col("one_a").alias("a"), F.col("one_b").alias("b")), "opened")
+    met = stash(met.select("shingle", "root_a", "root_b", alone.alias("alone"), F.col("one_a").alias("a"), F.col("one_b").alias("b")), "met")
 
-    # Boxes of one node each are a pair of nodes already; of the others, those nodes that meet in a bucket are.
-    several = opened.where("not alone").select("root_a", "root_b")
+    several = met.where("not alone").select("root_a", "root_b").distinct()
     ends = several.select(F.explode(F.array("root_a", "root_b")).alias("root")).distinct()
     inside = placed.join(ends, "root", "left_semi")
-    a, b = (inside.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "set_key", "n", "room"))) for x in "ab")
-    sides = [tuple(F.col(f"{c}_{x}") for c in ("n", "n", "room")) for x in "ab"]
+    tops = inside.select("root", "set_key").distinct().join(box, "set_key").groupBy("root")
+    largest = F.array(*(F.max(F.col("box.counts")[i]) for i in range(GROUPS)))
+    boxes = tops.agg(F.min("box.least").alias("least"), F.max("box.most").alias("most"), largest.alias("counts"))
+    boxes = stash(boxes.select("root", F.struct("least", "most", "counts").alias("box")), "boxes")
+    of_a, of_b = (boxes.select(F.col("root").alias(f"root_{x}"), F.col("box").alias(f"box_{x}")) for x in "ab")
+    opened = several.join(of_a, "root_a").join(of_b, "root_b").where(_may_link("box_a", "box_b", likeness)).select("root_a", "root_b")
+
     # Which leaves of a bucket are opened is told by (shingle, roots) before nodes meet, so that closed boxes never pair their nodes.
-    rooms = leaves.join(ends, "root", "left_semi").select("shingle", "root")
-    doors = rooms.withColumnRenamed("root", "root_a").join(rooms.withColumnRenamed("root", "root_b"), "shingle").where("root_a < root_b").join(several, ["root_a", "root_b"])
-    found = doors.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).where(_may_meet(*sides, likeness))
-    found = found.select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b"))
-    return found.union(opened.where("alone").select("a", "b")).distinct()
+    doors = met.where("not alone").select("shingle", "root_a", "root_b").join(opened, ["root_a", "root_b"])
+    a, b = (inside.select("shingle", *(F.col(c).alias(f"{c}_{x}") for c in ("root", "set_key", "n", "room", *(f"sign{j}" for j in words)))) for x in "ab")
+    sides = [tuple(F.col(f"{c}_{x}") for c in ("n", "n", "room")) for x in "ab"]
+    near = _may_meet(*sides, likeness) & may_be_alike(F.col("n_a") + F.col("n_b"), _apart("sign", "sign"), likeness)
+    found = doors.join(a, ["shingle", "root_a"]).join(b, ["shingle", "root_b"]).where(near).select(F.col("set_key_a").alias("a"), F.col("set_key_b").alias("b"))
+    return found.union(met.where("alone").select("a", "b")).distinct()
 
 
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = LIKENESS) -> DataFrame:
@@ -276,14 +274,15 @@ def jaccard_components(docs: DataFrame, k: int = SHINGLE, likeness: Fraction = L
 
     1. every node of a bucket against the bucket's first node, point against point;
        Buckets that stay long get further pivots as long as that takes away a third of what their nodes have left to meet;
-    2. components so far become boxes (sizes and largest group counts of their nodes). In each bucket that still holds two
-       components, their boxes meet, and are compared once by the summed coordinate minima, however many buckets they share;
-       boxes that may link are opened, and their nodes compared by the same bound.
+    2. components so far become boxes. In each bucket that still holds two components, what it has of each is a box of sizes and of
+       signatures (FOLDED_BITS bits; sets differ in at least as many shingles as these in bits). Boxes that may link are opened, if
+       the boxes of the whole components (sizes and largest group counts) may link too, by the summed coordinate minima; these are
+       compared once, however many buckets they share. Nodes of opened boxes are compared by signatures, then by points and whole signatures.
 
     Shingles that only one row leads with are left out by a bit table of fixed size before anything else is moved. Nodes meet in the
     bucket of the first shingle they share: in others, what is left of both sets may be too little for a link (see _may_meet).
 
-    What passes, and in step 2 a comparison of signatures too, is verified on the whole sets; of two boxes first the likeliest pair, then the others if that does not unite them. Only nodes of different components are compared in step 2, so a group of
+    What passes is verified on the whole sets; of two boxes first the likeliest pair, then the others if that does not unite them. Only nodes of different components are compared in step 2, so a group of
     near copies costs a multiple of its size, not its square; all other pairs of a bucket are compared, without a limit.
 
     Rows without words have component_id = doc_id. A missing id takes part in links, but is nobody's component: rows linked only with such rows
@@ -299,21 +298,23 @@ def _components_of(docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
     points = stash(shingle_points(docs, k, likeness), "points")
     real = points.where("set_key is not null")
     nodes = stash(
-        real.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("counts").alias("counts")), "nodes"
+        real.groupBy("set_key").agg(F.min("doc_id").alias("doc_id"), F.min("row").alias("row"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("sign").alias("sign")), "nodes"
     )
     leading = stash(_leading(real), "leading")
     head = [F.min("set_key").alias("head"), F.max("set_key").alias("last"), F.min_by("n", "set_key").alias("head_n"), F.min_by("room", "set_key").alias("head_room")]
     shared = stash(leading.groupBy("shingle").agg(*head).where("head != last").drop("last"), "shared")
     members = stash(leading.distinct().join(shared, "shingle"), "members")
 
-    point = nodes.select("set_key", F.struct(F.col("n").alias("least"), F.col("n").alias("most"), "counts").alias("box"))
+    point = nodes.select("set_key", F.struct(F.col("n").alias("least"), F.col("n").alias("most"), "counts", "sign").alias("box"))
     coarse = F.array(*(sum((F.col("counts")[g] for g in range(i, i + FINE // GROUPS)), F.lit(0)) for i in range(0, FINE, FINE // GROUPS)))
     box = nodes.select("set_key", F.struct(F.col("n").alias("least"), F.col("n").alias("most"), coarse.alias("counts")).alias("box"))
 
     def close(pairs: DataFrame) -> DataFrame:
-        """The pairs whose points may link by all their coordinates, and `bound`, the largest likeness these leave them."""
+        """The pairs whose points and signatures may link by all their coordinates, and `bound`, the largest likeness the points leave them."""
         of_a, of_b = (point.select(F.col("set_key").alias(x), F.col("box").alias(f"box_{x}")) for x in "ab")
-        return pairs.join(of_a, "a").join(of_b, "b").where(_may_link("box_a", "box_b", likeness)).select("a", "b", _bound("box_a", "box_b").alias("bound"))
+        apart = F.aggregate(F.zip_with("box_a.sign", "box_b.sign", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        near = _may_link("box_a", "box_b", likeness) & may_be_alike(F.col("box_a.most") + F.col("box_b.most"), apart, likeness)
+        return pairs.join(of_a, "a").join(of_b, "b").where(near).select("a", "b", _bound("box_a", "box_b").alias("bound"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         return _verified(pairs, nodes, docs, k, likeness)
@@ -339,8 +340,7 @@ def _components_of(docs: DataFrame, k: int, likeness: Fraction) -> DataFrame:
         placed = _placed(short.drop("root").union(long.select("shingle", "set_key", "n", "room")), roots)
 
     # One link unites two components, so the likeliest pair of each two is verified first, and of the others those still apart.
-    found = stash(close(_found_across(placed, box, likeness)), "across")
-    found = stash(_alike_by_signature(found, nodes, docs, k, likeness), "found")
+    found = stash(close(_found_across(placed, nodes, box, likeness)), "across")
     for best in (True, False):
         of_a, of_b = (roots.select(F.col("set_key").alias(x), F.col("root").alias(f"root_{x}")) for x in "ab")
         ends = found.join(broadcast_if_small(of_a), "a", "left").join(broadcast_if_small(of_b), "b", "left")

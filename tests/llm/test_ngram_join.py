@@ -145,3 +145,13 @@ def test_stars_need_no_round(spark, monkeypatch):
     monkeypatch.setattr(components_module, "stash", lambda *a: rounds.append(a) or stash(*a))
     got = {r.node: r.root for r in components(spark.createDataFrame([(5, i) for i in range(6, 40)] + [(1, 2)], "a long, b long")).collect()}
     assert got == {i: 5 for i in range(5, 40)} | {1: 1, 2: 1} and len(rounds) == 1
+
+
+def test_texts_that_share_half_do_not_meet_in_pairs(table, monkeypatch):
+    """Their group counts leave them likely; the signatures of the boxes tell them apart in the buckets."""
+    passage = text(110)
+    rows = [(i, " ".join(text(25) + passage + text(25))) for i in range(60)] + [(100, " ".join(passage)), (101, " ".join(passage[:-2] + text(2)))]
+    left, across = [], ngram_join._found_across
+    monkeypatch.setattr(ngram_join, "_found_across", lambda *a: left.append(across(*a).count()) or across(*a))
+    assert found(table(rows)) == by_hand(rows)
+    assert left and left[0] < 60
